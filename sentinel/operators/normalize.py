@@ -11,53 +11,64 @@ from pyspark.sql import DataFrame
 from sentinel.functions import fixed_values as fv
 from sentinel.functions import sql
 
-# stage number, old field, canonical field
-RENAMES = [
-    (1, "level", "log.level"),
-    (3, "fields.SourceContext", "log.logger"),
-    (4, "fields.MachineName", "host.name"),
-    (5, "fields.RequestPath", "url.path"),
-    (6, "fields.RequestMethod", "http.request.method"),
-    (7, "fields.StatusCode", "http.response.status_code"),
-]
 USER_STAGE = 2
 LAST_STAGE = 8
 USER_LABELS = ["Username", "UserName", "UserId"]
 TAG_LABEL = "LogTags"
-EMPTY_TAGS = "CAST(array() AS array<string>)"
-EMPTY_LABELS = "CAST(map() AS map<string,string>)"
 # everything up to and including the space
 CONTROL_CHARS = "'" + "".join(f"\\u{c:04x}" for c in range(0x21)) + "'"
 
 
-def field(path: str, as_type: str = "string") -> str:
+# every path that is read, as the name of the column holding it
+PATHS = {
+    "f_ts": "@timestamp", "f_level": "level", "f_log_level": "log.level", "f_message": "message",
+    "f_template": "labels.MessageTemplate", "f_service": "service.name",
+    "f_environment": "service.environment", "f_labels_app": "labels.Application",
+    "f_fields_app": "fields.Application", "f_labels_env": "labels.Environment",
+    "f_user_name": "user.name", "f_labels_username": "labels.Username",
+    "f_labels_user_name": "labels.UserName", "f_fields_user_name": "fields.UserName",
+    "f_user_id": "user.id", "f_labels_user_id": "labels.UserId",
+    "f_fields_user_id": "fields.UserId", "f_source_context": "fields.SourceContext",
+    "f_logger": "log.logger", "f_machine": "fields.MachineName", "f_host": "host.name",
+    "f_request_path": "fields.RequestPath", "f_path": "url.path",
+    "f_request_method": "fields.RequestMethod", "f_method": "http.request.method",
+    "f_status_old": "fields.StatusCode", "f_status": "http.response.status_code",
+    "f_ip": "labels.IpAddress", "f_trace": "trace.id", "f_span": "span.id", "f_tags": "tags",
+    "f_labels": "labels", "f_metadata": "metadata", "f_label_tags": f"labels.{TAG_LABEL}",
+    "f_metadata_tags": f"metadata.{TAG_LABEL}",
+}
+# stage, old column, canonical column, canonical field
+RENAMES = [
+    (1, "f_level", "f_log_level", "log.level"),
+    (3, "f_source_context", "f_logger", "log.logger"),
+    (4, "f_machine", "f_host", "host.name"),
+    (5, "f_request_path", "f_path", "url.path"),
+    (6, "f_request_method", "f_method", "http.request.method"),
+    (7, "f_status_old", "f_status", "http.response.status_code"),
+]
+
+
+def field(path: str) -> str:
     """A field by its dotted name: nested objects first, then one literal key."""
-    nested = f"try_variant_get(doc, '$.{path}', '{as_type}')"
+    literal = f"try_variant_get(doc, '$[\"{path}\"]', 'variant')"
     if "." not in path:
-        return nested
-    return f"coalesce({nested}, try_variant_get(doc, '$[\"{path}\"]', '{as_type}'))"
-
+        return literal
+    return f"coalesce(try_variant_get(doc, '$.{path}', 'variant'), {literal})"
 
-def present(path: str) -> str:
-    """Is the key there at all, even with a JSON null?"""
-    return f"({field(path, 'variant')} IS NOT NULL)"
 
+def as_text(column: str) -> str:
+    return f"try_variant_get({column}, '$', 'string')"
 
-def is_object(path: str) -> str:
-    return f"({present(path)} AND NOT is_variant_null({field(path, 'variant')}))"
 
+def is_number(column: str) -> str:
+    return f"coalesce(schema_of_variant({column}) RLIKE '^(BIGINT|DOUBLE|FLOAT|DECIMAL)', false)"
 
-def fold_tags(tags: str, sources: list[str], any_source_object: str) -> str:
-    """Append the comma separated tags of each source, trimmed, skipping those already there.
 
-    Existing duplicates stay. With a source object around, missing tags become an empty list.
-    """
-    folded = f"coalesce({tags}, CASE WHEN {any_source_object} THEN {EMPTY_TAGS} END)"
+def tag_list(sources: list[str]) -> str:
+    """Tags of comma separated texts: trimmed, without empty ones."""
     parts = ", ".join(f"split(coalesce({s}, ''), ',')" for s in sources)
-    new = (f"filter(transform(flatten(array({parts})), p -> btrim(p, {CONTROL_CHARS})),"
-           " p -> p <> '')")
-    # array_except also removes duplicates among the new ones
-    return f"concat({folded}, array_except({new}, {folded}))"
+    return (f"filter(transform(flatten(array({parts})), p -> btrim(p, {CONTROL_CHARS})),"
+            " p -> p <> '')")
 
 
 def derived_tags(message: str, path: str, status: str, status_is_number: str, logger: str) -> str:
@@ -70,7 +81,7 @@ def derived_tags(message: str, path: str, status: str, status_is_number: str, lo
         "heartbeat": [contains(message, m) for m in fv.HEARTBEAT_MARKERS],
         "healthcheck": [f"endswith({path}, {sql.text(e)})" for e in fv.HEALTH_PATH_ENDINGS],
         "request": [f"{status} IS NOT NULL"],
-        "auth": [f"({status_is_number} AND CAST({status} AS DOUBLE) IN ({codes}))",
+        "auth": [f"({status_is_number} AND try_cast({status} AS DOUBLE) IN ({codes}))",
                  *[contains(message, m) for m in fv.AUTH_MARKERS]],
         "startup": [f"{logger} = {sql.text(fv.STARTUP_LOGGER)}",
                     contains(logger, fv.MIGRATIONS_LOGGER)],
@@ -80,103 +91,115 @@ def derived_tags(message: str, path: str, status: str, status_is_number: str, lo
     return sql.compact([sql.when(sql.any_of(tests), sql.text(tag)) for tag, tests in rules.items()])
 
 
-def append_tags(tags: str, new: str) -> str:
-    """Add the new tags that are missing; a null list stays null when there is nothing to add."""
-    kept = f"coalesce({tags}, {EMPTY_TAGS})"
-    return sql.when(f"size({new}) = 0", tags, f"concat({kept}, array_except({new}, {kept}))")
-
-
-def _kind(path: str) -> str:
-    return f"schema_of_variant({field(path, 'variant')})"
+def added(tags: str, new: str) -> str:
+    """The list with the new tags that are missing; what was in it stays, duplicates included."""
+    return f"concat({tags}, array_except({new}, {tags}))"
 
 
-def _is_number(path: str) -> str:
-    return f"coalesce({_kind(path)} RLIKE '^(BIGINT|DOUBLE|FLOAT|DECIMAL)', false)"
+def normalize(raw: DataFrame, document: str = "document") -> DataFrame:
+    """Raw JSON text column to canonical columns; `schema_error` says where a document failed.
 
+    Each step is its own projection, because later ones use its columns several times.
+    """
+    def clash(old: str, new: str) -> str:
+        """Both keys are there, even if one holds a JSON null."""
+        return f"({old} IS NOT NULL AND {new} IS NOT NULL)"
 
-def normalize(raw: DataFrame, document: str = "document") -> DataFrame:
-    """Raw JSON text column to canonical columns; `schema_error` says where a document failed."""
-    clashes = [(stage, f"({present(old)} AND {present(new)})", new) for stage, old, new in RENAMES]
-    failed = " ".join(f"WHEN {clash} THEN {stage}" for stage, clash, _ in clashes)
+    stages = " ".join(f"WHEN {clash(old, new)} THEN {n}" for n, old, new, _ in RENAMES)
     errors = " ".join(
-        f"WHEN {clash} THEN {sql.text(fv.RENAME_CONFLICT.replace('{field}', new))}"
-        for _, clash, new in clashes)
+        f"WHEN {clash(old, new)} THEN {sql.text(fv.RENAME_CONFLICT.replace('{field}', name))}"
+        for _, old, new, name in RENAMES)
 
     def ran(stage: int) -> str:
         return f"fail_stage > {stage}"
 
     def renamed(new: str) -> str:
-        stage, old = next((s, o) for s, o, n in RENAMES if n == new)
-        return f"coalesce({field(new)}, {sql.when(ran(stage), field(old))})"
+        stage, old = next((s, o) for s, o, n, _ in RENAMES if n == new)
+        return f"coalesce({as_text(new)}, {sql.when(ran(stage), as_text(old))})"
 
     def filled(current: str, *fallbacks: str) -> str:
-        more = ", ".join(sql.when(ran(LAST_STAGE), f) for f in fallbacks)
-        return f"coalesce({current}, {more})"
+        return f"coalesce({current}, {', '.join(sql.when('done', f) for f in fallbacks)})"
 
     def overridden(current: str, *sources: str) -> str:
         """The last override that is set wins."""
-        return f"coalesce({', '.join(sql.when(ran(USER_STAGE), field(s)) for s in reversed(sources))}, {field(current)})"
+        latest = ", ".join(sql.when(ran(USER_STAGE), as_text(s)) for s in reversed(sources))
+        return f"coalesce({latest}, {as_text(current)})"
 
-    def text_only(path: str) -> str:
-        return sql.when(f"{_kind(path)} = 'STRING'", field(path))
+    def text_only(column: str) -> str:
+        return sql.when(f"schema_of_variant({column}) = 'STRING'", as_text(column))
 
-    status = "http.response.status_code"
-    own_tags = (f"coalesce({field('tags', 'array<string>')},"
-                f" {sql.when(f'{field('tags')} IS NOT NULL', f'array({field('tags')})')})")
+    def is_object(column: str) -> str:
+        return f"({column} IS NOT NULL AND NOT is_variant_null({column}))"
+
+    carried = list(raw.columns)
+    canonical = [
+        "level", "message", "message_template", "service", "environment", "user_name", "user_id",
+        "logger", "host", "url_path", "http_method", "status_text", "status_is_number",
+        "source_ip", "trace_id", "span_id",
+    ]
     removed = (f"(({ran(USER_STAGE)} AND {sql.is_in('k', USER_LABELS)})"
                f" OR (done AND k = {sql.text(TAG_LABEL)}))")
-    tags = append_tags("folded", derived_tags("message", "url_path", "status_text",
-                                              "status_is_number", "logger"))
-    stamp = sql.when("done", f"map('schema_version', {sql.text(fv.SCHEMA_VERSION)})",
-                     "map('schema_error', schema_error)")
     stamp_key = sql.when("done", "'schema_version'", "'schema_error'")
-    carried = list(raw.columns)
-    # each step is its own projection: later expressions use its columns many times
+    stamp = sql.when("done", sql.text(fv.SCHEMA_VERSION), "schema_error")
+    kept = "coalesce(folded, CAST(array() AS array<string>))"
+    result = {
+        "ts": "try_cast(ts_text AS TIMESTAMP_NTZ)",
+        **{c: c for c in canonical[:11]},
+        "status_code": "try_cast(status_text AS INT)",
+        **{c: c for c in canonical[12:]},
+        "tags": "CASE WHEN NOT done THEN own_tags WHEN size(derived) = 0 THEN folded"
+                f" ELSE {added(kept, 'derived')} END",
+        "labels": f"map_concat(kept_labels, map({stamp_key}, {stamp}))",
+        "schema_error": "schema_error",
+    }
+    # The last step is a generator of one row: a filter on a normalised column stays above it.
+    # Pushed down, it would repeat every expression the column is made of.
     return (
         raw.selectExpr("*", f"try_parse_json({document}) AS doc")
-        .selectExpr("*", f"CASE {failed} ELSE {LAST_STAGE + 1} END AS fail_stage",
+        .selectExpr(*carried, *[f"{field(path)} AS {name}" for name, path in PATHS.items()])
+        .selectExpr("*", f"CASE {stages} ELSE {LAST_STAGE + 1} END AS fail_stage",
                     f"CASE {errors} END AS schema_error")
+        .selectExpr("*", f"{ran(LAST_STAGE)} AS done")
         .selectExpr(
-            *carried, "schema_error", "fail_stage", f"{ran(LAST_STAGE)} AS done",
-            f"{field('@timestamp')} AS ts_text".replace("$.@timestamp", '$["@timestamp"]'),
-            f"{filled(renamed('log.level'), sql.text(fv.DEFAULT_LEVEL))} AS level",
-            f"{field('message')} AS message",
-            f"coalesce({field('labels.MessageTemplate')}, {field('message')}) AS message_template",
-            f"{filled(field('service.name'), field('labels.Application'),
-                      field('fields.Application'), sql.text(fv.DEFAULT_SERVICE))} AS service",
-            f"{filled(field('service.environment'), field('labels.Environment'))} AS environment",
-            f"{overridden('user.name', 'labels.Username', 'labels.UserName', 'fields.UserName')}"
-            " AS user_name",
-            f"{overridden('user.id', 'labels.UserId', 'fields.UserId')} AS user_id",
-            f"{renamed('log.logger')} AS logger",
-            f"{renamed('host.name')} AS host",
-            f"{renamed('url.path')} AS url_path",
-            f"{renamed('http.request.method')} AS http_method",
-            f"{renamed(status)} AS status_text",
-            f"CASE WHEN {present(status)} THEN {_is_number(status)}"
-            f" ELSE {ran(7)} AND {_is_number('fields.StatusCode')} END AS status_is_number",
-            f"{field('labels.IpAddress')} AS source_ip",
-            f"{field('trace.id')} AS trace_id", f"{field('span.id')} AS span_id",
-            f"{own_tags} AS own_tags",
-            f"{text_only(f'labels.{TAG_LABEL}')} AS label_tags",
-            f"{text_only(f'metadata.{TAG_LABEL}')} AS metadata_tags",
-            f"{is_object('labels')} OR {is_object('metadata')} AS has_sources",
-            f"coalesce({field('labels', 'map<string,string>')}, {EMPTY_LABELS}) AS raw_labels",
+            *carried, "schema_error", "fail_stage", "done",
+            f"{as_text('f_ts')} AS ts_text",
+            f"{filled(renamed('f_log_level'), sql.text(fv.DEFAULT_LEVEL))} AS level",
+            f"{as_text('f_message')} AS message",
+            f"coalesce({as_text('f_template')}, {as_text('f_message')}) AS message_template",
+            f"{filled(as_text('f_service'), as_text('f_labels_app'), as_text('f_fields_app'),
+                      sql.text(fv.DEFAULT_SERVICE))} AS service",
+            f"{filled(as_text('f_environment'), as_text('f_labels_env'))} AS environment",
+            f"{overridden('f_user_name', 'f_labels_username', 'f_labels_user_name',
+                          'f_fields_user_name')} AS user_name",
+            f"{overridden('f_user_id', 'f_labels_user_id', 'f_fields_user_id')} AS user_id",
+            f"{renamed('f_logger')} AS logger", f"{renamed('f_host')} AS host",
+            f"{renamed('f_path')} AS url_path", f"{renamed('f_method')} AS http_method",
+            f"{renamed('f_status')} AS status_text",
+            f"CASE WHEN f_status IS NOT NULL THEN {is_number('f_status')}"
+            f" ELSE {ran(7)} AND {is_number('f_status_old')} END AS status_is_number",
+            f"{as_text('f_ip')} AS source_ip", f"{as_text('f_trace')} AS trace_id",
+            f"{as_text('f_span')} AS span_id",
+            "coalesce(try_variant_get(f_tags, '$', 'array<string>'),"
+            f" {sql.when(f'{as_text("f_tags")} IS NOT NULL', f'array({as_text("f_tags")})')})"
+            " AS own_tags",
+            f"{tag_list([text_only('f_label_tags'), text_only('f_metadata_tags')])} AS new_tags",
+            f"{is_object('f_labels')} OR {is_object('f_metadata')} AS has_sources",
+            "coalesce(try_variant_get(f_labels, '$', 'map<string,string>'),"
+            " CAST(map() AS map<string,string>)) AS all_labels",
         )
         .selectExpr(
-            "*", f"{fold_tags('own_tags', ['label_tags', 'metadata_tags'], 'has_sources')} AS folded",
-            f"map_filter(raw_labels, (k, v) -> v IS NOT NULL AND NOT {removed}"
-            f" AND k <> {stamp_key}) AS kept_labels")
+            *carried, "schema_error", "done", "fail_stage", "ts_text", *canonical, "own_tags",
+            "new_tags", "all_labels",
+            sql.when("own_tags IS NULL AND has_sources", "CAST(array() AS array<string>)",
+                     "own_tags") + " AS start_tags",
+            f"{derived_tags('message', 'url_path', 'status_text', 'status_is_number', 'logger')}"
+            " AS derived")
         .selectExpr(
-            *carried,
-            "try_cast(ts_text AS TIMESTAMP_NTZ) AS ts",
-            "level", "message", "message_template", "service", "environment", "user_name",
-            "user_id", "logger", "host", "url_path", "http_method",
-            "try_cast(status_text AS INT) AS status_code", "status_is_number", "source_ip",
-            "trace_id", "span_id",
-            f"{sql.when('done', tags, 'own_tags')} AS tags",
-            f"map_concat(kept_labels, {stamp}) AS labels", "schema_error",
-        )
+            *carried, "schema_error", "done", "ts_text", *canonical, "own_tags", "derived",
+            f"{added('start_tags', 'new_tags')} AS folded",
+            f"map_filter(all_labels, (k, v) -> v IS NOT NULL AND NOT {removed}"
+            f" AND k <> {stamp_key}) AS kept_labels")
+        .selectExpr(*carried, f"inline(array({sql.struct(**result)}))")
     )
 
 
