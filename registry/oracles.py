@@ -602,3 +602,129 @@ ORDER BY alerts DESC, kind LIMIT 10""")
 ORACLES["recent_alerts"] = calm(f"""
 SELECT w_end AS ts, target, severity, {q(fv.RULE_SUMMARY)} AS summary, kind_list AS kinds,
   TRUE AS delivered, FALSE AS external_verdict FROM alerts ORDER BY w_end DESC LIMIT 25""")
+
+# ---- normalisation ---------------------------------------------------------------------------
+# The fields of each raw document, then the ingest rules over them.
+_RAW = r"""
+raw AS (SELECT event_id, ts, event_type AS kind, user_id AS uid,
+    CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events),
+parts AS (SELECT *,
+    CASE kind WHEN 'error' THEN 'Error' WHEN 'signup' THEN 'Warning' END AS lvl,
+    CASE kind WHEN 'error' THEN CASE WHEN k % 2 = 0 THEN 401 ELSE 404 END
+              WHEN 'view' THEN 200 END AS status,
+    CASE WHEN k % 20 = 0 THEN '/healthz' ELSE '/item/' || k END AS pth,
+    CASE k % 10 WHEN 0 THEN 'Microsoft.Hosting.Lifetime'
+                WHEN 1 THEN 'Microsoft.EntityFrameworkCore.Database'
+                WHEN 2 THEN 'Microsoft.EntityFrameworkCore.Migrations' END AS lgr,
+    CASE WHEN kind = 'view' AND k % 10 = 0 THEN 'Heartbeat: api'
+         WHEN kind = 'error' AND k % 10 = 3 THEN 'Unauthorized call' ELSE 'ok ' || kind END AS message,
+    event_id % 11 <> 0 AS has_labels, event_id % 6 = 0 OR event_id % 2 = 1 AS has_fields,
+    event_id % 13 = 0 AS has_metadata FROM raw),
+doc AS (SELECT *,
+    CASE WHEN event_id % 3 = 0 THEN lvl END AS old_level,
+    CASE WHEN event_id % 3 = 1 OR event_id % 27 = 0 THEN lvl END AS new_level,
+    CASE WHEN has_labels AND event_id % 4 = 0 THEN 'u' || uid END AS l_username,
+    CASE WHEN has_labels AND event_id % 8 = 0 THEN 'n' || uid END AS l_user_name,
+    CASE WHEN has_labels AND event_id % 5 = 0 THEN CAST(uid AS VARCHAR) END AS l_user_id,
+    CASE WHEN has_labels AND event_id % 3 = 0 THEN 'shop' END AS l_app,
+    CASE WHEN has_labels AND event_id % 3 = 1 THEN 'prod' END AS l_env,
+    CASE WHEN has_labels AND event_id % 7 = 0 THEN ['import', 'k' || k % 3] ELSE [] END AS l_tags,
+    CASE WHEN has_metadata THEN ['crawl', 'daily'] ELSE [] END AS m_tags,
+    CASE WHEN has_fields AND event_id % 16 = 0 THEN 'f' || uid END AS f_user_name,
+    CASE WHEN has_fields AND event_id % 10 = 0 THEN 'i' || uid END AS f_user_id,
+    CASE WHEN has_fields AND event_id % 2 = 0 THEN lgr END AS logger,
+    CASE WHEN has_fields AND event_id % 2 = 0 THEN 'vm' || uid % 6 END AS host,
+    CASE WHEN has_fields AND event_id % 6 IN (3, 5) THEN 'batch' END AS f_app,
+    CASE WHEN event_id % 4 = 1 THEN pth WHEN event_id % 4 = 0 THEN pth END AS url_path,
+    CASE WHEN event_id % 4 = 1 THEN 'GET' END AS http_method,
+    CASE WHEN event_id % 4 IN (0, 1) THEN status END AS status_code,
+    event_id % 4 = 0 AND status IS NOT NULL AS status_is_number,
+    CASE WHEN event_id % 9 = 0 THEN 'own' END AS own_user,
+    CASE WHEN event_id % 5 = 1 THEN ['daily'] END AS own_tags FROM parts),
+judged AS (SELECT *, NOT (old_level IS NOT NULL AND new_level IS NOT NULL) AS done FROM doc),
+folded AS (SELECT *, CASE WHEN own_tags IS NULL AND (has_labels OR has_metadata) THEN []
+    ELSE own_tags END AS start FROM judged),
+tagged AS (SELECT *,
+    CASE WHEN start IS NOT NULL THEN list_concat(start, list_filter(list_concat(l_tags,
+      list_filter(m_tags, lambda m: NOT list_contains(l_tags, m))),
+      lambda x: NOT list_contains(start, x))) END AS f_tags,
+    list_filter([
+      CASE WHEN contains(message, 'Heartbeat:') THEN 'heartbeat' END,
+      CASE WHEN url_path LIKE '%/healthz' THEN 'healthcheck' END,
+      CASE WHEN status_code IS NOT NULL THEN 'request' END,
+      CASE WHEN status_is_number AND status_code = 401 OR contains(message, 'Unauthorized')
+           THEN 'auth' END,
+      CASE WHEN logger LIKE '%Lifetime' OR logger LIKE '%Migrations' THEN 'startup' END,
+      CASE WHEN logger LIKE '%Database' THEN 'db' END], lambda x: x IS NOT NULL) AS auto FROM folded),
+norm AS (SELECT event_id, ts, message,
+    CASE WHEN done THEN coalesce(new_level, old_level, 'Information') ELSE new_level END AS level,
+    CASE WHEN done THEN coalesce(l_app, f_app, 'unknown') END AS service,
+    CASE WHEN done THEN l_env END AS environment,
+    CASE WHEN done THEN coalesce(f_user_name, l_user_name, l_username, own_user)
+         ELSE own_user END AS user_name,
+    CASE WHEN done THEN coalesce(f_user_id, l_user_id) END AS user_id,
+    CASE WHEN done THEN logger END AS logger, CASE WHEN done THEN host END AS host,
+    CASE WHEN done OR event_id % 4 = 0 THEN url_path END AS url_path,
+    CASE WHEN done THEN http_method END AS http_method,
+    CASE WHEN done OR event_id % 4 = 0 THEN status_code END AS status_code,
+    status_is_number, done,
+    CASE WHEN NOT done THEN own_tags WHEN len(auto) = 0 THEN f_tags
+         ELSE list_concat(coalesce(f_tags, []), auto) END AS tags,
+    l_app, l_env, l_username, l_user_name, l_user_id, has_labels, kind,
+    CASE WHEN has_labels AND event_id % 7 = 0 THEN ' import, k' || k % 3 || ' ,,import' || chr(9)
+      END AS raw_tags FROM tagged)"""
+
+
+def normalized(select: str) -> str:
+    return f"WITH {_RAW}\n{select}"
+
+
+ORACLES["normalize_logs"] = normalized("""
+SELECT event_id, ts, level, message, service, environment, user_name, user_id, logger, host,
+  url_path, http_method, status_code, status_is_number, array_to_string(tags, ',') AS tags,
+  array_to_string(list_sort(list_filter([
+    'Application=' || l_app, 'Environment=' || l_env,
+    CASE WHEN has_labels THEN 'kind=' || kind END,
+    CASE WHEN NOT done THEN 'LogTags=' || raw_tags END,
+    CASE WHEN NOT done THEN 'UserId=' || l_user_id END,
+    CASE WHEN NOT done THEN 'UserName=' || l_user_name END,
+    CASE WHEN NOT done THEN 'Username=' || l_username END,
+    CASE WHEN done THEN 'schema_version=1' ELSE 'schema_error=field [log.level] already exists' END
+  ], lambda x: x IS NOT NULL)), ',') AS labels FROM norm""")
+ORACLES["normalize_errors"] = normalized("""
+SELECT 'field [log.level] already exists' AS schema_error, count(*) AS n FROM norm WHERE NOT done""")
+_AUTO = listed(["heartbeat", "healthcheck", "request", "auth", "startup", "db"])
+for _name, _test in (("fold_tags", "NOT IN"), ("derive_tags", "IN")):
+    ORACLES[_name] = normalized(f"""
+SELECT tag, count(*) AS n, min(event_id) AS first_event FROM (
+  SELECT event_id, unnest(tags) AS tag FROM norm) WHERE tag {_test} {_AUTO} GROUP BY tag""")
+ORACLES["logs_without_noise"] = normalized("""
+SELECT event_id, ts, level, message FROM norm WHERE NOT coalesce(
+  list_contains(tags, 'heartbeat') OR list_contains(tags, 'healthcheck'), FALSE)""")
+ORACLES["fingerprint_documents"] = f"""
+SELECT {fingerprint('text')} AS fp, count(*) AS n, min(doc_id) AS first_doc,
+  max(doc_id) AS last_doc FROM documents WHERE text IS NOT NULL GROUP BY 1"""
+
+# ---- streams: equal to the batch result, as far as the watermark has come ------------------------
+ORACLES["stream_normalize"] = normalized("""
+SELECT event_id, ts, level, service, user_name, array_to_string(tags, ',') AS tags FROM norm""")
+ORACLES["stream_bucket_counts"] = statement([LOGS], """
+SELECT bucket, index_name, level, count(*) AS n FROM (SELECT *,
+  time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') AS bucket FROM logs)
+WHERE bucket + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM logs) GROUP BY ALL""")
+ORACLES["stream_cooldown"] = ORACLES["cooldown_dedupe"]
+ORACLES["stream_first_seen"] = ORACLES["first_seen"]
+ORACLES["stream_index_silent"] = statement(
+    [LOGS.replace("logs AS (", "every_log AS ("),
+     """logs AS (SELECT * FROM every_log WHERE time_bucket(INTERVAL 6 HOUR, ts,
+        TIMESTAMP '2024-01-01') + INTERVAL 6 HOUR <=
+        (SELECT max(ts) - INTERVAL 10 MINUTE FROM every_log))""",
+     *windows(MAIN), *silent_parts(MAIN)[0]], union(silent_parts(MAIN)[1]))
+ORACLES["stream_heartbeats"] = statement([LOGS], "SELECT 'main' AS target, service,"
+    " date_trunc('second', ts)::TIMESTAMP AS last_seen,"
+    f" date_trunc('second', ts)::TIMESTAMP + {seconds(MAIN.staleness)} AS missing_since FROM (" + union([
+    f"""SELECT {q(service)} AS service, ts, lead(ts) OVER (ORDER BY ts) AS next FROM logs
+        WHERE {matches([index])} AND {phrase(WORDS, [text])}"""
+    for service, index, text in MAIN.heartbeats])
+    + f""") WHERE next - ts > {seconds(MAIN.staleness)} OR (next IS NULL AND
+      ts + {seconds(MAIN.staleness)} < (SELECT max(ts) - INTERVAL 10 MINUTE FROM logs))""")

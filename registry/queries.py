@@ -23,9 +23,10 @@ from sentinel.operators import (
 from sentinel.operators.facts import HOST_PHRASES, as_timestamp
 from sentinel.operators.windows import assign
 from sentinel.plans.watch import Watch, flat
-from sentinel.session import use_utc
+from sentinel.session import materialize, use_utc
 from sentinel.sources.event_logs import event_logs, raw_documents
 from sentinel.sources.logs import scan
+from sentinel.streaming import jobs, state
 
 QUERIES = {}
 W_END = f"{as_timestamp('w_end')} AS w_end"
@@ -226,7 +227,7 @@ def baseline_compare(spark, folder):
 def _gate(spark, folder, kind, ignored=False):
     w = watch(spark, folder)
     windows = w.windows if ignored else w.window_counts
-    return flat(gate.gate_signals(windows, w.thresholds, (kind,)))
+    return flat(gate.gate_signals(windows, w.targets, (kind,)))
 
 
 @query
@@ -271,25 +272,25 @@ def new_errors_live(spark, folder):
 @query
 def index_silent(spark, folder):
     w = watch(spark, folder)
-    return flat(silence.index_silent_signals(w.counts, w.targets, w.span, w.thresholds))
+    return flat(silence.index_silent_signals(w.counts, w.targets, w.span))
 
 
 @query
 def heartbeat_missing(spark, folder):
     w = watch(spark, folder)
-    return flat(silence.heartbeat_signals(w.rows, w.targets, w.span, w.thresholds))
+    return flat(silence.heartbeat_signals(w.rows, w.targets, w.span))
 
 
 @query
 def suspicious_requests(spark, folder):
     w = watch(spark, folder)
-    return flat(access.suspicious_signals(access.suspicious_requests(w.requests), w.thresholds))
+    return flat(access.suspicious_signals(access.suspicious_requests(w.requests), w.targets))
 
 
 def _clients(spark, folder, kind):
     w = watch(spark, folder)
     clients = access.access_by_ip(w.requests, w.targets)
-    return flat(access.client_signals(clients, w.thresholds, (kind,)))
+    return flat(access.client_signals(clients, w.targets, (kind,)))
 
 
 @query
@@ -304,7 +305,7 @@ def auth_bruteforce(spark, folder):
 
 def _hosts(spark, folder, kind):
     w = watch(spark, folder)
-    return flat(hosts.host_signals(w.host_windows, w.thresholds, (kind,)))
+    return flat(hosts.host_signals(w.host_windows, w.targets, (kind,)))
 
 
 @query
@@ -342,7 +343,7 @@ def all_signals(spark, folder):
 @query
 def multi_target_gate(spark, folder):
     w = watch(spark, folder, cfg.MULTI)
-    return flat(gate.gate_signals(w.windows, w.thresholds))
+    return flat(gate.gate_signals(w.windows, w.targets))
 
 
 @query
@@ -395,7 +396,7 @@ def cooldown_dedupe(spark, folder):
     w, found = _calm(spark, folder)
     rows = incidents.incidents(found, w.targets).selectExpr(
         "target", "w_end", "signature", "pmod(w_end, 86400) <> 43200 AS delivered")
-    return incidents.cooldown(rows, w.thresholds).selectExpr(
+    return incidents.cooldown(rows, w.targets).selectExpr(
         "target", W_END, "signature", "delivered", "alerted")
 
 
@@ -415,7 +416,7 @@ def verdict_asof(spark, folder):
     stored = rows.where("pmod(w_end, 43200) = 0").selectExpr(
         "target", "signature", "w_end AS ts",
         "CASE WHEN pmod(w_end, 86400) = 0 THEN 'low' ELSE 'high' END AS ext_severity")
-    return incidents.verdict_asof(rows, stored, w.thresholds).selectExpr(
+    return incidents.verdict_asof(rows, stored, w.targets).selectExpr(
         "target", W_END, "signature", f"{as_timestamp('verdict_ts')} AS verdict_ts",
         "ext_severity")
 
@@ -498,3 +499,64 @@ def recent_alerts(spark, folder):
     return history.recent_alerts(_documents(spark, folder), 25)
 
 
+
+
+# ---- streams: everything available now, then the table the stream wrote ------------------------
+
+def _event_stream(spark, folder):
+    schema = table(spark, folder, "events").schema
+    return jobs.read_stream(spark, folder, schema, glob="events.parquet")
+
+
+@query
+def stream_normalize(spark, folder):
+    rows = normalize.normalize(raw_documents(_event_stream(spark, folder)))
+    rows = rows.selectExpr(
+        "CAST(get_json_object(document, '$.event_id') AS BIGINT) AS event_id", "ts", "level",
+        "service", "user_name", "array_join(tags, ',') AS tags")
+    return jobs.run_to_table(rows, "normalized")
+
+
+@query
+def stream_bucket_counts(spark, folder):
+    counts = jobs.bucket_counts(event_logs(_event_stream(spark, folder)), cfg.MAIN, cfg.SPAN)
+    return jobs.run_to_table(counts, "buckets").selectExpr(
+        f"{as_timestamp('bucket')} AS bucket", "index_name", "level", "n")
+
+
+@query
+def stream_index_silent(spark, folder):
+    counts = jobs.bucket_counts(event_logs(_event_stream(spark, folder)), cfg.MAIN, cfg.SPAN)
+    table_ = jobs.run_to_table(counts, "buckets")
+    return flat(silence.index_silent_signals(table_, cfg.MAIN, cfg.SPAN))
+
+
+@query
+def stream_heartbeats(spark, folder):
+    state.use_state_store(spark)
+    minutes = jobs.heartbeat_minutes(event_logs(_event_stream(spark, folder)), cfg.MAIN)
+    found = jobs.run_to_table(state.missing_heartbeats(minutes), "heartbeats")
+    return found.selectExpr("target", "service", f"{as_timestamp('last_second')} AS last_seen",
+                            f"{as_timestamp('missing_since')} AS missing_since")
+
+
+@query
+def stream_cooldown(spark, folder):
+    state.use_state_store(spark)
+    w, found = _calm(spark, folder)
+    rows = materialize(incidents.incidents(found, w.targets).selectExpr(
+        "target", "w_end", "signature", "pmod(w_end, 86400) <> 43200 AS delivered"), "incidents")
+    stream = jobs.read_stream(spark, rows.inputFiles()[0].rsplit("/", 1)[0], rows.schema)
+    return jobs.run_to_table(state.cooldown(stream, w.targets), "cooldown").selectExpr(
+        "target", W_END, "signature", "delivered", "alerted")
+
+
+@query
+def stream_first_seen(spark, folder):
+    state.use_state_store(spark)
+    w = watch(spark, folder)
+    rows = materialize(gate.window_fingerprints(w.templates).where("seen")
+                       .select("target", "fp", "w_end"), "fingerprints")
+    stream = jobs.read_stream(spark, rows.inputFiles()[0].rsplit("/", 1)[0], rows.schema)
+    return jobs.run_to_table(state.first_seen(stream), "first-seen").selectExpr(
+        "target", W_END, "fp")

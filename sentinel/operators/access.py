@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentinel.config import Span, Target
+from sentinel.config import Span, Target, with_limits
 from sentinel.functions import fixed_values as fv
 from sentinel.functions import sql, text
 from sentinel.operators import signals
-from sentinel.operators.windows import assign, per_target, top_k, with_thresholds
+from sentinel.operators.windows import assign, per_target, top_k
 
 
 def watched(targets: list[Target]) -> list[Target]:
@@ -56,7 +56,7 @@ def access_by_ip(requests: DataFrame, targets: list[Target]) -> DataFrame:
     return ranked.drop("rank")
 
 
-def client_signals(clients: DataFrame, thresholds: DataFrame,
+def client_signals(clients: DataFrame, targets: list[Target],
                    kinds: tuple[str, ...] = ("api_scan", "auth_bruteforce")) -> DataFrame:
     scope = sql.when("auth_prefix = ''", "''", sql.fill(fv.AUTH_SCOPE, prefix="auth_prefix"))
     found = {
@@ -72,7 +72,7 @@ def client_signals(clients: DataFrame, thresholds: DataFrame,
                            entity="source_ip", scope=scope, hours="hours"),
         ),
     }
-    return signals.emit(with_thresholds(clients, thresholds), *[found[kind] for kind in kinds])
+    return signals.emit(with_limits(clients, targets), *[found[kind] for kind in kinds])
 
 
 def suspicious_requests(requests: DataFrame) -> DataFrame:
@@ -98,13 +98,13 @@ def suspicious_requests(requests: DataFrame) -> DataFrame:
         listed("path", "paths"), listed("ip", "ips"))
 
 
-def suspicious_signals(suspicious: DataFrame, thresholds: DataFrame) -> DataFrame:
+def suspicious_signals(suspicious: DataFrame, targets: list[Target]) -> DataFrame:
     def shown(column: str, separator: str, nothing: str) -> str:
         keys = f"transform(slice({column}, 1, {fv.SHOWN_SUSPICIOUS}), e -> e.key)"
         return sql.when(f"size({column}) = 0", sql.text(nothing),
                         f"array_join({keys}, {sql.text(separator)})")
 
-    return signals.emit(with_thresholds(suspicious, thresholds), (
+    return signals.emit(with_limits(suspicious, targets), (
         "suspicious >= min_suspicious",
         signals.signal("suspicious_requests", cur="suspicious", threshold="min_suspicious",
                        hours="hours", paths=shown("paths", "; ", fv.NO_PATHS),

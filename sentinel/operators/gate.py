@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentinel.config import Span, Target
+from sentinel.config import Span, Target, with_limits
 from sentinel.functions import fixed_values as fv
 from sentinel.functions import sql, text
 from sentinel.operators import signals
@@ -15,7 +15,6 @@ from sentinel.operators.windows import (
     sides,
     spine,
     top_k,
-    with_thresholds,
 )
 
 GATE_KINDS = ("error_spike", "warn_spike", "fatal", "ingestion_stopped")
@@ -123,10 +122,10 @@ def ignore_degraded(windows: DataFrame, targets: list[Target]) -> DataFrame:
             .where("reason IS NOT NULL"))
 
 
-def gate_signals(windows: DataFrame, thresholds: DataFrame,
+def gate_signals(windows: DataFrame, targets: list[Target],
                  kinds: tuple[str, ...] = GATE_KINDS) -> DataFrame:
     """error_spike, warn_spike (needs `with_ignored`), fatal, ingestion_stopped."""
-    rows = with_thresholds(windows, thresholds)
+    rows = with_limits(windows, targets)
     if "warn_spike" in kinds:
         rows = rows.selectExpr("*", "greatest(0L, warn - ignored) AS loud",
                                "greatest(0L, base_warn - base_ignored) AS base_loud")

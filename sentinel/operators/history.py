@@ -7,12 +7,12 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentinel.config import Span, Target
+from sentinel.config import Span, Target, with_limits
 from sentinel.functions import fixed_values as fv
 from sentinel.functions import sql, text
 from sentinel.operators import gate
 from sentinel.operators.facts import as_timestamp
-from sentinel.operators.windows import spine, top_k, window_end, with_thresholds
+from sentinel.operators.windows import spine, top_k, window_end
 
 DAY = 86400
 
@@ -43,7 +43,7 @@ def retain(rows: DataFrame, time: str, now: int, kept_seconds: int) -> DataFrame
 # ---- alert documents -------------------------------------------------------------------------
 
 def alert_documents(alerts: DataFrame, levels: DataFrame, windows: DataFrame,
-                    templates: DataFrame, thresholds: DataFrame) -> DataFrame:
+                    templates: DataFrame, targets: list[Target]) -> DataFrame:
     """One nested document per alert: verdict, signals, both windows' levels, top messages."""
     keys = ["target", "w_end"]
 
@@ -62,7 +62,7 @@ def alert_documents(alerts: DataFrame, levels: DataFrame, windows: DataFrame,
     no_map = "CAST(map() AS map<string,bigint>)"
     rows = (alerts.join(windows.select(*keys, "total", "base_total"), keys)
             .join(level_maps, keys, "left").join(top, keys, "left"))
-    return with_thresholds(rows, thresholds).selectExpr(
+    return with_limits(rows, targets).selectExpr(
         f"{ts} AS ts", "target", "severity", "summary", "suspected_cause", "recommended_action",
         "external_verdict", "delivered", "signature", "forced", "monitored_indices",
         "window_hours", "signals",

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from sentinel.config import Span, Target
+from sentinel.config import Span, Target, with_limits
 from sentinel.operators import signals
 from sentinel.operators.facts import HOST_PHRASES
-from sentinel.operators.windows import assign, sides, with_thresholds
+from sentinel.operators.windows import assign, sides
 
 PHRASE_KINDS = {
     "linux_ssh_bruteforce": ("ssh_fail", "ssh_threshold"),
@@ -33,7 +33,7 @@ def host_windows(hosts: DataFrame, targets: list[Target], span: Span) -> DataFra
         *sides("total", "total"), *[sides(name, name)[0] for name in HOST_PHRASES])
 
 
-def host_signals(windows: DataFrame, thresholds: DataFrame,
+def host_signals(windows: DataFrame, targets: list[Target],
                  kinds: tuple[str, ...] = HOST_KINDS) -> DataFrame:
     found = {
         # a host without rows in the current window has no phrase counts to test
@@ -47,4 +47,4 @@ def host_signals(windows: DataFrame, thresholds: DataFrame,
         signals.signal("linux_host_silent", cur="total", base="base_total",
                        threshold="silent_min_docs", entity="host", hours="hours"),
     )
-    return signals.emit(with_thresholds(windows, thresholds), *[found[kind] for kind in kinds])
+    return signals.emit(with_limits(windows, targets), *[found[kind] for kind in kinds])

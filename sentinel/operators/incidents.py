@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentinel.config import Target
+from sentinel.config import Target, with_limits
 from sentinel.functions import fixed_values as fv
 from sentinel.functions import sql, text
-from sentinel.operators.windows import with_thresholds
 
 _RANKS = " ".join(f"WHEN {sql.text(s)} THEN {i}" for i, s in enumerate(fv.SEVERITY_ORDER))
 SEVERITY_RANK = f"CASE severity {_RANKS} ELSE 0 END"
@@ -75,7 +74,7 @@ def verdict(rows: DataFrame) -> DataFrame:
     )
 
 
-def cooldown(rows: DataFrame, thresholds: DataFrame) -> DataFrame:
+def cooldown(rows: DataFrame, targets: list[Target]) -> DataFrame:
     """Mark each window as alerted or suppressed by an earlier alert with the same signature.
 
     Suppressed windows do not extend the pause and undelivered alerts do not start one, so the
@@ -95,7 +94,7 @@ def cooldown(rows: DataFrame, thresholds: DataFrame) -> DataFrame:
         " ELSE concat(s.alerts, array(e.w_end)) END), s -> s.alerts)"
     )
     decided = (
-        with_thresholds(ends, thresholds.select("target", "cooldown"))
+        with_limits(ends, targets)
         .selectExpr("target", "signature", "ends", f"{alerts} AS alerts")
         .selectExpr("target", "signature",
                     "inline(transform(ends, e -> named_struct('w_end', e.w_end,"
@@ -114,7 +113,7 @@ def daily_quota(rows: DataFrame, per_day: int) -> DataFrame:
     )
 
 
-def verdict_asof(rows: DataFrame, verdicts: DataFrame, thresholds: DataFrame) -> DataFrame:
+def verdict_asof(rows: DataFrame, verdicts: DataFrame, targets: list[Target]) -> DataFrame:
     """Latest stored verdict of the same (target, signature) younger than the target's limit.
 
     Both sides are put on one time line and the last verdict is carried forward: no range join.
@@ -130,6 +129,6 @@ def verdict_asof(rows: DataFrame, verdicts: DataFrame, thresholds: DataFrame) ->
         "last(stored, true) OVER (PARTITION BY target, signature ORDER BY w_end, side"
         " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stored").where("side = 1")
     fresh = "w_end - stored.ts < verdict_ttl"
-    return with_thresholds(carried, thresholds.select("target", "verdict_ttl")).selectExpr(
+    return with_limits(carried, targets).selectExpr(
         *rows.columns, f"CASE WHEN {fresh} THEN stored.ts END AS verdict_ts",
         *[f"CASE WHEN {fresh} THEN stored.{c} END AS {c}" for c in ext])

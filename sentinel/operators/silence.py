@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentinel.config import Span, Target, bucket_seconds
+from sentinel.config import Span, Target, bucket_seconds, with_limits
 from sentinel.functions import sql, text
 from sentinel.functions.index_names import index_family, index_matches
 from sentinel.operators import signals
 from sentinel.operators.facts import SECOND
-from sentinel.operators.windows import per_target, spine, window_end, with_thresholds
+from sentinel.operators.windows import per_target, window_end
 
 
 def family_buckets(counts: DataFrame, targets: list[Target]) -> DataFrame:
@@ -61,13 +61,12 @@ def family_windows(counts: DataFrame, targets: list[Target], span: Span) -> Data
     )
 
 
-def index_silent_signals(counts: DataFrame, targets: list[Target], span: Span,
-                         thresholds: DataFrame) -> DataFrame:
+def index_silent_signals(counts: DataFrame, targets: list[Target], span: Span) -> DataFrame:
     """A family fell silent while at least one other still logs."""
     rows = family_windows(counts, targets, span).selectExpr(
         "*", "sum(cur) OVER (PARTITION BY target, w_end) AS alive"
     ).where("alive > 0 AND cur = 0 AND base > 0")
-    return signals.emit(with_thresholds(rows, thresholds), (
+    return signals.emit(with_limits(rows, targets), (
         "base >= min_errors",
         signals.signal("index_silent", cur="cur", base="base", threshold="min_errors",
                        entity="family", hours="silent_hours"),
@@ -80,7 +79,7 @@ def heartbeat_counts(rows: DataFrame, targets: list[Target], span: Span) -> Data
     # most rows are not close enough to a window end: drop them before looking at their text
     close = sql.any_of([f"{window_end(SECOND, span.anchor, t.window)} <= {SECOND} + {t.staleness}L"
                         for t in targets])
-    hits, expected = [], []
+    hits, expected = [], []  # both sized by the configuration
     for t in targets:
         # ends w with w - staleness <= ts < w
         first = window_end("second", span.anchor, t.window)
@@ -90,7 +89,9 @@ def heartbeat_counts(rows: DataFrame, targets: list[Target], span: Span) -> Data
             name = {"target": sql.text(t.name), "service": sql.text(service)}
             hits.append(sql.when(f"{index_matches([index])} AND {text.has_phrase('words', [phrase])}",
                                  sql.struct(**name, ends=ends)))
-            expected.append(sql.struct(**name))
+            if span.last_end(t.window) >= span.first_end(t.window):
+                expected.append(sql.struct(**name, ends=f"sequence({span.first_end(t.window)}L,"
+                                           f" {span.last_end(t.window)}L, {t.window}L)"))
     inside = per_target(targets, lambda t: span.covers("w_end", t.window), "false")
     heard = (
         rows.where(close)
@@ -98,19 +99,18 @@ def heartbeat_counts(rows: DataFrame, targets: list[Target], span: Span) -> Data
         .selectExpr(f"inline({sql.compact(hits)})")
         .selectExpr("target", "service", "explode(ends) AS w_end", "1L AS hits").where(inside)
     )
-    spark = rows.sparkSession
-    services = spark.range(1, numPartitions=1).selectExpr(f"inline(array({', '.join(expected)}))")
-    # both sides come from the configuration: windows of a target, services of a target
-    silent = spine(spark, targets, span).join(F.broadcast(services), "target").selectExpr(
-        "target", "service", "w_end", "0L AS hits")
+    silent = (
+        rows.sparkSession.range(1, numPartitions=1)
+        .selectExpr(f"inline(array({', '.join(expected)}))")
+        .selectExpr("target", "service", "explode(ends) AS w_end", "0L AS hits")
+    )
     return (heard.unionByName(silent).groupBy("target", "service", "w_end")
             .agg(F.expr("sum(hits) AS hits")))
 
 
-def heartbeat_signals(rows: DataFrame, targets: list[Target], span: Span,
-                      thresholds: DataFrame) -> DataFrame:
+def heartbeat_signals(rows: DataFrame, targets: list[Target], span: Span) -> DataFrame:
     counts = heartbeat_counts(rows, targets, span).where("hits = 0")
-    return signals.emit(with_thresholds(counts, thresholds), (
+    return signals.emit(with_limits(counts, targets), (
         "true",
         signals.signal("heartbeat_missing", cur="hits", entity="service", minutes="stale_minutes"),
     ))

@@ -91,10 +91,3 @@ def per_target(targets: list[Target], value: Callable[[Target], str], default: s
         return default
     cases = " ".join(f"WHEN {sql.text(t.name)} THEN {v}" for t, v in values)
     return f"CASE target {cases} ELSE {default} END"
-
-
-def with_thresholds(rows: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Thresholds as columns. They come from one configuration (bounded), so they are broadcast."""
-    return rows.join(F.broadcast(thresholds), "target")
-
-

@@ -11,7 +11,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 
-from sentinel.config import Span, Target, targets_frame
+from sentinel.config import Span, Target
 from sentinel.operators import access, facts, gate, history, hosts, incidents, signals, silence
 from sentinel.session import materialize
 
@@ -28,10 +28,6 @@ class Watch:
         self.written = written
         self.rows = facts.prepare(logs, targets, span)
 
-    @cached_property
-    def thresholds(self) -> DataFrame:
-        return targets_frame(self.logs.sparkSession, self.targets)
-
     # ---- facts ----
     @cached_property
     def lines(self) -> DataFrame:
@@ -87,20 +83,20 @@ class Watch:
     # ---- signals ----
     def signals(self, heartbeats: bool = True, live: bool = False) -> DataFrame:
         """Union of all detectors. Replays leave out heartbeats and remember no fingerprints."""
-        targets, span, limits = self.targets, self.span, self.thresholds
-        parts = [gate.gate_signals(self.windows, limits),
+        targets, span = self.targets, self.span
+        parts = [gate.gate_signals(self.windows, targets),
                  gate.new_error_signals(self.templates, targets, live=live)]
         if any(t.silence_window for t in targets):
-            parts.append(silence.index_silent_signals(self.counts, targets, span, limits))
+            parts.append(silence.index_silent_signals(self.counts, targets, span))
         if heartbeats and any(t.heartbeats for t in targets):
-            parts.append(silence.heartbeat_signals(self.rows, targets, span, limits))
+            parts.append(silence.heartbeat_signals(self.rows, targets, span))
         if access.watched(targets):
             parts.append(access.suspicious_signals(
-                access.suspicious_requests(self.requests), limits))
+                access.suspicious_requests(self.requests), targets))
             parts.append(access.client_signals(
-                access.access_by_ip(self.requests, targets), limits))
+                access.access_by_ip(self.requests, targets), targets))
         if hosts.watched(targets):
-            parts.append(hosts.host_signals(self.host_windows, limits))
+            parts.append(hosts.host_signals(self.host_windows, targets))
         return signals.union(parts)
 
     def written_signals(self, heartbeats: bool = True, live: bool = False) -> DataFrame:
@@ -111,15 +107,15 @@ class Watch:
         """Incidents with verdicts, each marked alerted or suppressed by the cooldown."""
         rows = incidents.incidents(found, self.targets)
         if verdicts is not None:
-            rows = incidents.verdict_asof(rows, verdicts, self.thresholds).drop("verdict_ts")
-        return incidents.cooldown(incidents.verdict(rows), self.thresholds)
+            rows = incidents.verdict_asof(rows, verdicts, self.targets).drop("verdict_ts")
+        return incidents.cooldown(incidents.verdict(rows), self.targets)
 
     def alerts(self, found: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
         return self.decided(found, verdicts).where("alerted AND anomalous")
 
     def documents(self, alerts: DataFrame) -> DataFrame:
         return history.alert_documents(alerts, self.levels, self.window_counts, self.templates,
-                                       self.thresholds)
+                                       self.targets)
 
 
 def flat(found: DataFrame) -> DataFrame:
