@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 
 from sentinel.functions import fixed_values as fv
 from sentinel.functions import sql
+from sentinel.session import spread
 
 USER_STAGE = 2
 LAST_STAGE = 8
@@ -155,7 +156,7 @@ def normalize(raw: DataFrame, document: str = "document") -> DataFrame:
     # The last step is a generator of one row: a filter on a normalised column stays above it.
     # Pushed down, it would repeat every expression the column is made of.
     return (
-        raw.selectExpr("*", f"try_parse_json({document}) AS doc")
+        spread(raw).selectExpr("*", f"try_parse_json({document}) AS doc")
         .selectExpr(*carried, *[f"{field(path)} AS {name}" for name, path in PATHS.items()])
         .selectExpr("*", f"CASE {stages} ELSE {LAST_STAGE + 1} END AS fail_stage",
                     f"CASE {errors} END AS schema_error")

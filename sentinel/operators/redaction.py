@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentinel.functions import text
+from sentinel.functions import sql, text
+from sentinel.session import spread
 
 
 def scrub_table(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """The same table with the chosen columns redacted; a narrow job, no shuffle."""
-    return rows.withColumns({c: F.expr(text.scrub(c)) for c in columns})
+    """The same table with the chosen columns redacted; a narrow job."""
+    return spread(rows).withColumns({c: F.expr(text.scrub(c)) for c in columns})
 
 
 def pii_census(rows: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
     """How many rows hold each kind of secret, counted on the raw text in one pass."""
     flags = text.secret_flags(column)
-    return rows.groupBy(*(by or [])).agg(
+    return spread(rows.select(column, *(by or []))).groupBy(*(by or [])).agg(
         F.expr("count(*) AS n_rows"),
         *[F.expr(f"count_if({flag}) AS {name}") for name, flag in flags.items()])
 
@@ -48,7 +49,7 @@ def fingerprint_rollup(rows: DataFrame, column: str = "message", time: str = "ts
 def phrase_counts(rows: DataFrame, column: str, phrases: list[str]) -> DataFrame:
     """Rows holding each phrase as consecutive whole words; every text is tokenised once."""
     tests = ", ".join(
-        f"CASE WHEN {text.has_phrase('words', [p])} THEN {text.sql.text(p)} END" for p in phrases)
+        f"CASE WHEN {text.has_phrase('words', [p])} THEN {sql.text(p)} END" for p in phrases)
     return (
         rows.selectExpr(f"{text.words(column)} AS words")
         .selectExpr(f"explode(array_compact(array({tests}))) AS phrase")
