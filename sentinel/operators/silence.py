@@ -35,14 +35,17 @@ def family_windows(counts: DataFrame, targets: list[Target], span: Span) -> Data
     first = per_target(
         targets, lambda t: f"{span.first_end(t.window) - 2 * t.silence_window}L")
     last = per_target(targets, lambda t: f"{span.last_end(t.window)}L")
-    real = family_buckets(counts, targets)
-    grid = real.select("target", "family").distinct().selectExpr(
-        "target", "family", f"explode(sequence({first}, {last}, {step}L)) AS bucket", "0L AS n")
+    line = "PARTITION BY target, family ORDER BY bucket"
+    # each bucket also fills the gap up to the next one, the first also the time before it
+    begin = f"CASE WHEN prev IS NULL THEN {first} ELSE bucket END"
+    until = f"CASE WHEN next IS NULL THEN {last} ELSE next - {step}L END"
     dense = (
-        real.where(f"bucket BETWEEN {first} AND {last}").unionByName(grid)
-        .groupBy("target", "family", "bucket").agg(F.expr("sum(n) AS n"))
+        family_buckets(counts, targets).where(f"bucket BETWEEN {first} AND {last}")
+        .selectExpr("*", f"lag(bucket) OVER ({line}) AS prev", f"lead(bucket) OVER ({line}) AS next")
+        .selectExpr("target", "family", "bucket AS own", "n",
+                    f"explode(sequence({begin}, {until}, {step}L)) AS bucket")
+        .selectExpr("target", "family", "bucket", "CASE WHEN bucket = own THEN n ELSE 0L END AS n")
     )
-    line = "PARTITION BY target, family ORDER BY bucket"
 
     def earlier(times: int) -> str:
         return per_target(targets, lambda t: (
