@@ -22,8 +22,9 @@ def request_windows(access: DataFrame, targets: list[Target], span: Span) -> Dat
         prefix = t.security_auth_path_prefix
         scoped = text.starts_with_ignoring_case("url_path", prefix) if prefix else "true"
         return {
-            "scoped_fail": sql.when(scoped, "auth_fail", "0L"),
-            "suspicious": sql.when(text.contains_any("url_path", t.path_tokens), "failed", "0L"),
+            "scoped_fail": sql.when(f"auth_fail > 0 AND {scoped}", "auth_fail", "0L"),
+            "suspicious": sql.when(
+                f"failed > 0 AND {text.contains_any('url_path', t.path_tokens)}", "failed", "0L"),
         }
 
     rows = assign(access, watched(targets), span, extra=by_path)

@@ -70,32 +70,35 @@ def count_facts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("bucket", "index_name", "level").agg(F.expr("sum(n) AS n"))
 
 
-def message_facts(rows: DataFrame, targets: list[Target]) -> DataFrame:
-    """Templates of error and warning rows."""
+def message_rows(rows: DataFrame, targets: list[Target]) -> DataFrame:
+    """Templates of error and warning rows, not summed yet."""
     return (
         rows.where(f"{sql.is_in('level', reported_levels(targets))} AND message_template IS NOT NULL")
-        .withColumnRenamed("message_template", "template")
-        .groupBy("bucket", "index_name", "level", "template").agg(F.expr("sum(n) AS n"))
-        .withColumnRenamed("template", "message")
+        .select("bucket", "index_name", "level", F.col("message_template").alias("message"), "n")
     )
 
 
+def message_facts(rows: DataFrame, targets: list[Target]) -> DataFrame:
+    return (message_rows(rows, targets).groupBy("bucket", "index_name", "level", "message")
+            .agg(F.expr("sum(n) AS n")))
+
+
 def host_facts(rows: DataFrame) -> DataFrame:
     rows, sums = _phrase_sums(rows.where("host IS NOT NULL"))
     return rows.groupBy("bucket", "index_name", "host").agg(F.expr("sum(n) AS total"), *sums)
 
 
+def access_rows(rows: DataFrame) -> DataFrame:
+    """Requests with what is counted about them, not summed yet."""
+    codes = ", ".join(map(str, fv.AUTH_STATUS_CODES))
+    return rows.where("status_code IS NOT NULL").selectExpr(
+        "bucket", "index_name", "source_ip", "url_path", "n AS total",
+        "CASE WHEN status_code >= 400 AND status_code < 500 THEN n ELSE 0L END AS c4xx",
+        f"CASE WHEN status_code IN ({codes}) THEN n ELSE 0L END AS auth_fail",
+        "CASE WHEN status_code >= 400 THEN n ELSE 0L END AS failed")
+
+
 def access_facts(rows: DataFrame) -> DataFrame:
     """Requests per client and path. Distinct paths stay countable after any further sum."""
-    counted = {
-        "c4xx": "status_code >= 400 AND status_code < 500",
-        "auth_fail": f"status_code IN ({', '.join(map(str, fv.AUTH_STATUS_CODES))})",
-        "failed": "status_code >= 400",
-    }
-    return (
-        rows.where("status_code IS NOT NULL")
-        .groupBy("bucket", "index_name", "source_ip", "url_path")
-        .agg(F.expr("sum(n) AS total"),
-             *[F.expr(f"coalesce(sum({sql.when(test, 'n')}), 0L) AS {name}")
-               for name, test in counted.items()])
-    )
+    return access_rows(rows).groupBy("bucket", "index_name", "source_ip", "url_path").agg(
+        *[F.expr(f"sum({name}) AS {name}") for name in ("total", "c4xx", "auth_fail", "failed")])
