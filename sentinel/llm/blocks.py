@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 
 SCHEMA = "bucket int, payload binary"
 #: Entries a task gathers before it sends blocks, and text bytes behind one bucket at most.
-FLUSH_ENTRIES = 3_000_000
+FLUSH_ENTRIES = 1_000_000
 BUCKET_BYTES = 256_000_000
 
 
 def bucket_count(texts: DataFrame, column: str = "text") -> int:
-    """Buckets so that one fits in a task: three a shuffle partition, more for very large inputs."""
+    """Buckets so that one fits in a task: one a shuffle partition, more for very large inputs."""
     total = texts.agg(F.sum(F.octet_length(column))).first()[0] or 0
     partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(partitions, math.ceil(total / BUCKET_BYTES))

@@ -289,7 +289,7 @@ def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
-    buckets = 4 * blocks.bucket_count(own)
+    buckets = 2 * blocks.bucket_count(own)
     found = own.where("doc is not null").mapInArrow(_entries(width, num, den, buckets), _FOUND)
     found = materialize(found.groupBy("bucket").applyInArrow(_meet, _OUT), "signatures")
     sets = found.where("peer is null").select("doc", "n", "f1", "f2")

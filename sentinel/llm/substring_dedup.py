@@ -107,7 +107,7 @@ def repeated_places(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     """(doc, mark, places): per document, where windows start that also start in a smaller document."""
     own = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).cast("bigint").alias("doc"), _mark(text_col).alias("mark"), F.col(text_col).alias("text"))
-    buckets = 4 * blocks.bucket_count(own)
+    buckets = 2 * blocks.bucket_count(own)
     found = own.mapInArrow(_entries(width, buckets), _FOUND)
     judged = found.groupBy("bucket").applyInArrow(_judge, _PLACES)
     return judged.groupBy("doc", "mark").agg(F.flatten(F.collect_list("places")).alias("places"))

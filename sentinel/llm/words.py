@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes worked on at once; several arrays of 8 bytes per text byte live meanwhile.
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 1_500_000
 
 _BYTE_BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xD1342543DE82EF95
