@@ -83,7 +83,8 @@ def unpack(payloads: list[bytes], width: int, names: int) -> tuple[np.ndarray, n
             values, at = _take(part, at)
             column.append(np.repeat(values.astype(np.uint64).view(np.int64), counts))
         wide = np.zeros((n, 8), np.uint8)
-        wide[:, :width] = np.frombuffer(raw, np.uint8, n * width, 12 + small).reshape(n, width)
+        if width:
+            wide[:, :width] = np.frombuffer(raw, np.uint8, n * width, 12 + small).reshape(n, width)
         hashes.append(wide.view(np.uint64).ravel())
     return np.concatenate(hashes), np.concatenate(places), [np.concatenate(c) for c in columns]
 

@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from sentinel.llm import blocks
-from sentinel.llm.words import slices, words_of
+from sentinel.llm.words import mix, slices, words_of
 
 #: Words of a window.
 WIDTH = 13
 #: Bytes of a window hash in a block; the bucket adds the high bits.
 HASH_BYTES = 7
-_FOUND = "bucket int, payload binary, doc bigint, mark bigint, places array<int>"
+_FOUND = "bucket int, payload binary, part int"
+_FOUND_NAMES = ["bucket", "payload", "part"]
 _PLACES = "doc bigint, mark bigint, places array<int>"
 
 
@@ -26,15 +27,15 @@ def _mark(text: str | Column) -> Column:
     return F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def _lists(docs: np.ndarray, marks: np.ndarray, places: np.ndarray) -> list[pa.Array]:
-    """One row a document with its places."""
+def _settled(docs: np.ndarray, marks: np.ndarray, places: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
+    """(part, block) of places that are to go; a part gathers all of a document."""
     order = np.lexsort((places, marks, docs))
     docs, marks, places = docs[order], marks[order], places[order]
     new = np.ones(len(docs), bool)
     new[1:] = (docs[1:] != docs[:-1]) | (marks[1:] != marks[:-1])
-    starts = np.flatnonzero(new)
-    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(docs)), pa.int32()), pa.array(places, pa.int32()))
-    return [pa.array(docs[starts], pa.int64()), pa.array(marks[starts], pa.int64()), lists]
+    first = np.flatnonzero(new)
+    spread = mix(docs.view(np.uint64))
+    return list(blocks.pack(spread, np.cumsum(new) - 1, places, [docs[first], marks[first]], parts, 0))
 
 
 def _later(hashes: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -59,17 +60,11 @@ def _entries(width: int, buckets: int):
             return
         later = _later(hashes, docs[owner])
         if later.any():
-            found = _lists(docs[owner[later]], marks[owner[later]], places[later])
-            n = len(found[0])
-            spread = (found[0].to_numpy() % buckets).astype(np.int32)
-            yield pa.record_batch([pa.array(spread, pa.int32()), pa.nulls(n, pa.binary()), *found],
-                                  names=["bucket", "payload", "doc", "mark", "places"])
+            sent = blocks.batch_of(_settled(docs[owner[later]], marks[owner[later]], places[later], buckets))
+            yield pa.record_batch([*sent.columns, sent.column(0)], names=_FOUND_NAMES)
         first = ~later
         rows = list(blocks.pack(hashes[first], owner[first], places[first], [docs, marks], buckets, HASH_BYTES))
-        sent = blocks.batch_of(rows)
-        n = len(rows)
-        yield pa.record_batch([*sent.columns, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
-                               pa.nulls(n, pa.list_(pa.int32()))], names=["bucket", "payload", "doc", "mark", "places"])
+        yield pa.record_batch([*blocks.batch_of(rows).columns, pa.nulls(len(rows), pa.int32())], names=_FOUND_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total, rows = [], 0, 0
@@ -91,16 +86,34 @@ def _entries(width: int, buckets: int):
     return run
 
 
-def _judge(table: pa.Table) -> pa.Table:
-    """Of one bucket: places whose window a smaller document has."""
-    known = table.filter(table.column("payload").is_null()).select(["doc", "mark", "places"])
-    payloads = table.column("payload").drop_null().to_pylist()
-    if not payloads:
-        return known
-    hashes, places, (docs, marks) = blocks.unpack(payloads, HASH_BYTES, 2)
-    later = _later(hashes, docs)
-    found = pa.table(_lists(docs[later], marks[later], places[later]), names=["doc", "mark", "places"])
-    return pa.concat_tables([known.cast(found.schema), found])
+def _judge(buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Of one bucket: places whose window a smaller document has, and those that tasks settled before."""
+        open_ = table.column("part").is_null()
+        known = table.filter(table.column("part").is_valid()).select(["part", "payload"])
+        payloads = table.filter(open_).column("payload").to_pylist()
+        if not payloads:
+            return known
+        hashes, places, (docs, marks) = blocks.unpack(payloads, HASH_BYTES, 2)
+        later = _later(hashes, docs)
+        rows = _settled(docs[later], marks[later], places[later], buckets)
+        found = pa.table([pa.array([p for p, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())],
+                         names=["part", "payload"])
+        return pa.concat_tables([known.cast(found.schema), found])
+
+    return run
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """Of one part: a row for each document with all its places."""
+    _, places, (docs, marks) = blocks.unpack(table.column("payload").to_pylist(), 0, 2)
+    order = np.lexsort((places, marks, docs))
+    docs, marks, places = docs[order], marks[order], places[order]
+    new = np.ones(len(docs), bool)
+    new[1:] = (docs[1:] != docs[:-1]) | (marks[1:] != marks[:-1])
+    first = np.flatnonzero(new)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(docs)), pa.int32()), pa.array(places, pa.int32()))
+    return pa.table([pa.array(docs[first], pa.int64()), pa.array(marks[first], pa.int64()), lists], names=["doc", "mark", "places"])
 
 
 def repeated_places(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,8 +122,8 @@ def repeated_places(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
         F.col(id_col).cast("bigint").alias("doc"), _mark(text_col).alias("mark"), F.col(text_col).alias("text"))
     buckets = 2 * blocks.bucket_count(own)
     found = own.mapInArrow(_entries(width, buckets), _FOUND)
-    judged = found.groupBy("bucket").applyInArrow(_judge, _PLACES)
-    return judged.groupBy("doc", "mark").agg(F.flatten(F.collect_list("places")).alias("places"))
+    judged = found.groupBy("bucket").applyInArrow(_judge(buckets), "part int, payload binary")
+    return judged.groupBy("part").applyInArrow(_gather, _PLACES)
 
 
 def _kept(width: int, text_col: str):
