@@ -131,12 +131,14 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float
 def apply_mix(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The mixed corpus: a document once for each pass that takes words of it, cut to these words where a
     block ends inside it. Columns are those of the documents; a text that is cut has one space between words."""
-    chosen = plan.where("taken > 0").groupBy("doc", "mark").agg(F.collect_list(F.struct("size", "passes")).alias("rows"))
     base = docs.columns
-    key = (F.xxhash64(text_col) == F.col("mark")) & F.col(id_col).cast("bigint").eqNullSafe(F.col("doc"))
-    nth = F.row_number().over(Window.partitionBy("doc", "mark").orderBy("doc"))
-    joined = docs.join(chosen, key).withColumn("_row", F.element_at("rows", nth))
-    each = joined.select(*base, F.col("_row.size").alias("_size"), F.explode("_row.passes").alias("_words")).where("_words > 0")
+    # rows of equal id and text are interchangeable: the n-th of them takes the n-th plan
+    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(by[0]))
+    chosen = plan.where("taken > 0").select("doc", "mark", F.col("size").alias("_size"), "passes", nth("doc", "mark").alias("nth"))
+    numbered = docs.withColumn("_doc", F.col(id_col).cast("bigint")).withColumn("_mark", F.xxhash64(text_col))
+    numbered = numbered.withColumn("_nth", nth("_doc", "_mark"))
+    joined = numbered.join(chosen.hint("merge"), F.col("_doc").eqNullSafe(F.col("doc")) & (F.col("_mark") == F.col("mark")) & (F.col("_nth") == F.col("nth")))
+    each = joined.select(*[numbered[c] for c in base], "_size", F.explode("passes").alias("_words")).where("_words > 0")
     cut = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0)), F.lit(1), F.col("_words").cast("int")), " ")
     text = F.when(F.col("_words") == F.col("_size"), F.col(text_col)).otherwise(cut)
     return each.withColumn(text_col, text).select(*base)

@@ -167,7 +167,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     removed nor removing. Repeated rows, and rows of one id with other texts, don't remove each other's
     words. Result columns replace columns of the same name; other columns pass.
     """
-    places = repeated_places(docs, width, id_col, text_col)
+    places = repeated_places(docs, width, id_col, text_col).hint("merge")
     base = docs.drop("n_words", "n_removed")
     keyed = base.withColumn("_llm_doc", F.col(id_col).cast("bigint")).withColumn("_llm_mark", _mark(text_col))
     joined = keyed.join(places, (F.col("_llm_doc") == places.doc) & (F.col("_llm_mark") == places.mark), "left")

@@ -24,8 +24,9 @@ from sentinel.llm.words import slices
 
 #: Labelled rows that the classifier is fitted on, at most; chosen by a hash, so independent of order.
 SAMPLE = 12_000
-#: A learned pattern is in so many toxic documents at least, and so much more frequent there (natural log).
-SUPPORT, LIFT = 3, 1.5
+#: A learned pattern is in so many toxic documents at least; were it only RATIO times as likely to be toxic as
+#: any document, the chance to see so many would be below CHANCE (many patterns are tried).
+SUPPORT, RATIO, CHANCE = 3, 2.5, 1e-4
 #: Lengths of learned word beginnings.
 STEMS = range(3, 9)
 
@@ -54,7 +55,7 @@ class Grammar:
 
 
 #: Used where no labels teach anything else.
-UNTAUGHT = ((-4.0, 2.0, 1.0, 1.0))
+UNTAUGHT = (-4.0, 2.0, 0.5, 1.0)
 
 
 class Acceptor(dict):
@@ -138,8 +139,9 @@ def _count(only: frozenset[str] | None):
     """Pattern counts of a task's texts: occurrences, and documents that have one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        times, docs, total = Counter(), Counter(), 0
+        times, docs, total, texts = Counter(), Counter(), 0, 0
         for batch in batches:
+            texts += batch.num_rows
             for text in batch.column("text"):
                 words = Counter(_WORDS((text.as_py() or "").lower()))
                 total += sum(words.values())
@@ -152,31 +154,66 @@ def _count(only: frozenset[str] | None):
                 docs.update(own.keys())
         keys = list(times)
         yield pa.record_batch([pa.array(["", *keys]), pa.array([total, *(times[k] for k in keys)], pa.int64()),
-                               pa.array([0, *(docs[k] for k in keys)], pa.int64())], names=["pattern", "times", "docs"])
+                               pa.array([texts, *(docs[k] for k in keys)], pa.int64())], names=["pattern", "times", "docs"])
 
     return run
 
 
-def _counts(texts: DataFrame, only: frozenset[str] | None, least: int) -> tuple[int, dict[str, int]]:
-    """All words, and occurrences of the patterns in at least so many documents; bounded by the sample."""
+def _counts(texts: DataFrame, only: frozenset[str] | None, least: int) -> dict[str, tuple[int, int]]:
+    """Occurrences and documents of the patterns in at least so many documents, and under "" the words and
+    documents of all; bounded by the sample."""
     found = texts.select("text").mapInArrow(_count(only), "pattern string, times bigint, docs bigint")
-    rows = found.groupBy("pattern").agg(F.sum("times").alias("times"), F.sum("docs").alias("docs")).where(
-        (F.col("docs") >= least) | (F.col("pattern") == "")).collect()
-    times = {r.pattern: r.times for r in rows}
-    return times.pop("", 0), times
+    rows = found.groupBy("pattern").agg(F.sum("times").alias("times"), F.sum("docs").alias("docs"))
+    return {"": (0, 0)} | {r.pattern: (r.times, r.docs) for r in rows.where((F.col("docs") >= least) | (F.col("pattern") == "")).collect()}
 
 
-def _regress(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
-    """Logistic regression by Newton steps, weights held near the untaught ones where data say little."""
+def _chance(k: int, n: int, p: float) -> float:
+    """Upper bound of the chance of k or more of n (Chernoff)."""
+    x = k / n
+    if x <= p:
+        return 1.0
+    rest = (1 - x) * math.log((1 - x) / (1 - p)) if x < 1 else 0.0
+    return math.exp(-n * (x * math.log(x / p) + rest))
+
+
+def _lifts(toxic: dict[str, tuple[int, int]], clean: dict[str, tuple[int, int]]) -> dict[str, float]:
+    """Log ratio of a word's frequency in toxic and clean texts, for patterns whose documents prove one.
+
+    Of patterns in nearly the same documents the longest stays: `trash$`, not `tra`.
+    """
+    (words1, docs1), (words0, docs0) = toxic[""], clean[""]
+    out, longer = {}, Counter()
+    for p, (n1, d1) in toxic.items():
+        n0, d0 = clean.get(p, (0, 0))
+        if p and _chance(d1, d1 + d0, min(0.9, RATIO * docs1 / (docs1 + docs0))) <= CHANCE:
+            lift = math.log((n1 + 0.5) / (words1 + 1)) - math.log((n0 + 0.5) / (words0 + 1))
+            if lift > 0:
+                out[p] = min(lift, 8.0)
+                stem = p.rstrip("$")
+                for n in STEMS:
+                    if n < len(p) and n <= len(stem):
+                        longer[stem[:n]] = max(longer[stem[:n]], d1)
+    return {p: w for p, w in out.items() if longer[p] < 0.95 * toxic[p][1]}
+
+
+def _regress(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Logistic regression by damped Newton steps, weights held near the untaught ones where data say little."""
     prior = np.array(UNTAUGHT)
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + ridge / 2 * ((w - prior) ** 2).sum())
+
     w = prior.copy()
-    for _ in range(50):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = x.T @ (p - y) + ridge * (w - prior)
         h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
-        step = np.linalg.solve(h, g)
-        w = w - step
-        if np.abs(step).max() < 1e-8:
+        step, rate = np.linalg.solve(h, g), 1.0
+        while rate > 1e-4 and loss(w - rate * step) > loss(w):
+            rate /= 2
+        w = w - rate * step
+        if np.abs(rate * step).max() < 1e-7:
             break
     return w
 
@@ -190,15 +227,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
     taught = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     taught = taught.where(~held_out("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(taught, "doc_id").where("text is not null")
+    rows = rows.dropDuplicates(["text"])  # copies prove nothing twice
     rows = rows.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(3))).select("text", "toxic", "fold").persist()
     first = rows.where("fold > 0")
-    words1, times1 = _counts(first.where("toxic = 1"), None, SUPPORT)
-    words0, times0 = _counts(first.where("toxic = 0"), frozenset(times1), 0)
-    patterns = {w + "$": SEED_WEIGHT for w in INSULTS}
-    for p, n in times1.items():
-        lift = math.log((n + 0.5) / (words1 + 1)) - math.log((times0.get(p, 0) + 0.5) / (words0 + 1))
-        if words0 and lift >= LIFT:
-            patterns[p] = min(lift, 8.0)
+    toxic = _counts(first.where("toxic = 1"), None, SUPPORT)
+    clean = _counts(first.where("toxic = 0"), frozenset(toxic), 0)
+    patterns = {w + "$": SEED_WEIGHT for w in INSULTS} | (_lifts(toxic, clean) if clean[""][1] else {})
     patterns = _shortest(patterns)
     tuned = rows.where("fold = 0").select("text", "toxic").mapInArrow(_measured(patterns), "a double, b double, c double, toxic int")
     data = np.array([tuple(r) for r in tuned.collect()], float).reshape(-1, 4)
