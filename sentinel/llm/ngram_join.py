@@ -310,7 +310,8 @@ def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
         F.filter(other, lambda x: x != part), lambda x: F.least(x, part) * F.col("parts") + F.greatest(x, part)))
     members = members.join(sizes, "cluster").select("doc", "cluster", cells.alias("cells"))
 
-    texts = own.where("text is not null").join(members, "doc").select("cluster", "cells", "doc", "text")
+    # texts meet a table with a row per document in a merge join at any size
+    texts = own.where("text is not null").join(members.hint("merge"), "doc").select("cluster", "cells", "doc", "text")
     packed = texts.mapInArrow(_sets(width), "cluster bigint, cells array<bigint>, doc bigint, features binary")
     packed = packed.select("cluster", F.explode("cells").alias("cell"), "doc", "features")
     dealt = packed.repartition("cluster", "cell").sortWithinPartitions("cluster", "cell")
@@ -335,6 +336,6 @@ def _counted(width: int):
 def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents that are the smallest of their group, one row of each; rows with a null id stay."""
     kept = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_llm_kept")).distinct()
-    chosen = docs.join(kept, F.col(id_col).cast("bigint") == F.col("_llm_kept"), "left_semi")
+    chosen = docs.join(kept.hint("merge"), F.col(id_col).cast("bigint") == F.col("_llm_kept"), "left_semi")
     nth = F.row_number().over(Window.partitionBy(F.col(id_col)).orderBy(F.xxhash64(text_col)))
     return chosen.withColumn("_llm_nth", nth).where("_llm_nth = 1").drop("_llm_nth").union(docs.where(F.col(id_col).isNull()))
