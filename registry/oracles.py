@@ -12,9 +12,10 @@ from registry import settings as cfg
 from sentinel.config import Target
 from sentinel.functions import fixed_values as fv
 from sentinel.operators.facts import HOST_PHRASES
-from sentinel.sources.event_logs import EVENT_LOGS_SQL
+from sentinel.sources.event_logs import EVENT_LOGS_SQL, EVENT_ROWS_SQL
 
 LOGS = f"logs AS ({EVENT_LOGS_SQL.replace('{events}', 'events')})"
+ALL_LOGS = f"logs AS ({EVENT_ROWS_SQL.replace('{events}', 'events')})"
 COLUMNS = "target, w_end, kind, severity, entity, cur, base, threshold, extra, detail"
 
 
@@ -54,6 +55,10 @@ def matches(patterns, name: str = "index_name") -> str:
     ) + ")"
 
 
+# The engine has no lookarounds: the neighbours are captured. Twice, as addresses may share the one between them.
+IPV6 = fv.IPV6.replace(r"(?<![0-9A-Za-z:.])(", r"(^|[^0-9A-Za-z:.])(?:").replace(r"(?![0-9A-Za-z.])", r"($|[^0-9A-Za-z.])")
+
+
 def scrub(value: str) -> str:
     for pattern, token in [
         (r"\beyJ[A-Za-z0-9._\-]{10,}\b", "<jwt>"),
@@ -61,6 +66,7 @@ def scrub(value: str) -> str:
         (r"(://[^/\s:@]+:)[^@/\s]+(@)", r"\1<pw>\2"),
         (r"\b[\w.+-]+@[\w-]+\.[\w.-]+\b", "<email>"),
         (r"\b\d{1,3}(?:\.\d{1,3}){3}\b", "<ip>"),
+        (IPV6, r"\1<ip>\2"), (IPV6, r"\1<ip>\2"),
         (r"\b[A-Za-z0-9_\-]{32,}\b", "<token>"),
     ]:
         value = f"regexp_replace({value}, {q(pattern)}, {q(token)}, 'g')"
@@ -141,7 +147,7 @@ def templates(t: Target) -> list[str]:
     return [
         f"raw_{n} AS ({side(0, False)} UNION ALL {side(t.baseline_offset, True)})",
         f"""top_{n} AS (SELECT *, row_number() OVER (PARTITION BY w_end, is_base
-          ORDER BY n DESC, message) AS rank FROM raw_{n} QUALIFY rank <= 15)""",
+          ORDER BY n DESC, message) AS rank FROM raw_{n} {f"QUALIFY rank <= {t.template_limit}" if t.template_limit else ""})""",
         f"""clean_{n} AS (SELECT w_end, is_base, {shown} AS message, CAST(sum(n) AS BIGINT) AS n,
           min(rank) AS rank FROM top_{n} GROUP BY ALL)""",
         f"tpl_{n} AS (SELECT *, ({ignored or 'FALSE'}) AS ignored FROM clean_{n})",
@@ -252,8 +258,7 @@ def access_ctes(t: Target) -> list[str]:
           count(*) FILTER (status IN (401, 403) AND starts_with(lower(path),
             {q(t.security_auth_path_prefix.lower())})) AS scoped_fail,
           count(DISTINCT path) AS distinct_paths
-          FROM req_{n} WHERE source_ip IS NOT NULL GROUP BY w_end, source_ip
-          QUALIFY row_number() OVER (PARTITION BY w_end ORDER BY total DESC, source_ip) <= 20)""",
+          FROM req_{n} WHERE source_ip IS NOT NULL GROUP BY w_end, source_ip)""",
         f"bad_{n} AS (SELECT * FROM req_{n} WHERE status >= 400 AND ({tokens}))",
         f"""badlist_{n} AS (SELECT w_end, what, list(key ORDER BY n DESC, key)[1:5] AS keys FROM (
           SELECT w_end, 'path' AS what, path AS key, count(*) AS n FROM bad_{n} GROUP BY ALL
@@ -411,19 +416,18 @@ SELECT 'main' AS target, w_end, rank, ts, event_id, substr(message, 1, 300) AS s
   FROM spine_main s JOIN rows_main l ON l.ts >= s.w_end - {seconds(MAIN.window)} AND l.ts < s.w_end
   WHERE level IN ('Error', 'Fatal'))
 WHERE rank <= 5 AND message <> ''""")
-ORACLES["field_coverage"] = statement([LOGS], union([
+ORACLES["field_coverage"] = statement([ALL_LOGS], union([
     f"""SELECT '{name}' AS field, count(*) AS n_rows, count({source}) AS n_filled,
-        count(DISTINCT {source}) AS n_distinct FROM logs
-        WHERE ts >= TIMESTAMP '2023-12-30 06:00:00' AND ts < TIMESTAMP '2024-01-31'"""
+        count(DISTINCT {source}) AS n_distinct FROM logs"""
     for name, source in [
         ("level", "level"), ("index_name", "index_name"), ("host", "host"), ("service", "service"),
         ("status_code", "status"), ("source_ip", "source_ip"),
         ("logger", "CAST(NULL AS VARCHAR)"), ("message_template", "message")]]))
 
 # ---- text ------------------------------------------------------------------------------------
-ORACLES["fingerprint_rollup"] = statement([LOGS], f"""
+ORACLES["fingerprint_rollup"] = statement([ALL_LOGS], f"""
 SELECT {fingerprint('message')} AS fp, count(*) AS n, min(ts) AS first_at, max(ts) AS last_at,
-  min(message) AS example FROM logs WHERE ts < TIMESTAMP '2024-01-31' GROUP BY 1""")
+  min(message) AS example FROM logs GROUP BY 1""")
 ORACLES["scrub_table"] = f"""
 SELECT doc_id, lang, source, {scrub('text')} AS text FROM documents"""
 ORACLES["scrub_pages"] = f"""
@@ -435,14 +439,15 @@ _CENSUS = """count(*) AS n_rows,
   count(*) FILTER (regexp_matches(text, '\\b[\\w.+-]+@[\\w-]+\\.[\\w.-]+\\b')) AS email,
   count(*) FILTER (regexp_matches(text, '\\b\\d{1,3}(?:\\.\\d{1,3}){3}\\b')) AS ipv4,
   count(*) FILTER (regexp_matches(text, '\\b[A-Za-z0-9_\\-]{32,}\\b')) AS long_token"""
+_CENSUS += f""",
+  count(*) FILTER (regexp_matches(text, {q(IPV6)})) AS ipv6"""
 ORACLES["pii_census"] = f"SELECT source, {_CENSUS} FROM documents GROUP BY source"
 ORACLES["pii_census_conversations"] = f"SELECT role, {_CENSUS} FROM conversations GROUP BY role"
-ORACLES["scrubbed_messages"] = statement([LOGS], f"""
-SELECT {scrub('message')} AS message, count(*) AS n FROM logs
-WHERE ts < TIMESTAMP '2024-01-31' GROUP BY 1""")
-ORACLES["phrase_counts"] = statement([LOGS], "SELECT * FROM (" + union([
+ORACLES["scrubbed_messages"] = statement([ALL_LOGS], f"""
+SELECT {scrub('message')} AS message, count(*) AS n FROM logs GROUP BY 1""")
+ORACLES["phrase_counts"] = statement([ALL_LOGS], "SELECT * FROM (" + union([
     f"""SELECT {q(p)} AS phrase, count(*) AS n FROM logs
-        WHERE ts < TIMESTAMP '2024-01-31' AND {phrase(WORDS, [p])}"""
+        WHERE {phrase(WORDS, [p])}"""
     for group in HOST_PHRASES.values() for p in group]) + ") WHERE n > 0")
 
 # ---- counts ----------------------------------------------------------------------------------
@@ -467,7 +472,7 @@ SELECT s.target, s.w_end, {family('l.index_name')} AS family, count(*) AS n
 FROM spine_main s JOIN rows_main l ON l.ts >= s.w_end - {seconds(MAIN.window)} AND l.ts < s.w_end
 GROUP BY ALL""")
 ORACLES["top_messages"] = main_windows(
-    "SELECT 'main' AS target, w_end, message, n, rank FROM top_main WHERE NOT is_base")
+    "SELECT 'main' AS target, w_end, message, n, rank FROM top_main WHERE NOT is_base AND rank <= 15")
 ORACLES["access_by_ip"] = main_windows("""SELECT 'main' AS target, w_end, source_ip, total, c4xx,
   auth_fail, scoped_fail, distinct_paths FROM ip_main""", *access_ctes(MAIN))
 ORACLES["host_counts"] = main_windows("""SELECT 'main' AS target, w_end, host, total, base_total,
@@ -481,7 +486,7 @@ ORACLES["baseline_compare"] = statement(
 for _kind in ("error_spike", "warn_spike", "fatal", "ingestion_stopped"):
     _ctes, _parts = gate_parts(MAIN, (_kind,))
     ORACLES[_kind] = statement([LOGS, *_ctes], union(_parts))
-ORACLES["ignore_degraded"] = main_windows("""
+ORACLES["ignore_degraded"] = statement([LOGS, *windows(cfg.LISTED[0]), *templates(cfg.LISTED[0])], """
 SELECT * FROM (SELECT w.target, w.w_end, w.warn, coalesce(i.n_templates, 0) AS n_templates,
   CASE WHEN coalesce(i.n_templates, 0) = 0 THEN 'no templates'
        WHEN i.n_templates >= 15 THEN 'template list full' END AS reason
@@ -547,8 +552,8 @@ SELECT a.w_end AS ts, a.target, a.severity, {q(fv.RULE_SUMMARY)} AS summary, a.f
   a.signature, CAST(6 AS DOUBLE) AS window_hours,
   {q(','.join(CALM.indices))} AS monitored_indices, a.signals, w.total,
   coalesce({_level_text(0)}, '') AS levels,
-  coalesce((SELECT string_agg(message || '=' || n, '|' ORDER BY rank) FROM (
-    SELECT * FROM tpl_calm x WHERE x.w_end = a.w_end AND NOT is_base ORDER BY rank LIMIT 10)), '')
+  coalesce((SELECT string_agg(message || '=' || n, '|' ORDER BY n DESC, message) FROM (
+    SELECT * FROM tpl_calm x WHERE x.w_end = a.w_end AND NOT is_base ORDER BY n DESC, message LIMIT 10)), '')
     AS top_error_messages,
   w.base_total, coalesce({_level_text(CALM.baseline_offset)}, '') AS base_levels,
   'alerts-' || strftime(a.w_end, '%Y.%m') AS alert_index, strftime(a.w_end, '%Y.%m') AS month

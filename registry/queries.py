@@ -49,6 +49,11 @@ def logs(spark, folder):
     return event_logs(table(spark, folder, "events"))
 
 
+def all_logs(spark, folder):
+    """Every event as a log row, without the planted outages."""
+    return event_logs(table(spark, folder, "events"), outages=False)
+
+
 def watch(spark, folder, targets=cfg.MAIN, span=cfg.SPAN, written=False):
     return Watch(logs(spark, folder), targets, span, written=written)
 
@@ -71,7 +76,7 @@ def error_samples(spark, folder):
 
 @query
 def field_coverage(spark, folder):
-    return quality.field_coverage(watch(spark, folder).rows, cfg.COVERAGE_FIELDS)
+    return quality.field_coverage(all_logs(spark, folder), cfg.COVERAGE_FIELDS)
 
 
 # ---- normalisation ---------------------------------------------------------------------------
@@ -122,8 +127,7 @@ def logs_without_noise(spark, folder):
 
 @query
 def fingerprint_rollup(spark, folder):
-    rows = watch(spark, folder).rows
-    return redaction.fingerprint_rollup(rows)
+    return redaction.fingerprint_rollup(all_logs(spark, folder))
 
 
 @query
@@ -146,23 +150,23 @@ def scrub_pages(spark, folder):
 
 @query
 def pii_census(spark, folder):
-    return redaction.pii_census(table(spark, folder, "documents"), "text", ["source"]).drop("ipv6")
+    return redaction.pii_census(table(spark, folder, "documents"), "text", ["source"])
 
 
 @query
 def pii_census_conversations(spark, folder):
-    return redaction.pii_census(table(spark, folder, "conversations"), "text", ["role"]).drop("ipv6")
+    return redaction.pii_census(table(spark, folder, "conversations"), "text", ["role"])
 
 
 @query
 def scrubbed_messages(spark, folder):
-    return redaction.scrubbed_messages(watch(spark, folder).rows)
+    return redaction.scrubbed_messages(all_logs(spark, folder))
 
 
 @query
 def phrase_counts(spark, folder):
     phrases = [p for group in HOST_PHRASES.values() for p in group]
-    return redaction.phrase_counts(watch(spark, folder).rows, "message", phrases)
+    return redaction.phrase_counts(all_logs(spark, folder), "message", phrases)
 
 
 # ---- counts ----------------------------------------------------------------------------------
@@ -197,14 +201,14 @@ def index_family_counts(spark, folder):
 @query
 def top_messages(spark, folder):
     w = watch(spark, folder)
-    return gate.top_messages(w.messages, w.targets, w.span, baseline=False).selectExpr(
+    return gate.top_messages(w.messages, w.targets, w.span).selectExpr(
         "target", W_END, "message", "n", "CAST(rank AS BIGINT) AS rank")
 
 
 @query
 def access_by_ip(spark, folder):
     w = watch(spark, folder)
-    return access.access_by_ip(w.requests, w.targets).selectExpr(
+    return access.busiest_clients(access.access_by_ip(w.requests), w.targets).selectExpr(
         "target", W_END, "source_ip", "total", "c4xx", "auth_fail", "scoped_fail",
         "distinct_paths")
 
@@ -242,7 +246,7 @@ def warn_spike(spark, folder):
 
 @query
 def ignore_degraded(spark, folder):
-    w = watch(spark, folder)
+    w = watch(spark, folder, cfg.LISTED)
     return gate.ignore_degraded(w.windows, w.targets).selectExpr(
         "target", W_END, "warn", "n_templates", "reason")
 
@@ -289,7 +293,7 @@ def suspicious_requests(spark, folder):
 
 def _clients(spark, folder, kind):
     w = watch(spark, folder)
-    clients = access.access_by_ip(w.requests, w.targets)
+    clients = access.access_by_ip(w.requests)
     return flat(access.client_signals(clients, w.targets, (kind,)))
 
 
@@ -467,7 +471,7 @@ def retain_history(spark, folder):
 @query
 def digest(spark, folder):
     w, alerts = _alerts(spark, folder)
-    return history.digest(w.counts, w.messages, alerts, w.targets, w.span, cfg.DIGEST_DAYS) \
+    return history.digest(w.counts, w.messages, alerts, w.targets, w.span, cfg.DIGEST_DAYS, w.step) \
         .selectExpr("target", W_END, "total", "err", "warn", "alerts", "headline",
                     "array_join(transform(top_errors, e -> concat(e.message, '=', e.n)), '|')"
                     " AS top_errors")
@@ -505,7 +509,8 @@ def recent_alerts(spark, folder):
 
 def _event_stream(spark, folder):
     schema = table(spark, folder, "events").schema
-    return jobs.read_stream(spark, folder, schema, glob="events.parquet")
+    # the table's own path, be it one file or a folder of many; a stream takes a file only by a pattern
+    return jobs.read_stream(spark, f"{folder}/events[.]parquet", schema)
 
 
 @query

@@ -1,5 +1,7 @@
 """Targets and thresholds the registered queries run with, scaled to the test tables."""
 
+from dataclasses import replace
+
 from sentinel.config import Span, targets_from
 
 START, END = "2024-01-01T00:00:00Z", "2024-01-31T00:00:00Z"
@@ -35,6 +37,7 @@ _DOCUMENT = {
 }
 TARGETS = {t.name: t for t in targets_from(_DOCUMENT)}
 MAIN = [TARGETS["main"]]
+LISTED = [replace(TARGETS["main"], template_limit=15)]
 MULTI = [TARGETS["main"], TARGETS["platform"], TARGETS["robots"]]
 CALM = [TARGETS["calm"]]
 MODES = [targets_from({"defaults": {"indices": _EVERYTHING}, "targets": [

@@ -33,28 +33,26 @@ def request_windows(access: DataFrame, targets: list[Target], span: Span) -> Dat
         *[F.expr(f"sum({name}) AS {name}") for name in sums])
 
 
-def access_by_ip(requests: DataFrame, targets: list[Target]) -> DataFrame:
-    """Per client: requests, 4xx, rejected logins (all and in scope), distinct paths.
-
-    `security_top_ips` keeps the busiest clients of a window; None keeps all of them.
-    """
+def access_by_ip(requests: DataFrame) -> DataFrame:
+    """Per client, all of them: requests, 4xx, rejected logins (all and in scope), distinct paths."""
     sums = ["total", "c4xx", "auth_fail", "scoped_fail"]
-    clients = (
+    return (
         requests.where("source_ip IS NOT NULL").groupBy("target", "w_end", "source_ip")
         .agg(*[F.expr(f"sum({name}) AS {name}") for name in sums],
              # one row per path here, so counting rows counts distinct paths
              F.expr("count(url_path) AS distinct_paths"))
     )
-    limits = [t.security_top_ips for t in watched(targets)]
-    if all(limit is None for limit in limits):
+
+
+def busiest_clients(clients: DataFrame, targets: list[Target]) -> DataFrame:
+    """The clients to list: the busiest of a window where a target sets `security_top_ips`, else all."""
+    limited = {t.name: t.security_top_ips for t in watched(targets) if t.security_top_ips is not None}
+    if not limited:
         return clients
-    largest = None if None in limits else max(limits)
-    ranked = top_k(clients, ["target", "w_end"], ["total DESC", "source_ip ASC"], largest)
-    if len(set(limits)) > 1:
-        own = per_target(watched(targets), lambda t: "true" if t.security_top_ips is None
-                         else f"rank <= {t.security_top_ips}", "true")
-        ranked = ranked.where(own)
-    return ranked.drop("rank")
+    capped = sql.is_in("target", list(limited))
+    ranked = top_k(clients.where(capped), ["target", "w_end"], ["total DESC", "source_ip ASC"], max(limited.values()))
+    own = per_target([t for t in watched(targets) if t.name in limited], lambda t: f"rank <= {t.security_top_ips}", "false")
+    return ranked.where(own).drop("rank").union(clients.where(f"NOT {capped}"))
 
 
 def client_signals(clients: DataFrame, targets: list[Target],

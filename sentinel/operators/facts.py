@@ -34,12 +34,15 @@ def reported_levels(targets: list[Target]) -> list[str]:
     return sorted({level for t in targets for level in [*t.error_levels, *t.warn_levels]})
 
 
-def prepare(logs: DataFrame, targets: list[Target], span: Span) -> DataFrame:
-    """Rows any target could need, with their bucket; `n` is 1 so facts can be re-summed."""
-    low, high = scan_bounds(targets, span)
+def prepare(logs: DataFrame, targets: list[Target], span: Span, periods: tuple[int, ...] = ()) -> DataFrame:
+    """Rows any target could need, with their bucket; `n` is 1 so facts can be re-summed.
+
+    `periods` are lengths besides the targets' own that buckets must divide, such as a digest's.
+    """
+    low, high = scan_bounds(targets, span, periods)
     patterns = [p for t in targets for p in [*t.indices, *t.linux_indices]]
     patterns += [index for t in targets for _, index, _ in t.heartbeats]
-    step = bucket_seconds(targets)
+    step = bucket_seconds(targets, periods)
     return (
         between(logs, low, high)
         .where(index_may_match(patterns))

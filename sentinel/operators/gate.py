@@ -52,39 +52,54 @@ def window_counts(counts: DataFrame, targets: list[Target], span: Span) -> DataF
         *sides("n", "fatal", "is_fatal"))
 
 
+def _reported(t: Target) -> str:
+    return sql.is_in("level", [*t.error_levels, *t.warn_levels])
+
+
 def top_messages(messages: DataFrame, targets: list[Target], span: Span,
-                 k: int | None = fv.TOP_MESSAGES, baseline: bool = True) -> DataFrame:
-    """Most frequent raw templates over error and warning levels, per window (and its baseline).
+                 k: int | None = fv.TOP_MESSAGES) -> DataFrame:
+    """Most frequent raw templates over error and warning levels, per window: a list to look at."""
+    rows = assign(messages, targets, span, keep=_reported)
+    return top_k(rows.groupBy("target", "w_end", "message").agg(F.expr("sum(n) AS n")),
+                 ["target", "w_end"], ["n DESC", "message ASC"], k)
 
-    Where baselines are whole windows of the same grid the ranking is done once per window and
-    only the k winners are repeated for the window they are the baseline of.
-    """
-    def reported(t: Target) -> str:
-        return sql.is_in("level", [*t.error_levels, *t.warn_levels])
 
-    order = ["n DESC", "message ASC"]
+def message_windows(messages: DataFrame, targets: list[Target], span: Span) -> DataFrame:
+    """Every raw template over error and warning levels, per window and its baseline.
+
+    Where baselines are whole windows of the same grid a window is summed once, and its sums are
+    repeated for the window that they are the baseline of.
+    """
     window = ["target", "w_end"]
-    if not baseline:
-        rows = assign(messages, targets, span, keep=reported)
-        return top_k(rows.groupBy(*window, "message").agg(F.expr("sum(n) AS n")), window, order, k)
     if any(t.baseline_offset % t.window for t in targets):
-        rows = assign(messages, targets, span, keep=reported, offset=_baseline)
-        side = [*window, "is_base"]
-        return top_k(rows.groupBy(*side, "message").agg(F.expr("sum(n) AS n")), side, order, k)
+        rows = assign(messages, targets, span, keep=_reported, offset=_baseline)
+        return _listed(rows.groupBy(*window, "is_base", "message").agg(F.expr("sum(n) AS n")), targets)
 
-    rows = assign(messages, targets, span, keep=reported, lead=_baseline)
-    ranked = top_k(rows.groupBy(*window, "message").agg(F.expr("sum(n) AS n")), window, order, k)
+    rows = assign(messages, targets, span, keep=_reported, lead=_baseline)
+    summed = rows.groupBy(*window, "message").agg(F.expr("sum(n) AS n"))
     later = f"(w_end + {per_target(targets, lambda t: f'{t.baseline_offset}L')})"
     uses = sql.compact([
         sql.when(per_target(targets, lambda t: span.covers(end, t.window), "false"),
                  sql.struct(w_end=end, is_base=sql.literal(is_base)))
         for end, is_base in (("w_end", False), (later, True))
     ])
-    return ranked.selectExpr("target", "message", "n", "rank", f"inline({uses})")
+    return _listed(summed.selectExpr("target", "message", "n", f"inline({uses})"), targets)
 
 
-def scrubbed_windows(top: DataFrame, targets: list[Target]) -> DataFrame:
-    """Redact the ranked templates, add up those that became equal, mark the ignored ones."""
+def _listed(rows: DataFrame, targets: list[Target]) -> DataFrame:
+    """Only the most frequent templates for targets that set a limit."""
+    limited = [t for t in targets if t.template_limit is not None]
+    if not limited:
+        return rows
+    capped = sql.is_in("target", [t.name for t in limited])
+    ranked = top_k(rows.where(capped), ["target", "w_end", "is_base"], ["n DESC", "message ASC"],
+                   max(t.template_limit for t in limited))
+    own = per_target(limited, lambda t: f"rank <= {t.template_limit}", "false")
+    return ranked.where(own).drop("rank").unionByName(rows.where(f"NOT {capped}"))
+
+
+def scrubbed_windows(messages: DataFrame, targets: list[Target]) -> DataFrame:
+    """Redact all templates, add up those that became equal, mark the ignored ones."""
     # one redaction expression for all targets that want it
     scrubbed = sql.is_in("target", [t.name for t in targets if t.scrub_pii])
 
@@ -95,9 +110,9 @@ def scrubbed_windows(top: DataFrame, targets: list[Target]) -> DataFrame:
 
     shown = sql.when(scrubbed, text.scrub("message"), "message")
     return (
-        top.selectExpr("target", "w_end", "is_base", f"{shown} AS message", "n", "rank")
+        messages.selectExpr("target", "w_end", "is_base", f"{shown} AS message", "n")
         .groupBy("target", "w_end", "is_base", "message")
-        .agg(F.expr("sum(n) AS n"), F.expr("min(rank) AS rank"))
+        .agg(F.expr("sum(n) AS n"))
         .selectExpr("*", f"{per_target(targets, ignored, 'false')} AS ignored")
     )
 
@@ -112,11 +127,13 @@ def with_ignored(windows: DataFrame, templates: DataFrame) -> DataFrame:
 
 
 def ignore_degraded(windows: DataFrame, targets: list[Target]) -> DataFrame:
-    """Windows where the ignore list cannot be trusted: no templates at all, or the list is full."""
+    """Windows where the ignore list cannot be trusted: warnings, but no templates at all, or as many as
+    the target's limit lets through."""
     uses_ignore = sql.is_in("target", [t.name for t in targets
                                        if t.warn_spike_ignore and t.alert_on_warn_spike])
+    limit = per_target([t for t in targets if t.template_limit is not None], lambda t: str(t.template_limit))
     reason = (f"CASE WHEN n_templates = 0 THEN 'no templates'"
-              f" WHEN n_templates >= {fv.TOP_MESSAGES} THEN 'template list full' END")
+              f" WHEN n_templates >= {limit} THEN 'template list full' END")
     return (windows.where(f"{uses_ignore} AND warn > 0")
             .selectExpr("target", "w_end", "warn", "n_templates", f"{reason} AS reason")
             .where("reason IS NOT NULL"))
@@ -170,7 +187,7 @@ def window_fingerprints(templates: DataFrame) -> DataFrame:
 def new_error_signals(templates: DataFrame, targets: list[Target], live: bool = False) -> DataFrame:
     """Fingerprints absent from the baseline; with `live` also never seen in earlier windows.
 
-    At most a top list of templates per window reaches this point, so the lists stay short.
+    They are counted in full; only the few that the text shows are gathered.
     """
     wanted = sql.is_in("target", [t.name for t in targets if t.alert_on_new_signatures])
     fps = window_fingerprints(templates).where(wanted)
@@ -178,11 +195,11 @@ def new_error_signals(templates: DataFrame, targets: list[Target], live: bool =
     if live:
         fps = fps.selectExpr("*", LAST_SEEN)
         fresh += f" AND NOT {KNOWN}"
-    rows = (
-        fps.where(fresh).groupBy("target", "w_end")
-        .agg(F.expr("count(*) AS new"),
-             F.expr(f"slice(array_sort(collect_list(fp)), 1, {fv.SHOWN_FINGERPRINTS}) AS shown"))
-    )
+    fps = fps.where(fresh).select("target", "w_end", "fp")
+    window = ["target", "w_end"]
+    shown = top_k(fps, window, ["fp ASC"], fv.SHOWN_FINGERPRINTS).groupBy(*window).agg(
+        F.expr("array_sort(collect_list(fp)) AS shown"))
+    rows = fps.groupBy(*window).agg(F.expr("count(*) AS new")).join(shown, window)
     return signals.emit(rows, ("true", signals.signal(
         "new_errors", cur="new", extra="shown", shown="array_join(shown, '; ')")))
 

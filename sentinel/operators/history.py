@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentinel.config import Span, Target, with_limits
+from sentinel.config import Span, Target, bucket_seconds, with_limits
 from sentinel.functions import fixed_values as fv
 from sentinel.functions import sql, text
 from sentinel.operators import gate
@@ -53,7 +53,7 @@ def alert_documents(alerts: DataFrame, levels: DataFrame, windows: DataFrame,
 
     level_maps = levels.groupBy(*keys).agg(counts("cur", "levels"), counts("base", "base_levels"))
     top = (
-        top_k(templates.where("NOT is_base"), keys, ["rank"], fv.ALERT_MESSAGES, rank="place")
+        top_k(templates.where("NOT is_base"), keys, ["n DESC", "message ASC"], fv.ALERT_MESSAGES, rank="place")
         .groupBy(*keys)
         .agg(F.expr("transform(array_sort(collect_list(struct(place, message, n))), m ->"
                     " named_struct('message', m.message, 'count', m.n)) AS top_error_messages"))
@@ -89,8 +89,13 @@ def digest_targets(targets: list[Target], period_days: int) -> list[Target]:
 
 
 def digest(counts: DataFrame, messages: DataFrame, alerts: DataFrame, targets: list[Target],
-           span: Span, period_days: int = 1) -> DataFrame:
-    """Per target and period: rows, errors, warnings, alerts, top messages and the headline."""
+           span: Span, period_days: int = 1, step: int | None = None) -> DataFrame:
+    """Per target and period: rows, errors, warnings, alerts, top messages and the headline.
+
+    `step` is the bucket of the facts; one that doesn't divide the period would put rows into a neighbour.
+    """
+    if period_days * DAY % (step or bucket_seconds(targets)):
+        raise ValueError("buckets must divide the digest period: pass it to Watch as one of `periods`")
     periods = digest_targets(targets, period_days)
     keys = ["target", "w_end"]
     totals = gate.window_counts(counts, periods, span).select(*keys, "total", "err", "warn")
@@ -102,7 +107,7 @@ def digest(counts: DataFrame, messages: DataFrame, alerts: DataFrame, targets: l
     scrubbed = sql.is_in("target", [t.name for t in targets if t.scrub_pii])
     shown = sql.when(scrubbed, text.scrub("message"), "message")
     top = (
-        gate.top_messages(messages, periods, span, k=fv.DIGEST_MESSAGES, baseline=False)
+        gate.top_messages(messages, periods, span, k=fv.DIGEST_MESSAGES)
         .selectExpr(*keys, "rank", f"{shown} AS message", "n").groupBy(*keys)
         .agg(F.expr("transform(array_sort(collect_list(struct(rank, message, n))),"
                     " m -> struct(m.message, m.n)) AS top_errors"))
@@ -162,8 +167,8 @@ def run_counters(signals: DataFrame, decided: DataFrame, windows: DataFrame) ->
     """Evaluated windows, alerts, suppressed alerts, and signals by kind before any suppression."""
     labels = (
         windows.selectExpr("'cycles_total' AS counter", "'' AS label")
-        .union(decided.selectExpr("CASE WHEN alerted THEN 'alerts_total' ELSE 'suppressed_total'"
-                                  " END AS counter", "'' AS label"))
+        .union(decided.where("NOT alerted OR anomalous").selectExpr(
+            "CASE WHEN alerted THEN 'alerts_total' ELSE 'suppressed_total' END AS counter", "'' AS label"))
         .union(signals.selectExpr("'signals_total' AS counter", "kind AS label"))
     )
     return labels.groupBy("counter", "label").agg(F.expr("count(*) AS value"))

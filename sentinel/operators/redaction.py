@@ -6,18 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentinel.functions import sql, text
-from sentinel.session import spread
 
 
 def scrub_table(rows: DataFrame, columns: list[str]) -> DataFrame:
     """The same table with the chosen columns redacted; a narrow job."""
-    return spread(rows).withColumns({c: F.expr(text.scrub(c)) for c in columns})
+    return rows.withColumns({c: F.expr(text.scrub(c)) for c in columns})
 
 
 def pii_census(rows: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
     """How many rows hold each kind of secret, counted on the raw text in one pass."""
     flags = text.secret_flags(column)
-    return spread(rows.select(column, *(by or []))).groupBy(*(by or [])).agg(
+    return rows.select(column, *(by or [])).groupBy(*(by or [])).agg(
         F.expr("count(*) AS n_rows"),
         *[F.expr(f"count_if({flag}) AS {name}") for name, flag in flags.items()])
 

@@ -23,15 +23,17 @@ def family_buckets(counts: DataFrame, targets: list[Target]) -> DataFrame:
     )
 
 
-def family_windows(counts: DataFrame, targets: list[Target], span: Span) -> DataFrame:
+def family_windows(counts: DataFrame, targets: list[Target], span: Span, step: int | None = None) -> DataFrame:
     """Rolling counts per index family: the silence window before each end, and the one before it.
 
+    `step` is the bucket of the facts, by default that of these targets together.
+
     A running sum over a gapless bucket grid turns every rolling count into a difference of two
     values, so the cost does not depend on how many windows overlap. A partition is one family's
     buckets, never its rows.
     """
+    step = step or bucket_seconds(targets)
     targets = [t for t in targets if t.silence_window]
-    step = bucket_seconds(targets)
     first = per_target(
         targets, lambda t: f"{span.first_end(t.window) - 2 * t.silence_window}L")
     last = per_target(targets, lambda t: f"{span.last_end(t.window)}L")
@@ -64,9 +66,9 @@ def family_windows(counts: DataFrame, targets: list[Target], span: Span) -> Data
     )
 
 
-def index_silent_signals(counts: DataFrame, targets: list[Target], span: Span) -> DataFrame:
+def index_silent_signals(counts: DataFrame, targets: list[Target], span: Span, step: int | None = None) -> DataFrame:
     """A family fell silent while at least one other still logs."""
-    rows = family_windows(counts, targets, span).selectExpr(
+    rows = family_windows(counts, targets, span, step).selectExpr(
         "*", "sum(cur) OVER (PARTITION BY target, w_end) AS alive"
     ).where("alive > 0 AND cur = 0 AND base > 0")
     return signals.emit(with_limits(rows, targets), (

@@ -1,8 +1,8 @@
 """The whole evaluation: all targets, all windows, all detectors in one job.
 
-`Watch` reads raw logs at most twice (lines and requests), writes the two fact tables to the shared
-work folder and lets every detector start from those. Replaying a year and checking only the latest
-window are the same call with another `Span`.
+`Watch` reads raw logs for lines and for requests, and once more for heartbeats where targets expect any. It
+writes lines and requests as fact tables to the shared work folder and lets every detector start from those.
+Replaying a year and checking only the latest window are the same call with another `Span`.
 """
 
 from __future__ import annotations
@@ -12,24 +12,25 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentinel.config import Span, Target
+from sentinel.config import Span, Target, bucket_seconds
 from sentinel.operators import access, facts, gate, history, hosts, incidents, signals, silence
 from sentinel.session import materialize
 
-FEW_TARGETS = 2
-
 
 class Watch:
-    """One evaluation over one log table. Nothing runs before a result is asked for.
+    """One evaluation over one log table.
 
-    With `written` the facts are tables: written once, then read by every detector. Without it each
-    result stays a single lazy plan over the logs, which suits a single detector.
+    With `written` the facts are tables: written when a result that needs them is built, then read by every
+    detector. Without it each result stays a single lazy plan over the logs, which suits a single detector.
+    `periods` are lengths in seconds that buckets must divide besides the targets' own.
     """
 
-    def __init__(self, logs: DataFrame, targets: list[Target], span: Span, written: bool = False):
+    def __init__(self, logs: DataFrame, targets: list[Target], span: Span, written: bool = False,
+                 periods: tuple[int, ...] = ()):
         self.logs, self.targets, self.span = logs, targets, span
         self.written = written
-        self.rows = facts.prepare(logs, targets, span)
+        self.step = bucket_seconds(targets, periods)
+        self.rows = facts.prepare(logs, targets, span, periods)
 
     # ---- facts ----
     @cached_property
@@ -39,9 +40,7 @@ class Watch:
             return self.rows
         return materialize(facts.line_facts(self.rows, self.targets), "lines")
 
-    # Windows are summed from any rows that carry n. Written lines and, for few targets, messages
-    # and requests go there straight, which saves the shuffle of an intermediate sum. With many
-    # targets that sum comes first, so that rows are not repeated for each of them.
+    # Windows are summed from facts, so raw rows are not repeated for each target.
     @cached_property
     def counts(self) -> DataFrame:
         if self.written:
@@ -50,7 +49,7 @@ class Watch:
 
     @cached_property
     def messages(self) -> DataFrame:
-        if self.written or len(self.targets) <= FEW_TARGETS:
+        if self.written:
             return facts.message_rows(self.lines, self.targets)
         return facts.message_facts(self.rows, self.targets)
 
@@ -65,16 +64,13 @@ class Watch:
     def access(self) -> DataFrame:
         if self.written:
             return materialize(facts.access_facts(self.rows), "access")
-        if len(self.targets) <= FEW_TARGETS:
-            return facts.access_rows(self.rows)
         return facts.access_facts(self.rows)
 
     # ---- windows ----
     @cached_property
     def templates(self) -> DataFrame:
-        top = gate.scrubbed_windows(
-            gate.top_messages(self.messages, self.targets, self.span), self.targets)
-        return materialize(top, "templates") if self.written else top
+        rows = gate.scrubbed_windows(gate.message_windows(self.messages, self.targets, self.span), self.targets)
+        return materialize(rows, "templates") if self.written else rows
 
     @cached_property
     def window_counts(self) -> DataFrame:
@@ -103,14 +99,14 @@ class Watch:
         parts = [gate.gate_signals(self.windows, targets),
                  gate.new_error_signals(self.templates, targets, live=live)]
         if any(t.silence_window for t in targets):
-            parts.append(silence.index_silent_signals(self.counts, targets, span))
+            parts.append(silence.index_silent_signals(self.counts, targets, span, self.step))
         if heartbeats and any(t.heartbeats for t in targets):
             parts.append(silence.heartbeat_signals(self.rows, targets, span))
         if access.watched(targets):
             parts.append(access.suspicious_signals(
                 access.suspicious_requests(self.requests), targets))
             parts.append(access.client_signals(
-                access.access_by_ip(self.requests, targets), targets))
+                access.access_by_ip(self.requests), targets))
         if hosts.watched(targets):
             parts.append(hosts.host_signals(self.host_windows, targets))
         return signals.union(parts)

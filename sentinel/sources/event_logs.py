@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sentinel.sources.logs import conform
 
-EVENT_LOGS_SQL = """
+EVENT_ROWS_SQL = """
 WITH b AS (
   SELECT event_id, ts, user_id, event_type, value,
          CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k,
@@ -54,17 +54,19 @@ SELECT event_id, ts,
        WHEN event_type = 'view' AND k % 10 = 0 THEN 'Heartbeat: ' || service
        ELSE 'ok ' || event_type END AS message
 FROM m
+"""
+EVENT_LOGS_SQL = EVENT_ROWS_SQL + """
 WHERE NOT (ts >= TIMESTAMP '2024-01-25 12:00:00' AND ts < TIMESTAMP '2024-01-25 18:00:00')
   AND NOT (service = 'crawler' AND ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-13 00:00:00')
   AND NOT (user_id % 6 = 3 AND ts >= TIMESTAMP '2024-01-16 00:00:00' AND ts < TIMESTAMP '2024-01-17 12:00:00')
 """
 
 
-def event_logs(events: DataFrame) -> DataFrame:
-    """Canonical logs; the rendered text doubles as the template."""
+def event_logs(events: DataFrame, outages: bool = True) -> DataFrame:
+    """Canonical logs; the rendered text doubles as the template. Without `outages` every event is a row."""
     # TIMESTAMP literals in the statement take the session's default timestamp type, so compare
     # them with the events' zone-less clock explicitly.
-    statement = EVENT_LOGS_SQL.replace("TIMESTAMP '", "TIMESTAMP_NTZ '")
+    statement = (EVENT_LOGS_SQL if outages else EVENT_ROWS_SQL).replace("TIMESTAMP '", "TIMESTAMP_NTZ '")
     logs = events.sparkSession.sql(statement, events=events)
     return conform(logs, {
         "status_code": "status", "url_path": "path", "message_template": "message",

@@ -32,7 +32,7 @@ def test_time_bounds_and_columns_reach_the_scan(spark, folder):
 
 
 def test_top_k_trims_before_the_shuffle(spark, folder):
-    for name in ("top_messages", "error_samples", "access_by_ip"):
+    for name in ("top_messages", "error_samples", "new_errors"):
         assert "WindowGroupLimit" in plan(QUERIES[name](spark, folder))
 
 
@@ -73,11 +73,11 @@ def test_one_hot_key_is_counted_whole(spark):
     watch = Watch(logs, [target], Span.replay("2026-06-01T00:00:00Z", "2026-06-01T06:00:00Z"))
     from sentinel.operators import access, gate
 
-    client = access.access_by_ip(watch.requests, [target]).collect()[0]
+    client = access.access_by_ip(watch.requests).collect()[0]
     assert (client.total, client.c4xx, client.distinct_paths) == (200_000, 200_000, 201)
     hot = {r.host: r for r in watch.host_windows.collect()}["hot"]
     assert (hot.total, hot.ssh_fail) == (199_800, 199_800)
-    top = gate.top_messages(watch.messages, [target], watch.span, baseline=False).collect()
+    top = gate.top_messages(watch.messages, [target], watch.span).collect()
     assert len(top) == 15 and max(r.n for r in top) == 199_800
 
 

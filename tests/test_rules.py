@@ -118,7 +118,7 @@ def test_unscoped_rejections_count_without_a_prefix(spark, logs_of):
              "source_ip": "9.9.9.9"} for i in range(55)]
     for prefix, expected in (("", ["auth_bruteforce"]), ("/api/auth", [])):
         watch = Watch(logs_of(rows), [Target(security_auth_path_prefix=prefix)], SPAN)
-        found = access.client_signals(access.access_by_ip(watch.requests, watch.targets),
+        found = access.client_signals(access.access_by_ip(watch.requests),
                                       watch.targets)
         assert kinds(found) == expected
 
@@ -178,11 +178,14 @@ def test_heartbeats_with_a_limit_longer_than_the_window(spark, logs_of):
 def test_settings():
     targets = targets_from({"defaults": {"min_errors": 9, "indices": "a-*, b"},
                             "targets": [{"name": "x"}, {"name": "y", "min_errors": 1,
-                                                        "warn_spike_ignore": None, "nope": 1}]})
+                                                        "warn_spike_ignore": None, "smtp_port": 1}]})
     assert [(t.name, t.min_errors, t.indices) for t in targets] == [
         ("x", 9, ["a-*", "b"]), ("y", 1, ["a-*", "b"])]
     with pytest.raises(ValueError):
         override(Target(), {"indices": 3})
+    with pytest.raises(ValueError, match="nope"):
+        override(Target(), {"nope": 1})
+    assert override(Target(), {"es_indices": "a-*,b"}).indices == ["a-*", "b"]
     with pytest.raises(ValueError):
         targets_from({"targets": [{"name": "x"}, {"name": "x"}]})
 
@@ -192,3 +195,49 @@ def test_replay_grid():
     assert [(e - span.start) // 3600 for e in
             range(span.first_end(21600), span.last_end(21600) + 1, 21600)] == [6, 12, 18]
     assert bucket_seconds([Target(), Target(window_hours=4.0)]) == 7200
+
+
+def test_detectors_see_rare_templates_and_quiet_clients(spark, logs_of):
+    """A new error behind fifteen louder ones, and a scanner behind twenty busier clients."""
+    rows = [{"ts": f"2026-06-01T0{h}:00:00", "level": "Error", "message": f"loud error {chr(97 + i)}"}
+            for i in range(15) for h in (1, 7) for _ in range(9)]
+    rows += [{"ts": "2026-06-01T08:00:00", "level": "Error", "message": "brand new"}] * 2
+    rows += [{"ts": "2026-06-01T08:00:00", "status_code": 200, "url_path": "/", "source_ip": f"10.0.0.{i}"}
+             for i in range(20) for _ in range(90)]
+    rows += [{"ts": "2026-06-01T08:00:00", "status_code": 404, "url_path": f"/p{i}", "source_ip": "9.9.9.9"} for i in range(60)]
+    watch = Watch(logs_of(rows), [Target()], SPAN)
+    found = gate.new_error_signals(watch.templates, watch.targets).where(f"w_end = {END}").collect()
+    assert [(r.cur, r.extra) for r in found] == [(1, ["brand new"])]
+    clients_ = access.access_by_ip(watch.requests)
+    assert [r.entity for r in access.client_signals(clients_, watch.targets).collect()] == ["9.9.9.9"]
+    assert access.busiest_clients(clients_, [Target(security_top_ips=20)]).count() == 20
+
+
+def test_windows_and_silence_of_mixed_targets(spark, logs_of):
+    """One target's result doesn't depend on the others it runs with, whatever their steps."""
+    rows = [{"ts": f"2026-05-3{d}T{h:02d}:30:00", "index_name": name, "level": "Error", "message": "x"}
+            for d in (0, 1) for h in range(24) for name in ("a", "b") if (d, name) != (1, "a")]
+    mixed = [Target(name="day", min_errors=1), Target(name="hour", window_hours=1.0, ingestion_drop_check=False)]
+    span = Span.replay("2026-05-31T00:00:00Z", "2026-06-01T00:00:00Z")
+
+    def found(targets):
+        watch = Watch(logs_of(rows), targets, span)
+        return sorted((r.entity, r.w_end, r.cur, r.base) for r in silence.index_silent_signals(
+            watch.counts, targets, span, watch.step).collect())
+
+    assert found(mixed) == found(mixed[:1]) != []
+
+
+def test_digest_of_windows_that_do_not_divide_the_day(spark, logs_of):
+    from sentinel.operators import history
+
+    rows = [{"ts": f"2026-06-0{d}T{h:02d}:30:00", "level": "Error", "message": "x"} for d in (1, 2) for h in range(24)]
+    targets = [Target(window_hours=5.0, ingestion_drop_check=False)]
+    span = Span.replay("2026-06-01T00:00:00Z", "2026-06-03T00:00:00Z")
+    none = spark.createDataFrame([], "target STRING, w_end BIGINT")
+    with pytest.raises(ValueError):
+        watch = Watch(logs_of(rows), targets, span)
+        history.digest(watch.counts, watch.messages, none, targets, span, 1, watch.step)
+    watch = Watch(logs_of(rows), targets, span, periods=(86400,))
+    days = history.digest(watch.counts, watch.messages, none, targets, span, 1, watch.step).collect()
+    assert sorted(r.total for r in days) == [24, 24]
