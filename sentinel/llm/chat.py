@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 HEAD, END = "### ", "</turn>"
 _TEXT_CONFLICT = re.compile(r"(\\*)(### |</turn>)")
 _ROLE_CONFLICT = re.compile(r"(\\*)(### |</turn>|:|\n)")
-_TURN = re.compile(r"### ((?:[^:\n\\]|\\+(?:### |</turn>|:|\n)|\\+(?!### |</turn>|:|\n|\\))*?):\n(.*?)\n</turn>\n", re.S)
 
 
 class ParseError(ValueError):
@@ -39,8 +38,8 @@ def parse(text: str, at: int = 0) -> Iterator[tuple[str, str, int]]:
     while at < len(text):
         if not text.startswith(HEAD, at):
             raise ParseError(f"a turn must begin at {at}")
-        role, start = _until(text, at + len(HEAD), (":\n",))
-        content, stop = _until(text, start, ("\n" + END + "\n",))
+        role, start = _until(text, at + len(HEAD), ":\n")
+        content, stop = _until(text, start, "\n" + END + "\n")
         for raw, conflict in ((role, _ROLE_CONFLICT), (content, _TEXT_CONFLICT)):
             if any(not m[1] for m in conflict.finditer(raw)):
                 raise ParseError(f"a control string stands free in the turn at {at}")
@@ -48,16 +47,12 @@ def parse(text: str, at: int = 0) -> Iterator[tuple[str, str, int]]:
         at = stop
 
 
-def _until(text: str, at: int, ends: tuple[str, ...]) -> tuple[str, int]:
-    """Content up to the first end that no backslash precedes, and where it stops."""
-    start = at
-    while True:
-        stop, end = min(((text.find(e, at), e) for e in ends if text.find(e, at) >= 0), default=(-1, ""))
-        if stop < 0:
-            raise ParseError(f"nothing ends what begins at {start}")
-        if stop == start or text[stop - 1] != "\\":
-            return text[start:stop], stop + len(end)
-        at = stop + 1
+def _until(text: str, at: int, end: str) -> tuple[str, int]:
+    """Content up to the first end, and where the end stops. Escaped content holds none: a backslash parts it."""
+    stop = text.find(end, at)
+    if stop < 0:
+        raise ParseError(f"nothing ends what begins at {at}")
+    return text[at:stop], stop + len(end)
 
 
 def written(role: str, text: str) -> str:
@@ -75,10 +70,10 @@ def format_turn(role: str, text: str) -> str:
             read = []
         if read == [(role, text)]:
             return out
-        if (shown, said) != (role, text):
+        escaped = _ROLE_CONFLICT.sub(r"\1\\\2", role), _TEXT_CONFLICT.sub(r"\1\\\2", text)
+        if (shown, said) == escaped:
             raise ParseError("escaped content doesn't read back")
-        shown = _ROLE_CONFLICT.sub(r"\1\\\2", role)
-        said = _TEXT_CONFLICT.sub(r"\1\\\2", text)
+        shown, said = escaped
 
 
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
