@@ -22,10 +22,13 @@ from sentinel.session import materialize
 #: Bytes of a signature in a block, and of a feature in a set that is sent; collisions cost comparisons
 #: only for signatures, and are below 10**-8 a pair of sets for features.
 SIGNATURE_BYTES, FEATURE_BYTES = 5, 6
-#: Features of all sets that one cell compares, about.
-CELL_FEATURES = 800_000
-_FOUND = "bucket int, payload binary, doc bigint, n bigint, f1 bigint, f2 bigint"
-_OUT = "doc bigint, peer bigint, n bigint, f1 bigint, f2 bigint"
+#: Features of all sets that one cell compares, about; members of a signature's group that are looked at together.
+CELL_FEATURES, GROUP = 800_000, 2048
+#: Cells of a set's histogram. The counts of two sets differ by their symmetric difference at most.
+HISTOGRAM = 128
+_FOUND = "bucket int, payload binary, doc bigint, n bigint, f1 bigint, f2 bigint, histogram binary"
+_FOUND_NAMES = ["bucket", "payload", "doc", "n", "f1", "f2", "histogram"]
+_OUT = "doc bigint, n bigint, f1 bigint, f2 bigint, histogram binary, met bigint, part int, members array<bigint>"
 
 
 def features_of(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,9 +121,8 @@ def _entries(width: int, num: int, den: int, buckets: int):
             order = np.argsort(owner, kind="stable")
             rows = list(blocks.pack(hashes[order], owner[order], np.zeros(len(order), np.int64), [docs], buckets,
                                     SIGNATURE_BYTES))
-            empty = pa.nulls(len(rows), pa.int64())
-            yield pa.record_batch([*blocks.batch_of(rows).columns, empty, empty, empty, empty],
-                                  names=["bucket", "payload", "doc", "n", "f1", "f2"])
+            empty = [pa.nulls(len(rows), pa.int64())] * 4
+            yield pa.record_batch([*blocks.batch_of(rows).columns, *empty, pa.nulls(len(rows), pa.binary())], names=_FOUND_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, docs, seen, total = [], [], set(), 0
@@ -133,10 +135,12 @@ def _entries(width: int, num: int, den: int, buckets: int):
                 f1 = _sums(rows, mix(sets), hi - lo)
                 f2 = _sums(rows, mix(~sets), hi - lo)
                 n = hi - lo
+                cells = rows * HISTOGRAM + ((sets * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(57)).astype(np.int64)
+                counts = np.minimum(np.bincount(cells, minlength=n * HISTOGRAM), 255).astype(np.uint8).reshape(n, -1)
                 yield pa.record_batch(
                     [pa.array((own % buckets).astype(np.int32)), pa.nulls(n, pa.binary()), pa.array(own), pa.array(sizes),
-                     pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64))],
-                    names=["bucket", "payload", "doc", "n", "f1", "f2"])
+                     pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array([c.tobytes() for c in counts], pa.binary())],
+                    names=_FOUND_NAMES)
                 # of equal sets in the task, the smallest id met first stands for those after it
                 fresh = np.zeros(n, bool)
                 for r in np.argsort(own, kind="stable"):
@@ -161,22 +165,104 @@ def _entries(width: int, num: int, den: int, buckets: int):
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Of one bucket: each document with the smallest one that has one of its signatures, and the sets' own rows."""
-    sets = table.filter(table.column("payload").is_null()).select(["doc", "n", "f1", "f2"])
-    sets = sets.add_column(1, "peer", pa.nulls(len(sets), pa.int64()))
+    """Of one bucket: the documents that share a signature, once for all signatures that the same ones share,
+    large groups as pairs of parts; and the sets' own rows."""
+    names = ["doc", "n", "f1", "f2", "histogram"]
+    sets = table.filter(table.column("payload").is_null()).select(names)
+    empty = pa.schema([("met", pa.int64()), ("part", pa.int32()), ("members", pa.list_(pa.int64()))])
+    for field in empty:
+        sets = sets.append_column(field, pa.nulls(len(sets), field.type))
     payloads = table.column("payload").drop_null().to_pylist()
     if not payloads:
         return sets
     hashes, _, (docs,) = blocks.unpack(payloads, SIGNATURE_BYTES, 1)
-    order = np.argsort(hashes, kind="stable")
+    order = np.lexsort((docs, hashes))
     hashes, docs = hashes[order], docs[order]
+    fresh = np.append(True, (hashes[1:] != hashes[:-1]) | (docs[1:] != docs[:-1]))
+    hashes, docs = hashes[fresh], docs[fresh]
     starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
-    least = np.repeat(np.minimum.reduceat(docs, starts), np.diff(np.append(starts, len(docs))))
-    far = docs != least
-    pairs = np.unique(np.stack([docs[far], least[far]], axis=1), axis=0)
-    empty = pa.nulls(len(pairs), pa.int64())
-    met = pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), empty, empty, empty], names=sets.schema.names)
-    return pa.concat_tables([sets, met.cast(sets.schema)])
+    sizes = np.diff(np.append(starts, len(docs)))
+    marks = np.add.reduceat(mix(docs.view(np.uint64) + np.uint64(1)), starts)
+    several = np.flatnonzero(sizes > 1)
+    _, first = np.unique(marks[several], return_index=True)
+    met, parts, members = [], [], []
+    half = GROUP // 2
+    for g in several[first]:
+        own = docs[starts[g]: starts[g] + sizes[g]]
+        if len(own) <= GROUP:
+            chosen = [own]
+        else:
+            pieces = [own[i: i + half] for i in range(0, len(own), half)]
+            chosen = [np.concatenate([x, y]) for i, x in enumerate(pieces) for y in pieces[i + 1:]]
+        met += [int(marks[g].view(np.int64))] * len(chosen)
+        parts += range(len(chosen))
+        members += chosen
+    n = len(met)
+    cuts = np.concatenate([[0], np.cumsum([len(m) for m in members])]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(members) if n else [], pa.int64()))
+    found = pa.table([*[pa.nulls(n, sets.schema.field(c).type) for c in names], pa.array(met, pa.int64()),
+                      pa.array(parts, pa.int32()), lists], names=sets.schema.names)
+    return pa.concat_tables([sets, found.cast(sets.schema)])
+
+
+def _spread(near: np.ndarray, docs: np.ndarray) -> list[tuple[int, int]]:
+    """Of a symmetric relation: each document with the first of those it is connected to."""
+    links, left = [], near.any(axis=1)
+    for start in range(len(docs)):
+        if not left[start]:
+            continue
+        left[start], front = False, np.array([start])
+        while len(front):
+            front = np.flatnonzero(near[front].any(axis=0) & left)
+            left[front] = False
+            links += [(int(docs[x]), int(docs[start])) for x in front]
+    return links
+
+
+def possible(docs: np.ndarray, sizes: np.ndarray, histograms: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Links that connect all pairs whose histograms allow the similarity: sets as similar as num / den differ
+    in (den - num) / (den + num) of their sizes' sum at most, and histograms differ no more than sets."""
+    wide, near = histograms.astype(np.int16), np.zeros((len(docs), len(docs)), bool)
+    step = max(1, 4_000_000 // (len(docs) * HISTOGRAM))
+    for lo in range(0, len(docs), step):
+        apart = np.abs(wide[lo: lo + step, None, :] - wide[None, :, :]).sum(axis=2, dtype=np.int64)
+        near[lo: lo + step] = (den + num) * apart <= (den - num) * (sizes[lo: lo + step, None] + sizes[None, :])
+    np.fill_diagonal(near, False)
+    return _spread(near, docs)
+
+
+def _by_key(keys: list[str], values: list[str], settle):
+    """Rows sorted by key as (doc, peer) links: `settle` gets the rows of one key after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, links = None, [], []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in (*keys, *values)]
+            for row in zip(*columns, strict=True):
+                if row[: len(keys)] != key:
+                    links += settle(held)
+                    key, held = row[: len(keys)], []
+                held.append(row[len(keys):])
+            yield _pairs(links)
+            links = []
+        yield _pairs(links + settle(held))
+
+    return run
+
+
+def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())],
+                           names=["doc", "peer"])
+
+
+def _possible(num: int, den: int):
+    def settle(held: list[tuple[int, int, bytes]]) -> list[tuple[int, int]]:
+        if len(held) < 2:
+            return []
+        counts = np.frombuffer(b"".join(h for _, _, h in held), np.uint8).reshape(len(held), HISTOGRAM)
+        return possible(np.array([d for d, _, _ in held]), np.array([n for _, n, _ in held]), counts, num, den)
+
+    return settle
 
 
 def _sets(width: int):
@@ -230,21 +316,10 @@ def linked(docs: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list
     shared = shared.astype(np.int64)
     near = den * shared >= num * (sizes[:, None] + sizes[None, :] - shared)
     np.fill_diagonal(near, False)
-    links, left = [], near.any(axis=1)
-    for start in range(len(docs)):
-        if not left[start]:
-            continue
-        left[start], front = False, np.array([start])
-        while len(front):
-            front = np.flatnonzero(near[front].any(axis=0) & left)
-            left[front] = False
-            links += [(int(docs[x]), int(docs[start])) for x in front]
-    return links
+    return _spread(near, docs)
 
 
 def _compare(num: int, den: int):
-    """Cells one after the other, as their sorted rows come."""
-
     def settle(held: list[tuple[int, bytes]]) -> list[tuple[int, int]]:
         if len(held) < 2:
             return []
@@ -255,23 +330,7 @@ def _compare(num: int, den: int):
             sets.append(wide.view(np.uint64).ravel())
         return linked(np.array([d for d, _ in held]), sets, num, den)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, held, links = None, [], []
-        for batch in batches:
-            keys = zip(batch.column("cluster").to_pylist(), batch.column("cell").to_pylist(), strict=True)
-            for key, doc, raw in zip(keys, batch.column("doc").to_pylist(), batch.column("features").to_pylist(), strict=True):
-                if key != cell:
-                    links += settle(held)
-                    cell, held = key, []
-                held.append((doc, raw))
-            yield pa.record_batch([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())],
-                                  names=["doc", "peer"])
-            links = []
-        links += settle(held)
-        yield pa.record_batch([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())],
-                              names=["doc", "peer"])
-
-    return run
+    return settle
 
 
 def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id",
@@ -283,23 +342,26 @@ def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
     feature. Null or empty text: an empty set, linked with nothing. Null id: component null. Rows of one id
     count as one document with the links of all of them.
 
-    Equal sets fall together first, wherever they are. Sets that meet in a signature form clusters; a
-    cluster's sets are compared in cells of bounded size, large clusters by pairs of random parts, so every
-    pair that shares a signature is compared and none is written out.
+    Equal sets fall together first, wherever they are. Sets that meet in a signature and whose histograms
+    don't rule the similarity out form clusters; a cluster's sets are compared in cells of bounded size, large
+    clusters by pairs of random parts. So every pair that shares a signature is judged and none is written out.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
     buckets = 2 * blocks.bucket_count(own)
     found = own.where("doc is not null").mapInArrow(_entries(width, num, den, buckets), _FOUND)
     found = materialize(found.groupBy("bucket").applyInArrow(_meet, _OUT), "signatures")
-    sets = found.where("peer is null").select("doc", "n", "f1", "f2")
+    sets = found.where("met is null").select("doc", "n", "f1", "f2", "histogram")
     first = sets.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc").alias("rep"))
     copies = sets.join(first, ["n", "f1", "f2"]).where("doc != rep").select("doc", F.col("rep").alias("peer"))
     copies = materialize(copies, "copies")
 
-    met = found.where("peer is not null").select("doc", "peer").distinct()
-    met = met.join(copies.select("doc").distinct(), "doc", "left_anti")
-    cluster = components(met, "doc", "peer")
+    met = found.where("met is not null").groupBy("met", "part", F.size("members")).agg(F.first("members").alias("members"))
+    met = met.select("met", "part", F.explode("members").alias("doc"))
+    alone = sets.join(copies.select("doc").distinct().hint("merge"), "doc", "left_anti").select("doc", "n", "histogram")
+    met = met.join(alone.hint("merge"), "doc").repartition("met", "part").sortWithinPartitions("met", "part", "doc")
+    near = met.mapInArrow(_by_key(["met", "part"], ["doc", "n", "histogram"], _possible(num, den)), "doc bigint, peer bigint")
+    cluster = components(near, "doc", "peer")
     members = cluster.join(sets.groupBy("doc").agg(F.sum("n").alias("n")), cluster.node == F.col("doc")).select(
         "doc", F.col("component").alias("cluster"), "n")
     members = materialize(members, "members")
@@ -315,7 +377,7 @@ def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
     packed = texts.mapInArrow(_sets(width), "cluster bigint, cells array<bigint>, doc bigint, features binary")
     packed = packed.select("cluster", F.explode("cells").alias("cell"), "doc", "features")
     dealt = packed.repartition("cluster", "cell").sortWithinPartitions("cluster", "cell")
-    links = dealt.mapInArrow(_compare(num, den), "doc bigint, peer bigint")
+    links = dealt.mapInArrow(_by_key(["cluster", "cell"], ["doc", "features"], _compare(num, den)), "doc bigint, peer bigint")
     groups = components(links.union(copies), "doc", "peer")
     out = sets.join(groups, sets.doc == groups.node, "left").select(
         F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
