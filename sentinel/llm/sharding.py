@@ -34,33 +34,32 @@ def splitters(keys: DataFrame, shards: int, tolerance: float = TOLERANCE) -> lis
     # boundary number: (wanted bytes below it, prefix that holds it, bytes below that prefix)
     todo = {i: (total * i / shards, "", 0) for i in range(1, shards)}
     done: dict[int, str] = {}
-    digits = FIRST
+    held, digits = 0, FIRST
     while todo:
-        prefix = F.substring("key", 1, digits)
         rows = keys
-        if digits > FIRST:
-            held = sorted({p for _, p, _ in todo.values()})
-            rows = keys.where(F.substring("key", 1, len(held[0])).isin(held))
-        sums: dict[str, list[tuple[str, int]]] = {}
-        for r in rows.groupBy(prefix.alias("prefix")).agg(F.sum("size").alias("size")).orderBy("prefix").collect():
-            parent = r.prefix[: digits - MORE] if digits > FIRST else ""
-            sums.setdefault(parent, []).append((r.prefix, r.size))
+        if held:
+            rows = keys.where(F.substring("key", 1, held).isin(sorted({p for _, p, _ in todo.values()})))
+        probes = rows.groupBy(F.substring("key", 1, digits).alias("prefix")).agg(
+            F.sum("size").alias("bytes"), (F.min("key") == F.max("key")).alias("one"))
+        sums: dict[str, list] = {}
+        for r in probes.orderBy("prefix").collect():
+            sums.setdefault(r.prefix[:held], []).append(r)
         for i, (wanted, parent, below) in list(todo.items()):
-            for prefix_, size in sums.get(parent, []):
-                if below + size >= wanted:
-                    before, after = wanted - below, below + size - wanted
-                    if min(before, after) <= near or digits >= _DIGITS:
+            for r in sums.get(parent, []):
+                if below + r.bytes >= wanted:
+                    before, after = wanted - below, below + r.bytes - wanted
+                    if min(before, after) <= near or r.one:
                         # "g" sorts after all digits: the prefix lies below the boundary
-                        done[i] = prefix_ if before <= after else prefix_ + "g"
+                        done[i] = r.prefix if before <= after else r.prefix + "g"
                         del todo[i]
                     else:
-                        todo[i] = (wanted, prefix_, below)
+                        todo[i] = (wanted, r.prefix, below)
                     break
-                below += size
-            else:
+                below += r.bytes
+            else:  # no rows at all
                 done[i] = "g"
                 del todo[i]
-        digits = min(_DIGITS, digits + MORE) if digits < _DIGITS else _DIGITS + 1
+        held, digits = digits, min(_DIGITS, digits + MORE)
     return [done[i] for i in sorted(done)]
 
 
