@@ -94,7 +94,7 @@ def test_urls(spark):
     assert got[0] == ("www.example.net", "/en/1", "example.net/en/") and got[1] == ("example.com", "/de/", "example.com/de/")
     assert got[2][2] == "org/fr/" and got[3][2] is None and got[4][2] is None
     assert got[5] == got[6] == got[7] == got[8] == ("", "", None)
-    assert got[9][2] is None and got[10] == ("net", "/", "net/") and got[11] == ("org", "", None) and got[12][2] == "example.com/de/"
+    assert got[9][2] is None and got[10] == ("net", "/", "net/") and got[11] == ("org", "", None) and got[12] == ("u.example.com", "/de", None)
     assert got[13][2] == "org/fr/"
     verdicts = {r.page_id: r.verdict for r in rows}
     assert verdicts[0] == "allow" and verdicts[1] == "block" and set(verdicts.values()) <= {"allow", "block"}
