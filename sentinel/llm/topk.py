@@ -10,9 +10,6 @@ is out; when all are out or the lists end, what is left is scored in full.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -24,7 +21,7 @@ from sentinel.session import materialize
 #: Candidates whose lists are read together, candidates of a cell, queries of a cell.
 BLOCK, CELL, QUERIES = 2048, 16384, 256
 #: Depths of the rounds, as shares of a list. The first ones decide little with many dimensions, so few are read.
-DEPTHS = (0.25, 0.5, 0.625, 0.75, 0.875)
+DEPTHS = (0.5, 0.75)
 
 
 def _exact(most: float, width: int) -> type:
@@ -126,7 +123,10 @@ def top_k(vectors: DataFrame, asked: str, k: int = 20, scale: int = 64, id_col:
                              F.lit(False).alias("asks"), "id", "v")
     queries = rows.where("asked").select("width", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"),
                                          F.lit(True).alias("asks"), "id", "v")
-    found = candidates.union(queries).groupBy("width", "part", "cell").applyInPandas(
+    # cells are heavy for their bytes: a number given here isn't merged for their size
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = candidates.union(queries).repartition(tasks, "width", "part", "cell")
+    found = dealt.groupBy("width", "part", "cell").applyInPandas(
         _cell(k), "query_id bigint, vec_id bigint, score bigint")
     # a cell has each query's k best, so k rows a query and cell meet here
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
