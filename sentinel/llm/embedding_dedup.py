@@ -22,7 +22,7 @@ from sentinel.session import materialize
 
 #: Vectors the centres are fitted on, and centres, at most. Cells that grow beyond PART vectors are
 #: compared in parts, so neither bound loses a link.
-SAMPLE, CENTRES, PER_CENTRE, PART, ROUNDS = 20_000, 1024, 500, 2048, 8
+SAMPLE, CENTRES, PER_CENTRE, PART, ROUNDS = 20_000, 256, 2000, 2048, 8
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
