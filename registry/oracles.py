@@ -494,6 +494,7 @@ SELECT * FROM (SELECT w.target, w.w_end, w.warn, coalesce(i.n_templates, 0) AS n
 WHERE reason IS NOT NULL""")
 ORACLES["new_errors"] = main_windows(union(new_error_parts(MAIN)[1]))
 ORACLES["new_errors_live"] = main_windows(union(new_error_parts(MAIN, live=True)[1]))
+ORACLES["live_cycle"] = ORACLES["new_errors_live"]
 ORACLES["index_silent"] = main_windows(union(silent_parts(MAIN)[1]), *silent_parts(MAIN)[0])
 ORACLES["heartbeat_missing"] = main_windows(union(heartbeat_parts(MAIN)[1]))
 ORACLES["suspicious_requests"] = main_windows(suspicious_part(MAIN), *access_ctes(MAIN))
@@ -526,6 +527,7 @@ SELECT target, w_end, forced, TRUE AS anomalous,
 ORACLES["cooldown_dedupe"] = calm(
     "SELECT target, w_end, signature, delivered, alerted FROM walk",
     delivered="extract(hour FROM w_end) <> 12")
+ORACLES["live_cooldown"] = ORACLES["cooldown_dedupe"]
 ORACLES["daily_quota"] = calm(f"""
 SELECT target, w_end, CAST(w_end AS DATE) AS day, nth, nth <= {cfg.QUOTA} AS within_budget,
   greatest(0, {cfg.QUOTA} - nth) AS remaining FROM (
@@ -569,10 +571,15 @@ ORACLES["first_seen"] = main_windows(f"""
 SELECT 'main' AS target, w_end, fp FROM fp_main f WHERE seen AND NOT EXISTS (
   SELECT 1 FROM fp_main e WHERE e.seen AND e.fp = f.fp AND e.w_end < f.w_end
   AND e.w_end >= f.w_end - {seconds(fv.SEEN_RETENTION)})""")
-ORACLES["retain_history"] = calm(union([
-    f"""SELECT '{name}' AS history, target, w_end, signature FROM alerts
-        WHERE w_end >= TIMESTAMP '2024-01-31' - INTERVAL {days} DAY"""
-    for name, days in (("alerts", 30), ("verdicts", 7), ("fingerprints", 180))]))
+ORACLES["retain_history"] = calm("""
+SELECT 'alerts' AS history, target, w_end, signature FROM alerts WHERE w_end >= TIMESTAMP '2024-01-31' - INTERVAL 30 DAY
+UNION ALL SELECT 'verdicts', target, w_end, signature FROM inc
+WHERE extract(hour FROM w_end) % 12 = 0 AND w_end >= TIMESTAMP '2024-01-31' - INTERVAL 7 DAY
+UNION ALL SELECT 'fingerprints', 'calm', max(w_end), fp FROM fp_calm WHERE seen GROUP BY fp
+HAVING max(w_end) >= TIMESTAMP '2024-01-31' - INTERVAL 180 DAY""")
+ORACLES["alert_append"] = calm("""
+SELECT w_end AS ts, target, severity, signature, CAST(len(string_split(kind_list, ',')) AS INTEGER) AS n_signals,
+  strftime(w_end, '%Y.%m') AS month FROM alerts""")
 ORACLES["digest"] = calm(f"""
 SELECT d.target, d.day AS w_end, d.total, d.err, d.warn, d.alerts,
   CASE WHEN d.alerts = 0 THEN 'alles ruhig' ELSE d.alerts || ' Alert(s)' END AS headline,
@@ -696,6 +703,7 @@ SELECT event_id, ts, level, message, service, environment, user_name, user_id, l
     CASE WHEN NOT done THEN 'Username=' || l_username END,
     CASE WHEN done THEN 'schema_version=1' ELSE 'schema_error=field [log.level] already exists' END
   ], lambda x: x IS NOT NULL)), ',') AS labels FROM norm""")
+ORACLES["backfill_logs"] = normalized("SELECT event_id, ts, level, service, user_name FROM norm")
 ORACLES["normalize_errors"] = normalized("""
 SELECT 'field [log.level] already exists' AS schema_error, count(*) AS n FROM norm WHERE NOT done""")
 _AUTO = listed(["heartbeat", "healthcheck", "request", "auth", "startup", "db"])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from registry import settings as cfg
-from sentinel.config import parse_time
+from sentinel.config import Span, parse_time
 from sentinel.functions import fixed_values as fv
 from sentinel.functions.index_names import index_family
 from sentinel.operators import (
@@ -23,7 +23,7 @@ from sentinel.operators import (
 from sentinel.operators.facts import HOST_PHRASES, as_timestamp
 from sentinel.operators.windows import assign
 from sentinel.plans.watch import Watch, flat
-from sentinel.session import materialize, use_utc
+from sentinel.session import materialize, new_path, use_utc
 from sentinel.sources.event_logs import event_logs, raw_documents
 from sentinel.sources.logs import scan
 from sentinel.streaming import jobs, state
@@ -273,6 +273,29 @@ def new_errors_live(spark, folder):
     return flat(gate.new_error_signals(w.templates, w.targets, live=True))
 
 
+@query
+def live_cycle(spark, folder):
+    """Two cycles, the second with the memory of the first: the same signals as one run over both."""
+    first = watch(spark, folder, span=Span.replay(cfg.START, cfg.MIDDLE))
+    second = watch(spark, folder, span=Span.replay(cfg.MIDDLE, cfg.END))
+    known = materialize(first.seen(), "seen")
+    return flat(gate.new_error_signals(first.templates, first.targets, live=True).union(
+        gate.new_error_signals(second.templates, second.targets, live=True, known=known)))
+
+
+@query
+def live_cooldown(spark, folder):
+    """Alerts of two runs over one half of the windows each, the second told of the first one's alerts."""
+    w, found = _calm(spark, folder)
+    rows = incidents.incidents(found, w.targets).selectExpr(
+        "target", "w_end", "signature", "pmod(w_end, 86400) <> 43200 AS delivered")
+    middle = parse_time(cfg.MIDDLE)
+    first = materialize(incidents.cooldown(rows.where(f"w_end <= {middle}"), w.targets), "decided")
+    earlier = first.where("alerted AND delivered").select("target", "signature", "w_end")
+    second = incidents.cooldown(rows.where(f"w_end > {middle}"), w.targets, earlier)
+    return first.unionByName(second).selectExpr("target", W_END, "signature", "delivered", "alerted")
+
+
 @query
 def index_silent(spark, folder):
     w = watch(spark, folder)
@@ -460,14 +483,40 @@ def first_seen(spark, folder):
 @query
 def retain_history(spark, folder):
     now = parse_time(cfg.RETENTION_NOW)
-    _, alerts = _alerts(spark, folder)
-    limits = {"alerts": fv.ALERT_RETENTION, "verdicts": fv.VERDICT_RETENTION,
-              "fingerprints": fv.SEEN_RETENTION}
-    kept = [history.retain(alerts, "w_end", now, limit).selectExpr(
-        f"'{name}' AS history", "target", W_END, "signature") for name, limit in limits.items()]
+    w, found = _calm(spark, folder)
+    verdicts = incidents.incidents(found, w.targets).where("pmod(w_end, 43200) = 0")
+    seen = w.seen().selectExpr("target", "last_seen AS w_end", "fp AS signature")
+    histories = {"alerts": (w.alerts(found), fv.ALERT_RETENTION), "verdicts": (verdicts, fv.VERDICT_RETENTION),
+                 "fingerprints": (seen, fv.SEEN_RETENTION)}
+    kept = [history.retain(rows, "w_end", now, limit).selectExpr(
+        f"'{name}' AS history", "target", W_END, "signature") for name, (rows, limit) in histories.items()]
     return kept[0].union(kept[1]).union(kept[2])
 
 
+@query
+def alert_append(spark, folder):
+    """Alerts written as a history, a part of them twice, and read back."""
+    documents = materialize(_documents(spark, folder), "documents")
+    path = new_path(spark, "alerts")
+    append = jobs.append_new_alerts(path)
+    half = documents.where(f"ts < TIMESTAMP_NTZ'{cfg.MIDDLE[:10]} 00:00:00'")
+    for number, batch in enumerate((half, half, documents)):
+        append(batch, number)
+    stored = spark.read.schema(documents.schema).parquet(path)
+    return stored.selectExpr("ts", "target", "severity", "signature", "size(signals) AS n_signals", "month")
+
+
+@query
+def backfill_logs(spark, folder):
+    """All history normalised into a table by day, its last days once more, and read back."""
+    raw = raw_documents(table(spark, folder, "events"))
+    path = new_path(spark, "backfill")
+    normalize.backfill(raw, path)
+    normalize.backfill(raw.where(f"get_json_object(document, '$.@timestamp') >= '{cfg.MIDDLE[:10]}'"), path)
+    return spark.read.parquet(path).selectExpr(
+        "CAST(get_json_object(document, '$.event_id') AS BIGINT) AS event_id", "ts", "level", "service", "user_name")
+
+
 @query
 def digest(spark, folder):
     w, alerts = _alerts(spark, folder)

@@ -7,6 +7,7 @@ from sentinel.config import Span, targets_from
 START, END = "2024-01-01T00:00:00Z", "2024-01-31T00:00:00Z"
 SPAN = Span.replay(START, END)
 DIGEST_DAYS = 1
+MIDDLE = "2024-01-16T00:00:00Z"
 
 _EVERYTHING = ["api-logs-*", "crawler-logs-*", "web-logs-*", "bot-logs"]
 _DOCUMENT = {

@@ -184,8 +184,10 @@ def window_fingerprints(templates: DataFrame) -> DataFrame:
     )
 
 
-def new_error_signals(templates: DataFrame, targets: list[Target], live: bool = False) -> DataFrame:
-    """Fingerprints absent from the baseline; with `live` also never seen in earlier windows.
+def new_error_signals(templates: DataFrame, targets: list[Target], live: bool = False,
+                      known: DataFrame | None = None) -> DataFrame:
+    """Fingerprints absent from the baseline; with `live` also never seen in earlier windows, be it of this
+    run or, with `known` (target, fp, last_seen), of runs before it.
 
     They are counted in full; only the few that the text shows are gathered.
     """
@@ -194,6 +196,10 @@ def new_error_signals(templates: DataFrame, targets: list[Target], live: bool =
     fresh = "in_current AND NOT in_baseline"
     if live:
         fps = fps.selectExpr("*", LAST_SEEN)
+        if known is not None:
+            before = known.groupBy("target", "fp").agg(F.expr("max(last_seen) AS seen_before"))
+            fps = fps.join(before, ["target", "fp"], "left").withColumn(
+                "last_seen", F.expr("greatest(last_seen, seen_before)"))
         fresh += f" AND NOT {KNOWN}"
     fps = fps.where(fresh).select("target", "w_end", "fp")
     window = ["target", "w_end"]

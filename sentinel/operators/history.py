@@ -27,10 +27,11 @@ def first_seen(templates: DataFrame) -> DataFrame:
     )
 
 
-def merge_seen(known: DataFrame, batch: DataFrame, now: int) -> DataFrame:
+def merge_seen(known: DataFrame | None, batch: DataFrame, now: int) -> DataFrame:
     """Fold a batch of (target, fp, w_end) into the (target, fp, last_seen) table and forget."""
-    merged = known.select("target", "fp", "last_seen").unionByName(
-        batch.selectExpr("target", "fp", "w_end AS last_seen"))
+    merged = batch.selectExpr("target", "fp", "w_end AS last_seen")
+    if known is not None:
+        merged = merged.unionByName(known.select("target", "fp", "last_seen"))
     latest = merged.groupBy("target", "fp").agg(F.expr("max(last_seen) AS last_seen"))
     return retain(latest, "last_seen", now, fv.SEEN_RETENTION)
 

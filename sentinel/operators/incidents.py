@@ -74,9 +74,11 @@ def verdict(rows: DataFrame) -> DataFrame:
     )
 
 
-def cooldown(rows: DataFrame, targets: list[Target]) -> DataFrame:
+def cooldown(rows: DataFrame, targets: list[Target], earlier: DataFrame | None = None) -> DataFrame:
     """Mark each window as alerted or suppressed by an earlier alert with the same signature.
 
+    `earlier` has the delivered alerts of runs before this one: target, signature, w_end.
+
     Suppressed windows do not extend the pause and undelivered alerts do not start one, so the
     decision runs along the windows of one (target, signature) in order. That list holds windows,
     never log rows.
@@ -85,7 +87,11 @@ def cooldown(rows: DataFrame, targets: list[Target]) -> DataFrame:
         rows = rows.selectExpr("*", "true AS delivered")
     ends = rows.groupBy("target", "signature").agg(
         F.expr("array_sort(collect_list(struct(w_end, delivered))) AS ends"))
-    start = "named_struct('last', CAST(NULL AS BIGINT), 'alerts', CAST(array() AS array<bigint>))"
+    stamp = "CAST(NULL AS BIGINT)"
+    if earlier is not None:
+        stamps = earlier.groupBy("target", "signature").agg(F.expr("max(w_end) AS stamp"))
+        ends, stamp = ends.join(stamps, ["target", "signature"], "left"), "stamp"
+    start = f"named_struct('last', {stamp}, 'alerts', CAST(array() AS array<bigint>))"
     paused = "coalesce(e.w_end - s.last < cooldown, false)"
     alerts = (
         f"aggregate(ends, {start}, (s, e) -> named_struct("

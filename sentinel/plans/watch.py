@@ -93,11 +93,12 @@ class Watch:
         return hosts.host_windows(self.host_facts, self.targets, self.span)
 
     # ---- signals ----
-    def signals(self, heartbeats: bool = True, live: bool = False) -> DataFrame:
-        """Union of all detectors. Replays leave out heartbeats and remember no fingerprints."""
+    def signals(self, heartbeats: bool = True, live: bool = False, known: DataFrame | None = None) -> DataFrame:
+        """Union of all detectors. Replays leave out heartbeats and remember no fingerprints; a live cycle gets
+        the table of `known` ones and hands `seen` on to the next."""
         targets, span = self.targets, self.span
         parts = [gate.gate_signals(self.windows, targets),
-                 gate.new_error_signals(self.templates, targets, live=live)]
+                 gate.new_error_signals(self.templates, targets, live=live, known=known)]
         if any(t.silence_window for t in targets):
             parts.append(silence.index_silent_signals(self.counts, targets, span, self.step))
         if heartbeats and any(t.heartbeats for t in targets):
@@ -111,19 +112,24 @@ class Watch:
             parts.append(hosts.host_signals(self.host_windows, targets))
         return signals.union(parts)
 
-    def written_signals(self, heartbeats: bool = True, live: bool = False) -> DataFrame:
-        found = self.signals(heartbeats, live)
+    def seen(self, known: DataFrame | None = None) -> DataFrame:
+        """(target, fp, last_seen) after these windows, without what is to be forgotten by their end."""
+        batch = gate.window_fingerprints(self.templates).where("seen")
+        return history.merge_seen(known, batch, self.span.end)
+
+    def written_signals(self, heartbeats: bool = True, live: bool = False, known: DataFrame | None = None) -> DataFrame:
+        found = self.signals(heartbeats, live, known)
         return materialize(found, "signals") if self.written else found
 
-    def decided(self, found: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
+    def decided(self, found: DataFrame, verdicts: DataFrame | None = None, earlier: DataFrame | None = None) -> DataFrame:
         """Incidents with verdicts, each marked alerted or suppressed by the cooldown."""
         rows = incidents.incidents(found, self.targets)
         if verdicts is not None:
             rows = incidents.verdict_asof(rows, verdicts, self.targets).drop("verdict_ts")
-        return incidents.cooldown(incidents.verdict(rows), self.targets)
+        return incidents.cooldown(incidents.verdict(rows), self.targets, earlier)
 
-    def alerts(self, found: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
-        return self.decided(found, verdicts).where("alerted AND anomalous")
+    def alerts(self, found: DataFrame, verdicts: DataFrame | None = None, earlier: DataFrame | None = None) -> DataFrame:
+        return self.decided(found, verdicts, earlier).where("alerted AND anomalous")
 
     def documents(self, alerts: DataFrame) -> DataFrame:
         return history.alert_documents(alerts, self.levels, self.window_counts, self.templates,
