@@ -362,15 +362,7 @@ def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
     met = met.join(alone.hint("merge"), "doc").repartition("met", "part").sortWithinPartitions("met", "part", "doc")
     near = met.mapInArrow(_by_key(["met", "part"], ["doc", "n", "histogram"], _possible(num, den)), "doc bigint, peer bigint")
     cluster = components(near, "doc", "peer")
-    members = cluster.join(sets.groupBy("doc").agg(F.sum("n").alias("n")), cluster.node == F.col("doc")).select(
-        "doc", F.col("component").alias("cluster"), "n")
-    members = materialize(members, "members")
-    sizes = members.groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(CELL_FEATURES)).alias("parts"))
-    part = F.pmod(F.xxhash64("doc"), F.col("parts"))
-    other = F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)
-    cells = F.when(F.col("parts") == 1, F.array(F.lit(0).cast("bigint"))).otherwise(F.transform(
-        F.filter(other, lambda x: x != part), lambda x: F.least(x, part) * F.col("parts") + F.greatest(x, part)))
-    members = members.join(sizes, "cluster").select("doc", "cluster", cells.alias("cells"))
+    members = materialize(_cells(cluster, sets, num, den), "members")
 
     # texts meet a table with a row per document in a merge join at any size
     texts = own.where("text is not null").join(members.hint("merge"), "doc").select("cluster", "cells", "doc", "text")
@@ -385,6 +377,26 @@ def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
     return out.union(blank.select("doc", "n", F.lit(None).cast("bigint")))
 
 
+def _cells(cluster: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(doc, cluster, cells): the cells that compare a document. A cell holds the sizes of one band and the
+    next smaller one, as similar sets differ by one band at most; where these are too many, a pair of parts."""
+    log = lambda n: F.floor(F.log(n) / F.log(F.lit(1.01 * den / num)))
+    known = sets.where("n > 0").groupBy("doc").agg(F.sum("n").alias("n"), log(F.min("n")).alias("low"), log(F.max("n")).alias("high"))
+    members = cluster.join(known, cluster.node == F.col("doc")).select(
+        "doc", F.col("component").alias("cluster"), "n", "high", F.explode(F.sequence(F.col("low"), F.col("high") + 1)).alias("band"))
+    # a band without a set of its own would compare what the one below it does
+    sizes = members.groupBy("cluster", "band").agg(
+        F.ceil(F.sum("n") / F.lit(CELL_FEATURES)).alias("parts"), F.count("*").alias("all"), F.count_if(F.col("band") <= F.col("high")).alias("own"))
+    sizes = sizes.where((F.col("all") > 1) & (F.col("own") > 0)).select("cluster", "band", "parts")
+    part = F.pmod(F.xxhash64("doc"), F.col("parts"))
+    other = F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)
+    pair = F.when(F.col("parts") == 1, F.array(F.lit(0).cast("bigint"))).otherwise(F.transform(
+        F.filter(other, lambda x: x != part), lambda x: F.least(x, part) * F.col("parts") + F.greatest(x, part)))
+    band = F.col("band") * (1 << 50)
+    placed = members.join(sizes, ["cluster", "band"]).select("doc", "cluster", F.transform(pair, lambda x: band + x).alias("cells"))
+    return placed.groupBy("doc", "cluster").agg(F.flatten(F.collect_list("cells")).alias("cells"))
+
+
 def _counted(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
