@@ -141,7 +141,7 @@ def _entries(width: int, num: int, den: int, buckets: int):
                     [pa.array((own % buckets).astype(np.int32)), pa.nulls(n, pa.binary()), pa.array(own), pa.array(sizes),
                      pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array([c.tobytes() for c in counts], pa.binary())],
                     names=_FOUND_NAMES)
-                # of equal sets in the task, the smallest id met first stands for those after it
+                # of equal sets in the task, the id met first stands for those after it
                 fresh = np.zeros(n, bool)
                 for r in np.argsort(own, kind="stable"):
                     key = (int(f1[r]), int(f2[r]))
@@ -257,6 +257,8 @@ def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def _possible(num: int, den: int):
     def settle(held: list[tuple[int, int, bytes]]) -> list[tuple[int, int]]:
+        # copies that other tasks met stand here under one name
+        held = list(dict.fromkeys(held))
         if len(held) < 2:
             return []
         counts = np.frombuffer(b"".join(h for _, _, h in held), np.uint8).reshape(len(held), HISTOGRAM)
@@ -353,13 +355,14 @@ def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
     found = materialize(found.groupBy("bucket").applyInArrow(_meet, _OUT), "signatures")
     sets = found.where("met is null").select("doc", "n", "f1", "f2", "histogram")
     first = sets.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc").alias("rep"))
-    copies = sets.join(first, ["n", "f1", "f2"]).where("doc != rep").select("doc", F.col("rep").alias("peer"))
-    copies = materialize(copies, "copies")
+    # each id by the first one of each of its sets, whichever of them a task met
+    named = sets.join(first, ["n", "f1", "f2"]).select("doc", "rep", "n", "histogram")
+    copies = materialize(named.where("doc != rep").select("doc", F.col("rep").alias("peer")), "copies")
 
     met = found.where("met is not null").groupBy("met", "part", F.size("members")).agg(F.first("members").alias("members"))
     met = met.select("met", "part", F.explode("members").alias("doc"))
-    alone = sets.join(copies.select("doc").distinct().hint("merge"), "doc", "left_anti").select("doc", "n", "histogram")
-    met = met.join(alone.hint("merge"), "doc").repartition("met", "part").sortWithinPartitions("met", "part", "doc")
+    met = met.join(named.hint("merge"), "doc").select("met", "part", F.col("rep").alias("doc"), "n", "histogram")
+    met = met.repartition("met", "part").sortWithinPartitions("met", "part", "doc")
     near = met.mapInArrow(_by_key(["met", "part"], ["doc", "n", "histogram"], _possible(num, den)), "doc bigint, peer bigint")
     cluster = components(near, "doc", "peer")
     members = materialize(_cells(cluster, sets, num, den), "members")

@@ -120,6 +120,36 @@ def test_large_clusters_are_compared_in_parts(odd, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == groups(rows, 3, 90)
 
 
+def near_copies(n, length=60):
+    """Texts of one passage, each with one word of its own at the end."""
+    passage = " ".join(f"w{i}" for i in range(length))
+    return [f"{passage} own{k}" for k in range(n)]
+
+
+def joined(spark, rows, width=3, num=90):
+    """Groups of rows that come to one task in this order, a batch each."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+        return sorted(map(tuple, ngram_join.jaccard_groups(docs, width, num).collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_ngram_join_of_copies_met_in_descending_order(spark):
+    near, other = near_copies(2)
+    rows = [(900, near), (500, other), (12, near), (7, other)]
+    assert joined(spark, rows) == groups(rows, 3, 90) == [(i, 59, 7) for i in (7, 12, 500, 900)]
+
+
+def test_ngram_join_of_an_id_with_a_copy_and_another_text(spark):
+    near, other = near_copies(2)
+    rows = [(1, "a text that only two rows have"), (5, "a text that only two rows have"), (5, near), (3, other)]
+    assert joined(spark, rows) == groups(rows, 3, 90)
+    assert {c for _, _, c in joined(spark, rows)} == {1}
+
+
 @pytest.mark.parametrize("num", [90, 80])
 def test_similar_sets_share_a_signature(num):
     rng = np.random.RandomState(num)
