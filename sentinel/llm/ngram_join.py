@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentinel.llm import blocks
@@ -22,13 +22,14 @@ from sentinel.session import materialize
 #: Bytes of a signature in a block, and of a feature in a set that is sent; collisions cost comparisons
 #: only for signatures, and are below 10**-8 a pair of sets for features.
 SIGNATURE_BYTES, FEATURE_BYTES = 5, 6
-#: Features of all sets that one cell compares, about; members of a signature's group that are looked at together.
-CELL_FEATURES, GROUP = 800_000, 2048
+#: Features and sets of a part, about, of which a cell compares one or two; members of a signature's group that
+#: are looked at together; values of a block of a product.
+CELL_FEATURES, CELL_SETS, GROUP, BLOCK = 800_000, 2048, 2048, 4_000_000
 #: Cells of a set's histogram. The counts of two sets differ by their symmetric difference at most.
 HISTOGRAM = 128
 _FOUND = "bucket int, payload binary, doc bigint, n bigint, f1 bigint, f2 bigint, histogram binary"
 _FOUND_NAMES = ["bucket", "payload", "doc", "n", "f1", "f2", "histogram"]
-_OUT = "doc bigint, n bigint, f1 bigint, f2 bigint, histogram binary, met bigint, part int, members array<bigint>"
+_OUT = "doc bigint, n bigint, f1 bigint, f2 bigint, histogram binary, met bigint, part int, parts int, members array<bigint>"
 
 
 def features_of(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,10 +167,10 @@ def _entries(width: int, num: int, den: int, buckets: int):
 
 def _meet(table: pa.Table) -> pa.Table:
     """Of one bucket: the documents that share a signature, once for all signatures that the same ones share,
-    large groups as pairs of parts; and the sets' own rows."""
+    large groups in parts; and the sets' own rows."""
     names = ["doc", "n", "f1", "f2", "histogram"]
     sets = table.filter(table.column("payload").is_null()).select(names)
-    empty = pa.schema([("met", pa.int64()), ("part", pa.int32()), ("members", pa.list_(pa.int64()))])
+    empty = pa.schema([("met", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("members", pa.list_(pa.int64()))])
     for field in empty:
         sets = sets.append_column(field, pa.nulls(len(sets), field.type))
     payloads = table.column("payload").drop_null().to_pylist()
@@ -185,23 +186,20 @@ def _meet(table: pa.Table) -> pa.Table:
     marks = np.add.reduceat(mix(docs.view(np.uint64) + np.uint64(1)), starts)
     several = np.flatnonzero(sizes > 1)
     _, first = np.unique(marks[several], return_index=True)
-    met, parts, members = [], [], []
+    met, part, parts, members = [], [], [], []
     half = GROUP // 2
     for g in several[first]:
         own = docs[starts[g]: starts[g] + sizes[g]]
-        if len(own) <= GROUP:
-            chosen = [own]
-        else:
-            pieces = [own[i: i + half] for i in range(0, len(own), half)]
-            chosen = [np.concatenate([x, y]) for i, x in enumerate(pieces) for y in pieces[i + 1:]]
-        met += [int(marks[g].view(np.int64))] * len(chosen)
-        parts += range(len(chosen))
-        members += chosen
+        pieces = [own] if len(own) <= GROUP else [own[i: i + half] for i in range(0, len(own), half)]
+        met += [int(marks[g].view(np.int64))] * len(pieces)
+        part += range(len(pieces))
+        parts += [len(pieces)] * len(pieces)
+        members += pieces
     n = len(met)
     cuts = np.concatenate([[0], np.cumsum([len(m) for m in members])]).astype(np.int32)
     lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(members) if n else [], pa.int64()))
     found = pa.table([*[pa.nulls(n, sets.schema.field(c).type) for c in names], pa.array(met, pa.int64()),
-                      pa.array(parts, pa.int32()), lists], names=sets.schema.names)
+                      pa.array(part, pa.int32()), pa.array(parts, pa.int32()), lists], names=sets.schema.names)
     return pa.concat_tables([sets, found.cast(sets.schema)])
 
 
@@ -304,19 +302,24 @@ def linked(docs: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list
     keep = several[feature]
     pairs = np.unique(row[keep] * wide + column[feature[keep]])
     at_row, at_col = pairs // wide, pairs % wide
-    shared = np.zeros((len(docs), len(docs)), np.float32)
     order = np.argsort(at_col, kind="stable")
     at_row, at_col = at_row[order], at_col[order]
-    step = 4096
-    for lo in range(0, wide, step):
-        a, b = np.searchsorted(at_col, [lo, lo + step])
-        if a == b:
-            continue
-        dense = np.zeros((len(docs), min(step, wide - lo)), np.float32)
-        dense[at_row[a:b], at_col[a:b] - lo] = 1
-        shared += (dense * weight[lo: lo + step].astype(np.float32)) @ dense.T
-    shared = shared.astype(np.int64)
-    near = den * shared >= num * (sizes[:, None] + sizes[None, :] - shared)
+    near = np.zeros((len(docs), len(docs)), bool)
+    # blocks of rows and of columns: a product and its operands stay small for any number of sets
+    block = max(1, BLOCK // len(docs))
+    step = max(1, min(4096, block))
+    for top in range(0, len(docs), block):
+        end = min(top + block, len(docs))
+        shared = np.zeros((end - top, len(docs)), np.float32)
+        for lo in range(0, wide, step):
+            a, b = np.searchsorted(at_col, [lo, lo + step])
+            if a == b:
+                continue
+            dense = np.zeros((len(docs), min(step, wide - lo)), np.float32)
+            dense[at_row[a:b], at_col[a:b] - lo] = 1
+            shared += (dense[top:end] * weight[lo: lo + step].astype(np.float32)) @ dense.T
+        whole = shared.astype(np.int64)
+        near[top:end] = den * whole >= num * (sizes[top:end, None] + sizes[None, :] - whole)
     np.fill_diagonal(near, False)
     return _spread(near, docs)
 
@@ -359,11 +362,12 @@ def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
     named = sets.join(first, ["n", "f1", "f2"]).select("doc", "rep", "n", "histogram")
     copies = materialize(named.where("doc != rep").select("doc", F.col("rep").alias("peer")), "copies")
 
-    met = found.where("met is not null").groupBy("met", "part", F.size("members")).agg(F.first("members").alias("members"))
-    met = met.select("met", "part", F.explode("members").alias("doc"))
-    met = met.join(named.hint("merge"), "doc").select("met", "part", F.col("rep").alias("doc"), "n", "histogram")
-    met = met.repartition("met", "part").sortWithinPartitions("met", "part", "doc")
-    near = met.mapInArrow(_by_key(["met", "part"], ["doc", "n", "histogram"], _possible(num, den)), "doc bigint, peer bigint")
+    met = found.where("met is not null").groupBy("met", "part", "parts", F.size("members")).agg(F.first("members").alias("members"))
+    met = met.select("met", "part", "parts", F.explode("members").alias("doc")).join(named.hint("merge"), "doc")
+    met = met.select("met", F.explode(_pairs_of(F.col("part").cast("bigint"), F.col("parts").cast("bigint"))).alias("pair"),
+                     F.col("rep").alias("doc"), "n", "histogram")
+    met = met.repartition("met", "pair").sortWithinPartitions("met", "pair", "doc")
+    near = met.mapInArrow(_by_key(["met", "pair"], ["doc", "n", "histogram"], _possible(num, den)), "doc bigint, peer bigint")
     cluster = components(near, "doc", "peer")
     members = materialize(_cells(cluster, sets, num, den), "members")
 
@@ -380,6 +384,14 @@ def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
     return out.union(blank.select("doc", "n", F.lit(None).cast("bigint")))
 
 
+def _pairs_of(part: Column, parts: Column) -> Column:
+    """Numbers of the pairs of parts that a part is in; a single part is the only pair."""
+    zero = F.lit(0).cast("bigint")
+    others = F.filter(F.sequence(zero, parts - 1), lambda x: x != part)
+    return F.when(parts == 1, F.array(zero)).otherwise(
+        F.transform(others, lambda x: F.least(x, part) * parts + F.greatest(x, part)))
+
+
 def _cells(cluster: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(doc, cluster, cells): the cells that compare a document. A cell holds the sizes of one band and the
     next smaller one, as similar sets differ by one band at most; where these are too many, a pair of parts."""
@@ -389,12 +401,9 @@ def _cells(cluster: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
         "doc", F.col("component").alias("cluster"), "n", "high", F.explode(F.sequence(F.col("low"), F.col("high") + 1)).alias("band"))
     # a band without a set of its own would compare what the one below it does
     sizes = members.groupBy("cluster", "band").agg(
-        F.ceil(F.sum("n") / F.lit(CELL_FEATURES)).alias("parts"), F.count("*").alias("all"), F.count_if(F.col("band") <= F.col("high")).alias("own"))
+        F.greatest(F.ceil(F.sum("n") / F.lit(CELL_FEATURES)), F.ceil(F.count("*") / F.lit(CELL_SETS))).alias("parts"), F.count("*").alias("all"), F.count_if(F.col("band") <= F.col("high")).alias("own"))
     sizes = sizes.where((F.col("all") > 1) & (F.col("own") > 0)).select("cluster", "band", "parts")
-    part = F.pmod(F.xxhash64("doc"), F.col("parts"))
-    other = F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)
-    pair = F.when(F.col("parts") == 1, F.array(F.lit(0).cast("bigint"))).otherwise(F.transform(
-        F.filter(other, lambda x: x != part), lambda x: F.least(x, part) * F.col("parts") + F.greatest(x, part)))
+    pair = _pairs_of(F.pmod(F.xxhash64("doc"), F.col("parts")), F.col("parts"))
     band = F.col("band") * (1 << 50)
     placed = members.join(sizes, ["cluster", "band"]).select("doc", "cluster", F.transform(pair, lambda x: band + x).alias("cells"))
     return placed.groupBy("doc", "cluster").agg(F.flatten(F.collect_list("cells")).alias("cells"))

@@ -5,10 +5,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sentinel.llm import chat, ngram_join, pieces, toxicity
+from sentinel.llm import blocks, chat, ngram_join, pieces, toxicity
 from sentinel.llm.substring_dedup import remove_repeats
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -150,6 +151,42 @@ def test_ngram_join_of_an_id_with_a_copy_and_another_text(spark):
     assert {c for _, _, c in joined(spark, rows)} == {1}
 
 
+def test_many_short_sets_are_compared_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CELL_SETS", 16)
+    cluster = spark.range(400).selectExpr("id AS node", "0L AS component")
+    sets = spark.range(400).selectExpr("id AS doc", "40L AS n", "id AS f1", "id AS f2")
+    placed = ngram_join._cells(cluster, sets, 90, 100).select(F.explode("cells").alias("cell"), "doc").collect()
+    cells = {}
+    for r in placed:
+        cells.setdefault(r.cell, set()).add(r.doc)
+    assert max(map(len, cells.values())) < 80
+    met = {(a, b) for own in cells.values() for a in own for b in own if a < b}
+    assert len(met) == 400 * 399 // 2
+
+
+def test_a_large_signature_group_is_written_once(monkeypatch):
+    monkeypatch.setattr(ngram_join, "GROUP", 8)
+    docs = np.arange(100, dtype=np.int64)
+    rows = list(blocks.pack(np.full(100, 77, np.uint64), np.arange(100), np.zeros(100, np.int64), [docs], 1, ngram_join.SIGNATURE_BYTES))
+    empty = [pa.nulls(1, pa.int64())] * 4
+    table = pa.table([*blocks.batch_of(rows).columns, *empty, pa.nulls(1, pa.binary())], names=ngram_join._FOUND_NAMES)
+    found = ngram_join._meet(table).select(["part", "parts", "members"]).to_pylist()
+    assert sorted(x for row in found for x in row["members"]) == list(range(100))
+    assert [(r["part"], r["parts"]) for r in found] == [(i, 25) for i in range(25)]
+
+
+def test_blocks_of_a_product_find_the_same_links(monkeypatch):
+    rng = np.random.RandomState(5)
+    base = np.arange(60, dtype=np.uint64)
+    sets = [np.unique(np.append(rng.choice(base, 57, replace=False), np.uint64(1000 + i))) for i in range(50)]
+    found = ngram_join.linked(np.arange(50), sets, 90, 100)
+    parent = {x: y for x, y in found}
+    near = {(a, b) for a in range(50) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 90 * len(np.union1d(sets[a], sets[b]))}
+    assert near and all(parent.get(a, a) == parent.get(b, b) for a, b in near)
+    monkeypatch.setattr(ngram_join, "BLOCK", 350)
+    assert ngram_join.linked(np.arange(50), sets, 90, 100) == found
+
+
 @pytest.mark.parametrize("num", [90, 80])
 def test_similar_sets_share_a_signature(num):
     rng = np.random.RandomState(num)
