@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sentinel.session import materialize
 
-#: Labelled URLs that the trees are fitted on, at most; taken in order of a hash.
+#: Distinct labelled URLs that the trees are fitted on, at most; taken in order of a hash.
 SAMPLE = 20_000
 TREES, DEPTH, SEED = 12, 4, 11
 #: Labelled URLs that a suffix without any counts as, at the overall share of blocked ones.
@@ -77,7 +77,7 @@ SUFFIXES = ["last_label", "last_two_labels", "first_folder"]
 def _statistics(sample: DataFrame, share: float) -> list[DataFrame]:
     """For each kind of suffix, its smoothed share of blocked URLs; at most as many rows as the sample has."""
     return [sample.groupBy(f"suffix_{s}").agg(
-        ((F.sum("blocked") + PRIOR * share) / (F.count("*") + PRIOR)).alias(s)) for s in SUFFIXES]
+        ((F.sum(F.col("blocked") * F.col("weight")) + PRIOR * share) / (F.sum("weight") + PRIOR)).alias(s)) for s in SUFFIXES]
 
 
 def _with_statistics(rows: DataFrame, statistics: list[DataFrame], share: float) -> DataFrame:
@@ -89,8 +89,8 @@ def _with_statistics(rows: DataFrame, statistics: list[DataFrame], share: float)
 def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", sample: int = SAMPLE) -> DataFrame:
     """(page_id, host, path, rule, verdict), one row per input row.
 
-    The trees learn from the URLs that a rule decides, up to `sample` of them by a hash of the URL, and judge
-    the others. Where the rules decide none, or all alike, the trees have nothing to learn: `allow`. Null
+    The trees learn from the URLs that a rule decides, up to `sample` distinct ones by a hash of the URL, each
+    with the weight of its rows, and judge the others. Where the rules decide none, or all alike, the trees have nothing to learn: `allow`. Null
     URLs have an empty host and path and go to the trees like others. Repeated rows are judged alike.
     """
     url = F.col(url_col)
@@ -99,8 +99,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
     rows = rows.withColumns({"rule": rule, "ruled": verdict})
 
     taught = rows.where("ruled is not null").select("url", "host", "path", (F.col("ruled") == "block").cast("double").alias("blocked"))
+    taught = taught.groupBy("url", "host", "path", "blocked").agg(F.count("*").cast("double").alias("weight"))
     taught = materialize(taught.orderBy(F.xxhash64("url"), "url").limit(sample).coalesce(1), "labelled-urls")
-    n, blocked = taught.agg(F.count("*"), F.coalesce(F.sum("blocked"), F.lit(0.0))).first()
+    n, blocked = taught.agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in (F.col("weight"), F.col("blocked") * F.col("weight"))]).first()
     if not 0 < blocked < n:
         return rows.select(id_col, "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"))
     share = blocked / n
@@ -108,9 +109,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
     statistics = [materialize(s, "suffixes") for s in _statistics(featured, share)]
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
     training = assembler.transform(_with_statistics(featured, statistics, share)).select(
-        F.col("blocked").alias("label"), "features")
-    training = training.orderBy("features", "label").coalesce(1)  # one order, so that reruns agree
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED).fit(training)
+        F.col("blocked").alias("label"), "features", "weight")
+    training = training.orderBy("features", "label", "weight").coalesce(1)  # one order, so that reruns agree
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, weightCol="weight").fit(training)
 
     scored = trees.transform(assembler.transform(_with_statistics(lexical(rows), statistics, share)))
     guessed = F.when(F.col("prediction") > 0.5, "block").otherwise("allow")

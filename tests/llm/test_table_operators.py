@@ -101,6 +101,16 @@ def test_urls(spark):
     assert url_filter.judge(pages.limit(0), URL_RULES).count() == 0
 
 
+def test_a_hot_url_leaves_room_for_others_in_the_sample(spark):
+    urls = spark.range(400).select(F.when(F.col("id") % 2 == 0, F.concat(F.lit("http://buy-cheap-"), "id", F.lit(".x.test/p?a=1&b=2")))
+                                   .otherwise(F.concat(F.lit("http://site"), "id", F.lit(".y.test/about"))).alias("url"))
+    hot = urls.orderBy(F.xxhash64("url")).first().url
+    unruled = spark.createDataFrame([("http://buy-cheap-1.z.test/p?a=1&b=2",), ("http://site1.z.test/about",)], "url string")
+    pages = urls.union(spark.createDataFrame([(hot,)] * 500, "url string")).union(unruled).withColumn("page_id", F.monotonically_increasing_id())
+    rows = url_filter.judge(pages, [("block", "x.test/"), ("allow", "y.test/")], sample=300).where("rule is null").collect()
+    assert sorted((r.host, r.verdict) for r in rows) == [("buy-cheap-1.z.test", "block"), ("site1.z.test", "allow")]
+
+
 def test_trees_learn_from_labelled_urls(spark, folder):
     """Spam hosts under a ruled name are blocked; the trees carry that to such hosts without a rule."""
     pages = spark.range(600).selectExpr(
