@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentinel.llm import chat, pieces, toxicity
+from sentinel.llm.divergence import divergence
 from sentinel.llm.embedding_dedup import near_vectors
+from sentinel.llm.fingerprint import fingerprint, likeness, with_next
 from sentinel.llm.ngram_join import jaccard_groups
+from sentinel.llm.prefix_trie import end_digests, prefix_trie
 from sentinel.llm.sharding import shard
 from sentinel.llm.source_mix import mixed
 from sentinel.llm.substring_dedup import remove_repeats
@@ -79,6 +82,30 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", digest.alias("kept_sha256"))
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    nodes, ends = prefix_trie(_table(spark, folder, "conversations"), donor="conv_id - conv_id % 20",
+                              head="crc32(cast(cast(conv_id AS string) AS binary)) % 4", most=3)
+    digests = end_digests(ends).withColumnRenamed("node", "end")
+    numbers = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens"]
+    return nodes.join(digests, nodes.node == digests.end, "left").select(
+        *numbers, F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"))
+
+
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence(_table(spark, folder, "documents"))
+
+
+def op13_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """A document, and an edited one whose last third is the beginning of the next document."""
+    docs = with_next(_table(spark, folder, "documents").select("doc_id", "text"))
+    kept = F.expr("left(text, length(text) - length(text) div 3)")
+    edited = docs.withColumn("edited", F.concat(kept, "next_start")).withColumn("edited_fingerprint", fingerprint(F.col("edited")))
+    return edited.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+                         "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+                         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_exact_top_k, op2_chat_formatting, op3_url_filters, op4_sentencepiece, op5_toxicity, op6_source_mix, op7_sharding,
-    op8_embedding_dedup, op9_ngram_jaccard_join, op10_substring_dedup)}
+    op8_embedding_dedup, op9_ngram_jaccard_join, op10_substring_dedup, op11_prefix_trie, op12_source_divergence,
+    op13_document_fingerprints)}

@@ -27,7 +27,7 @@ def test_query_matches_oracle(spark, folder, name):
 
 
 def test_every_number_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_nothing_else_imports_the_package():
@@ -39,7 +39,7 @@ def test_nothing_else_imports_the_package():
             assert not any("llm" in n for n in names), path
 
 
-@pytest.mark.parametrize("name", ["op3_url_filters", "op6_source_mix", "op7_sharding"])
+@pytest.mark.parametrize("name", ["op3_url_filters", "op6_source_mix", "op7_sharding", "op13_document_fingerprints"])
 def test_native_queries_run_no_python(spark, folder, name):
     plan = QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas", "CartesianProduct", "NestedLoop"))
