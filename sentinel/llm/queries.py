@@ -78,7 +78,8 @@ def op9_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = remove_repeats(_table(spark, folder, "documents").select("doc_id", "text"))
-    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    spaced = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    digest = F.sha2(spaced, 256)
     return kept.select("doc_id", "n_words", "n_removed", digest.alias("kept_sha256"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,7 @@ HASH_BYTES = 7
 _FOUND = "bucket int, payload binary, part int"
 _FOUND_NAMES = ["bucket", "payload", "part"]
 _PLACES = "doc bigint, mark bigint, places array<int>"
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def _mark(text: str | Column) -> Column:
@@ -130,16 +132,19 @@ def _kept(width: int, text_col: str):
     def one(text: str | None, places: list[int] | None) -> tuple[str | None, int, int]:
         if text is None:
             return None, 0, 0
-        words = text.encode().split()
         if not places:
-            return b" ".join(words).decode(), len(words), 0
-        edge = np.zeros(len(words) + 1, np.int64)
+            return text, len(text.encode().split()), 0
+        raw = text.encode()
+        starts = [m.start() for m in _WORD.finditer(raw)]
+        edge = np.zeros(len(starts) + 1, np.int64)
         at = np.unique(np.asarray(places))
         edge[at] += 1
         edge[at + width] -= 1
         # overlapping windows merge: a word stays where no window is open
         stays = np.flatnonzero(np.cumsum(edge[:-1]) == 0)
-        return b" ".join([words[i] for i in stays]).decode(), len(words), len(words) - len(stays)
+        ends = [*starts[1:], len(raw)]
+        kept = raw[: starts[0]] + b"".join([raw[starts[i]: ends[i]] for i in stays])
+        return kept.decode(), len(starts), len(starts) - len(stays)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,8 +165,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     """Documents without repeated passages, and `n_words` and `n_removed` of each.
 
     A word goes if a window of `width` words covers it whose sequence also starts in a document with a
-    smaller id; windows are judged on the input. Kept words are joined by one space. Windows are compared
-    by 61-bit to 64-bit rolling hashes (two different ones are taken for equal about once in 10**18 pairs).
+    smaller id; windows are judged on the input. A word goes with the white space after it; all else stays as it
+    is, and so does a text without such words. Windows are compared by hashes modulo 2**61 - 1: two different ones
+    are taken for equal with a chance of about `width` in 2**61, for one window about that times the corpus' windows.
 
     Null text: stays null, no words. Empty text: no words. Fewer words than a window: kept. Null id: neither
     removed nor removing. Repeated rows, and rows of one id with other texts, don't remove each other's

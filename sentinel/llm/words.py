@@ -1,13 +1,15 @@
 """Words, word hashes and rolling hashes of Arrow text columns, as whole-array numpy steps.
 
 A word is a run of bytes other than space, tab, line feed, vertical tab, form feed and carriage return.
-These are ASCII, so splitting UTF-8 bytes splits characters exactly. All arithmetic is modulo 2**64.
+These are ASCII, so splitting UTF-8 bytes splits characters exactly. A word's hash is 64 bits of BLAKE2, a
+window's a polynomial of its words' hashes modulo the prime 2**61 - 1.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -16,33 +18,46 @@ import pyarrow.compute as pc
 #: Text bytes worked on at once; several arrays of 8 bytes per text byte live meanwhile.
 SLICE_BYTES = 1_500_000
 
-_BYTE_BASE = 0x9E3779B97F4A7C15
-_WORD_BASE = 0xD1342543DE82EF95
+PRIME = (1 << 61) - 1
+#: A fixed, randomly drawn number below the prime.
+BASE = 0x1AC3F0B94D27E615
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE_VALUES = np.random.RandomState(7).randint(1, 2**63 - 1, 256).astype(np.uint64) | np.uint64(1)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """64-bit values modulo the prime."""
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(61))
+    return np.where(x >= np.uint64(PRIME), x - np.uint64(PRIME), x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime, of factors below it, from halves of 30 and 31 bits."""
+    half, low = np.uint64(31), np.uint64((1 << 31) - 1)
+    a1, a0, b1, b0 = a >> half, a & low, b >> half, b & low
+    middle = a1 * b0 + a0 * b1
+    # 2**61 is 1 modulo the prime
+    carried = (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << half)
+    return _reduced(np.uint64(2) * a1 * b1 + carried + a0 * b0)
 
 
 class Powers:
-    """Powers of an odd base and of its inverse, grown as needed."""
+    """Powers of a base and of its inverse modulo the prime, grown by doubling."""
 
     def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 2**64)
-        self.up = self.down = np.ones(1, np.uint64)
+        self.bases = [base, pow(base, -1, PRIME)]
+        self.known = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
-            for name, base in (("up", self.base), ("down", self.inverse)):
-                steps = np.full(n, base, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
-        return self.up[:n], self.down[:n]
+    def to(self, n: int) -> list[np.ndarray]:
+        while len(self.known[0]) < n:
+            have = len(self.known[0])
+            self.known = [np.concatenate([k, times(k, np.uint64(pow(b, have, PRIME)))]) for k, b in zip(self.known, self.bases, strict=True)]
+        return [k[:n] for k in self.known]
 
 
-_BYTES, _WORDS = Powers(_BYTE_BASE), Powers(_WORD_BASE)
+_POWERS = Powers(BASE)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -73,12 +88,16 @@ class Words:
 
 
 def rolling(values: np.ndarray, width: int) -> np.ndarray:
-    """Rabin-Karp hash of every window of `width` values, from one running sum."""
-    up, down = _WORDS.to(len(values) + 1)
+    """Rabin-Karp hash of every window of `width` values, from one running sum modulo the prime."""
+    up, down = _POWERS.to(len(values) + 1)
+    terms = times(_reduced(values), up[: len(values)])
+    low, high = np.uint64((1 << 32) - 1), np.uint64(32)
+    # halves add up without overflow; 2**32 times the high ones is brought below the prime by `times`
     sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], dtype=np.uint64, out=sums[1:])
+    top = _reduced(np.cumsum(terms >> high, dtype=np.uint64))
+    sums[1:] = _reduced(times(top, np.uint64(1 << 32)) + _reduced(np.cumsum(terms & low, dtype=np.uint64)))
     n = len(values) - width + 1
-    return mix((sums[width:] - sums[:n]) * down[:n])
+    return mix(times(_reduced(sums[width:] + np.uint64(PRIME) - sums[:n]), down[:n]))
 
 
 def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -112,13 +131,12 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
     edges = edges[edges < len(raw)]
     begins[edges] = inside[edges]
     starts = np.flatnonzero(begins)
-    ends = inside.copy()
-    ends[:-1] &= ~inside[1:] | begins[1:]
-    stops = np.flatnonzero(ends) + 1
-    up, down = _BYTES.to(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUES[raw] * up[: len(raw)], dtype=np.uint64, out=sums[1:])
-    hashes = mix((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64))
+    letters = raw[inside]
+    cuts = np.append((np.cumsum(inside) - 1)[starts], len(letters))
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(letters)])
+    coded = found.dictionary_encode()
+    kinds = b"".join(blake2b(w, digest_size=8).digest() for w in coded.dictionary.to_pylist())
+    hashes = np.frombuffer(kinds, np.uint64)[coded.indices.to_numpy()]
     first = np.searchsorted(starts, offsets)
     row = np.repeat(np.arange(rows), np.diff(first))
     return Words(hashes, row, first)

@@ -10,6 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sentinel.llm import blocks, chat, ngram_join, pieces, toxicity
+from sentinel.llm import words as word_steps
+from sentinel.llm.ngram_join import jaccard_groups
 from sentinel.llm.substring_dedup import remove_repeats
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -61,7 +63,11 @@ def removed(rows, width=13):
         for k in range(len(w) - width + 1):
             if i is not None and first[tuple(w[k:k + width])] < i:
                 gone[k:k + width] = [True] * width
-        out.append((i, None if text is None else " ".join(x for x, g in zip(w, gone) if not g), len(w), sum(gone), 1))
+        kept = text
+        if any(gone):
+            parts = re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", text)
+            kept = re.match(r"[\x20\x09-\x0D]*", text)[0] + "".join(x for x, g in zip(parts, gone) if not g)
+        out.append((i, kept, len(w), sum(gone), 1))
     return sorted(out, key=str)
 
 
@@ -313,3 +319,36 @@ def test_toxicity_without_labels(spark):
     assert [rows[i].predicted for i in (1, 2, 3, None)] == [0, 0, 1, 0]
     assert rows[1].score == rows[2].score and all(0 <= r.score <= 1 for r in rows.values())
     assert toxicity.score(docs.limit(0), toxicity.Grammar({}, toxicity.UNTAUGHT)).count() == 0
+
+
+def test_rolling_hashes_are_polynomials_modulo_the_prime():
+    rng = np.random.RandomState(1)
+    values = rng.randint(0, 2**63 - 1, 500).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    for width in (1, 3, 13):
+        expected = []
+        for j in range(500 - width + 1):
+            x = sum(int(values[j + i]) * pow(word_steps.BASE, i, word_steps.PRIME) for i in range(width)) % word_steps.PRIME
+            expected.append(x)
+        assert (word_steps.rolling(values, width) == word_steps.mix(np.array(expected, np.uint64))).all()
+
+
+def test_words_of_mirrored_letters_are_told_apart(spark):
+    """Thue-Morse words: a polynomial modulo 2**64 can't tell a word from its mirror."""
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    one, two = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    hashes = word_steps.words_of(pa.array([one, two])).hashes
+    assert hashes[0] != hashes[1]
+    same = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{same} {one}"), (2, f"{same} {two}")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.text, r.n_removed) for r in remove_repeats(docs).collect()) == [(*r, 0) for r in rows]
+    alone = spark.createDataFrame([(1, one), (2, two)], "doc_id bigint, text string")
+    assert sorted(r.component_id for r in jaccard_groups(alone).collect()) == [1, 2]
+
+
+def test_untouched_texts_keep_their_white_space(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(1, f"def f():\n    return 1\n\n\tx {passage}"), (2, "def f():\n    return 1\n\n\tx"), (3, f"a\n\n  b {passage} c\t\td \n"),
+            (4, "  \n "), (5, passage.replace(" ", "\n"))]
+    kept = {r.doc_id: (r.text, r.n_words, r.n_removed) for r in remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert kept == {1: (rows[0][1], 25, 0), 2: (rows[1][1], 5, 0), 3: ("a\n\n  b c\t\td \n", 24, 20), 4: ("  \n ", 0, 0), 5: ("", 20, 20)}
