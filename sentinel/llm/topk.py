@@ -2,10 +2,11 @@
 
 A query's score for a candidate is a sum over dimensions. For each dimension the candidates of a block are
 sorted by component: from the top for queries whose component is positive, from the bottom for negative
-ones. Lists are read in rounds to the same depth. After a round a candidate's upper bound is what was read
+ones. Lists are read in rounds to growing depths. After a round a candidate's upper bound is what was read
 of it plus, for each list where it has not come up, the value at which the reading stands; its lower bound
-takes the worst value of those lists. A candidate whose upper bound is below the query's k-th lower bound
-is out; when all are out or the lists end, what is left is scored in full.
+takes the worst value of those lists. The candidates that look best after the first round are resolved at once,
+so that the k-th known score is a high floor. A candidate whose upper bound is below the floor is out, a query
+without others is done; when the lists end, what is left is scored in full.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ from pyspark.sql import functions as F
 from sentinel.llm.vectors import finite
 from sentinel.session import materialize
 
-#: Candidates whose lists are read together, candidates of a cell, queries of a cell.
-BLOCK, CELL, QUERIES = 2048, 16384, 256
-#: Depths of the rounds, as shares of a list. The first ones decide little with many dimensions, so few are read.
-DEPTHS = (0.5, 0.75)
+#: Candidates whose lists are read together, queries worked on together, candidates of a cell at most and at least, queries of a cell.
+BLOCK, TOGETHER, CELL, SMALL_CELL, QUERIES = 2048, 256, 16384, 1024, 8192
+#: Depths of the rounds, as shares of a list.
+DEPTHS = (0.25, 0.5, 0.75)
+#: Candidates of a block that are resolved first, times k.
+FIRST = 4
 
 
 def _exact(most: float, width: int) -> type:
@@ -29,61 +32,86 @@ def _exact(most: float, width: int) -> type:
     return np.float64 if most * most * width < 2**53 else np.int64
 
 
-def rounds(block: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int) -> np.ndarray:
+def _kth(scores: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+    """Of each column the k-th best of the ids' best scores; rows of an id lie together, from `starts` on."""
+    each = np.maximum.reduceat(scores, starts, axis=0)
+    if len(each) < k:
+        return np.full(scores.shape[1], _least(scores.dtype), scores.dtype)
+    return np.partition(each, len(each) - k, axis=0)[len(each) - k]
+
+
+def _least(kind) -> float | int:
+    return -np.inf if kind == np.float64 else np.iinfo(np.int64).min
+
+
+def rounds(ids: np.ndarray, block: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int) -> np.ndarray:
     """Which (candidate, query) pairs can still be among the k best, `floor` being known k-th best scores.
 
-    Bounds of all pairs are a product of what was read and the queries' positive and negative parts.
+    `ids` are sorted; a query's own rows are never among them, and an id counts once. Bounds of all pairs are a
+    product of what was read and the queries' positive and negative parts.
     """
-    n, width = block.shape
-    up, down = np.maximum(queries, 0).T, np.minimum(queries, 0).T
+    n, least = len(block), _least(block.dtype)
     order = np.argsort(block, axis=0, kind="stable")
     rank = np.empty_like(order)
     np.put_along_axis(rank, order, np.arange(n)[:, None], axis=0)
     ranked = np.take_along_axis(block, order, axis=0)
-    alive = np.ones((n, len(queries)), bool)
-    for depth in DEPTHS:
+    starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    alive = ids[:, None] != query_ids
+    floor, todo = floor.copy(), np.arange(len(queries))
+    for nth, depth in enumerate(DEPTHS):
         read = int(n * depth)
         if read == 0:
             continue
+        up, down = np.maximum(queries[todo], 0).T, np.minimum(queries[todo], 0).T
         top, bottom = rank >= n - read, rank < read
         at_top, at_bottom = ranked[n - read], ranked[read - 1]  # where the reading stands
         upper = np.where(top, block, at_top) @ up + np.where(bottom, block, at_bottom) @ down
         lower = np.where(top, block, ranked[0]) @ up + np.where(bottom, block, ranked[-1]) @ down
-        if n >= k:
-            floor = np.maximum(floor, np.partition(lower, n - k, axis=0)[n - k])
-        alive &= upper >= floor
-        if not alive.any():
+        lower[~alive[:, todo]] = least
+        floor[todo] = np.maximum(floor[todo], _kth(lower, starts, k))
+        if nth == 0:
+            # those in the middle of high bounds are resolved: a floor that few others reach
+            hope = np.where(alive[:, todo], upper + lower, least)
+            some = min(n, FIRST * k)
+            picked = np.argpartition(hope, n - some, axis=0)[n - some:]
+            scores = np.full(hope.shape, least, block.dtype)
+            known = np.einsum("cqd,qd->cq", block[picked], queries[todo])
+            np.put_along_axis(scores, picked, np.where(np.take_along_axis(alive[:, todo], picked, axis=0), known, least), axis=0)
+            floor[todo] = np.maximum(floor[todo], _kth(scores, starts, k))
+        alive[:, todo] &= upper >= floor[todo]
+        todo = todo[alive[:, todo].sum(axis=0) > k]
+        if not len(todo):
             break
     return alive
 
 
 def best(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """(query, candidate, score) rows: for each query its k best candidates, ties to smaller ids."""
+    """(query, candidate, score) rows: for each query its k best other ids, ties to smaller ones.
+
+    Rows of one id count once, with the best score.
+    """
     kind = _exact(float(max(np.abs(vectors).max(), np.abs(queries).max())), vectors.shape[1])
-    found = [(np.zeros(0, np.int64),) * 3]
-    floor = np.full(len(queries), -np.inf if kind is np.float64 else np.iinfo(np.int64).min, kind)
-    asked = queries.astype(kind)
+    order = np.argsort(ids, kind="stable")
+    ids, vectors, asked = ids[order], vectors[order], queries.astype(kind)
+    found = [np.zeros(0, np.int64)] * 3
+    floor = np.full(len(queries), _least(np.dtype(kind)), kind)
     for lo in range(0, len(ids), BLOCK):
         own, block = ids[lo: lo + BLOCK], vectors[lo: lo + BLOCK].astype(kind)
-        # one candidate more, as a query's own row doesn't count
-        alive = rounds(block, asked, floor, k + 1)
-        row, query = np.nonzero(alive)
-        other = own[row] != query_ids[query]
-        row, query = row[other], query[other]
+        row, query = np.nonzero(rounds(own, block, query_ids, asked, floor, k))
         scores = np.einsum("ij,ij->i", block[row], asked[query]).astype(np.int64)
-        query = np.concatenate([found[0][0], query])
-        candidate = np.concatenate([found[0][1], own[row]])
-        score = np.concatenate([found[0][2], scores])
+        query, candidate, score = (np.concatenate(x) for x in zip(found, (query, own[row], scores), strict=True))
+        order = np.lexsort((-score, candidate, query))
+        query, candidate, score = query[order], candidate[order], score[order]
+        once = np.append(True, (query[1:] != query[:-1]) | (candidate[1:] != candidate[:-1]))[: len(query)]
+        query, candidate, score = query[once], candidate[once], score[once]
         order = np.lexsort((candidate, -score, query))
         query, candidate, score = query[order], candidate[order], score[order]
-        starts = np.flatnonzero(np.append(True, query[1:] != query[:-1])) if len(query) else np.zeros(0, int)
-        nth = np.arange(len(query)) - np.repeat(starts, np.diff(np.append(starts, len(query))))
+        nth = np.arange(len(query)) - np.searchsorted(query, query)
         keep = nth < k
-        found = [(query[keep], candidate[keep], score[keep])]
-        full = keep & (nth == k - 1)
+        found = [query[keep], candidate[keep], score[keep]]
+        full = nth == k - 1
         floor[query[full]] = np.maximum(floor[query[full]], score[full])
-    query, candidate, score = found[0]
-    return query_ids[query], candidate, score
+    return query_ids[found[0]], found[1], found[2]
 
 
 def _cell(k: int):
@@ -93,8 +121,9 @@ def _cell(k: int):
         vectors = np.stack(rows["v"].to_numpy())
         if asks.all() or not asks.any():
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        query, candidate, score = best(ids[~asks], vectors[~asks], ids[asks], vectors[asks], k)
-        return pd.DataFrame({"query_id": query, "vec_id": candidate, "score": score})
+        found = [best(ids[~asks], vectors[~asks], ids[asks][lo: lo + TOGETHER], vectors[asks][lo: lo + TOGETHER], k)
+                 for lo in range(0, int(asks.sum()), TOGETHER)]
+        return pd.DataFrame({name: np.concatenate(x) for name, x in zip(("query_id", "vec_id", "score"), zip(*found), strict=True)})
 
     return run
 
@@ -105,15 +134,17 @@ def top_k(vectors: DataFrame, asked: str, k: int = 20, scale: int = 64, id_col:
     floor(scale * component), ties to smaller ids. `asked` is a SQL condition on the id column.
 
     Vectors that are null, empty or hold null or non-finite components take no part, nor do null ids;
-    vectors of different lengths don't meet. Rows of the same id don't answer each other; a repeated
-    candidate row counts once. Fewer than k others: all of them. An empty table gives no rows.
+    vectors of different lengths don't meet. Rows of the same id don't answer each other; they are one candidate,
+    and one query, with the best score of any of them. Fewer than k others: all of them. An empty table gives no
+    rows. Other columns are not read.
     """
     whole = F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale).cast("bigint"))
     rows = vectors.where(F.col(id_col).isNotNull() & finite(vector_col)).select(
         F.col(id_col).cast("bigint").alias("id"), whole.alias("v"), F.expr(asked).alias("asked"))
     rows = materialize(rows.withColumn("width", F.size("v")).dropDuplicates(["id", "v"]), "vectors")
     counts = rows.groupBy("width").agg(F.count("*").alias("n"), F.count_if("asked").alias("q"))
-    cells = F.ceil(F.col("n") / CELL).cast("int")
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = F.greatest(F.ceil(F.col("n") / CELL), F.least(F.lit(tasks), F.ceil(F.col("n") / SMALL_CELL))).cast("int")
     asks = F.ceil(F.greatest("q", F.lit(1)) / QUERIES).cast("int")
     rows = rows.join(counts.select("width", cells.alias("cells"), asks.alias("parts")), "width")
     part = F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int")
@@ -124,7 +155,6 @@ def top_k(vectors: DataFrame, asked: str, k: int = 20, scale: int = 64, id_col:
     queries = rows.where("asked").select("width", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"),
                                          F.lit(True).alias("asks"), "id", "v")
     # cells are heavy for their bytes: a number given here isn't merged for their size
-    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = candidates.union(queries).repartition(tasks, "width", "part", "cell")
     found = dealt.groupBy("width", "part", "cell").applyInPandas(
         _cell(k), "query_id bigint, vec_id bigint, score bigint")

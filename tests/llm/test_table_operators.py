@@ -226,3 +226,31 @@ def test_pipeline(spark):
     assert all(f.columns == docs.columns for f in (clean, single, short, mixed))
     out = pipeline.run(spark, folder)
     assert out.columns == ["doc_id", "source", "token_ids", "n_tokens"] and out.count() > 150
+
+
+def test_top_k_of_repeated_ids(spark):
+    """Rows of one id count once, and a query's own rows never crowd others out."""
+    own = [(0, [9.0], 1, "")] * 2 + [(0, [8.5], 1, ""), (0, [8.0], 1, "")] + [(i, [float(i % 7)], 1, "") for i in range(1, 20)]
+    found = topk.top_k(spark.createDataFrame(own, VECTORS), "vec_id = 0", k=1, scale=1)
+    assert [tuple(r) for r in found.collect()] == [(0, 1, 6, 54)]
+    many = [(0, [1.0], 1, "")] + [(5, [9.0 - i / 10], 1, "") for i in range(6)] + [(i, [float(i - 10)], 1, "") for i in range(10, 18)]
+    found = topk.top_k(spark.createDataFrame(many, VECTORS), "vec_id = 0", k=3, scale=10)
+    assert sorted(map(tuple, found.collect())) == [(0, 1, 5, 900), (0, 2, 17, 700), (0, 3, 16, 600)]
+
+
+@pytest.mark.parametrize("copies", [1, 4])
+def test_bounds_never_lose_a_candidate(copies):
+    rng = np.random.RandomState(copies)
+    ids = np.sort(rng.randint(0, 600 // copies, 600))
+    vectors = rng.randint(-300, 300, (600, 12))
+    asked = vectors[:40] + rng.randint(-9, 9, (40, 12))
+    query, candidate, score = topk.best(ids, vectors, ids[:40], asked, 7)
+    found = sorted(zip(query.tolist(), candidate.tolist(), score.tolist()))
+    expected = []
+    for q, v in zip(ids[:40], asked):
+        scored = {}
+        for c, w in zip(ids, vectors @ v):
+            if c != q:
+                scored[int(c)] = max(int(w), scored.get(int(c), -10**9))
+        expected += [(int(q), c, s) for c, s in sorted(scored.items(), key=lambda x: (-x[1], x[0]))[:7]]
+    assert found == sorted(expected)
