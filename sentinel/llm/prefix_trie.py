@@ -23,8 +23,8 @@ from sentinel.session import materialize
 SEGMENT, SHARD_TURNS, ENDS_TEXT = 32, 100_000, 1 << 16
 #: Bytes of a node's or turn's key, and of the depth at which a path begins.
 KEY, DEPTH = 16, 8
-#: Free slots that are tried for a node's children before they go behind the last one.
-TRIES = 4_000_000
+#: Slots looked at for a family of children before it goes behind the last one, cells of that look.
+NEAR, TRIES = 1024, 1_000_000
 ROOT = bytes(KEY)
 WORD = r"[^\x20\x09-\x0D]+"
 _SEGMENT = "conv bigint, path binary, words binary, more boolean, ends binary"
@@ -116,7 +116,7 @@ class DoubleArray:
         self.levels = [np.flatnonzero(new[:, level]) for level in range(depth)]
         room = int(new.sum()) + int(codes.max(initial=0)) + 2
         self.base, self.check = np.zeros(room, np.int64), np.full(room, -1, np.int64)
-        self.check[0], self._low = 0, 1
+        self.check[0], self._low, self._end = 0, 1, 1
         at = np.zeros(rows, np.int64)
         for level, fresh in enumerate(self.levels):
             if len(fresh):
@@ -139,8 +139,6 @@ class DoubleArray:
 
     def _free(self, n: int) -> np.ndarray:
         """The first n free slots."""
-        while self._low < len(self.check) and self.check[self._low] >= 0:
-            self._low += 1
         free = self._low + np.flatnonzero(self.check[self._low:] < 0)
         if len(free) < n:
             short = n - len(free)
@@ -163,21 +161,22 @@ class DoubleArray:
         slots = self._free(len(alone))
         self.base[parents[alone]] = slots - ids[alone]
         self.check[slots] = parents[alone]
+        self._end = max(self._end, int(slots.max(initial=0)) + 1)
 
     def _fit(self, apart: np.ndarray) -> int:
-        """A slot for the first of some children, so that all of them find theirs free."""
-        free = self._free(max(1, min(len(self.check), TRIES // len(apart))))
-        self._room(int(free[-1] + apart[-1]) + 1)
+        """A slot for the first of some children, so that all of them find theirs free: one of the first free ones,
+        or behind the last slot in use."""
+        while self._low < len(self.check) and self.check[self._low] >= 0:
+            self._low += 1
+        free = self._low + np.flatnonzero(self.check[self._low: self._low + NEAR] < 0)[:max(1, TRIES // len(apart))]
+        self._room(max(self._low + NEAR, self._end) + int(apart[-1]) + 1)
         fits = np.flatnonzero((self.check[free[:, None] + apart] < 0).all(axis=1))
-        if len(fits):
-            return int(free[fits[0]])
-        end = int(np.flatnonzero(self.check >= 0)[-1]) + 1
-        self._room(end + int(apart[-1]) + 1)
-        return end
+        return int(free[fits[0]]) if len(fits) else self._end
 
     def _settle(self, parent: int, family: np.ndarray, slot: int) -> None:
         self.base[parent] = slot - family[0]
         self.check[slot + family - family[0]] = parent
+        self._end = max(self._end, slot + int(family[-1] - family[0]) + 1)
 
 
 def _dense(values: np.ndarray, valid: np.ndarray) -> np.ndarray:
@@ -312,7 +311,10 @@ def prefix_trie(turns: DataFrame, donor: str = "conv_id", head: str = "0", most:
     segments = materialize(rows.mapInArrow(_segments(most, segment), _SEGMENT), "segments")
 
     paths = segments.groupBy("path", "words").agg(F.count("*").alias("n"), F.min("conv").alias("conv"), F.max("more").alias("more"))
-    found = materialize(materialize(paths, "paths").orderBy("path").mapInArrow(_shards(shard_turns), _NODE), "nodes")
+    # shards are heavy for their bytes: a number given here isn't merged for their size
+    tasks = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(paths, "paths").repartitionByRange(tasks, "path").sortWithinPartitions("path")
+    found = materialize(dealt.mapInArrow(_shards(shard_turns), _NODE), "nodes")
 
     parts = found.where("open")
     merged = parts.groupBy("node").agg(
