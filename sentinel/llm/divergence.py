@@ -234,6 +234,7 @@ def divergence(docs: DataFrame, least_docs: int = 3, top: int = 200, lang_col: s
         "lang", "source", "term", "n", "total", zero.alias("kept"), F.pmod(F.xxhash64("term"), F.col("parts")).alias("at"))
     found = rows.union(heads).groupBy("lang", "at").applyInArrow(_part(top), _FOUND)
     # a part has each group's best terms, and a pair's sum over its terms
-    found = found.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
+    found = materialize(found.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value")), "values")
     rank = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
-    return found.withColumn("rank", rank).where((F.col("part") == "pair") | (F.col("rank") <= top))
+    pairs, terms = (found.where(F.col("part") == name).withColumn("rank", rank) for name in ("pair", "term"))
+    return pairs.union(terms.where(F.col("rank") <= top))
