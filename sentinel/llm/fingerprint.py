@@ -102,22 +102,24 @@ def _next(keys: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, fingerprint, next_start, next_fingerprint), one row per input row: `next_start` is as much of
-    the beginning of the next document, by descending id, as a third of this one's characters.
+    """(doc_id, text, fingerprint, next_id, next_start, next_fingerprint), one row per input row: `next_start` is as
+    much of the beginning of the next document, by descending id, as a third of this one's characters.
 
     Null text: empty. Rows of one id follow each other by a digest of id and text; repeated rows are one document
     with the same answer. Null ids come last. A single document follows itself. An empty table gives no rows.
-    Texts are shuffled once, beginnings of at most a third of them once more.
+    Texts are shuffled once (both sides of the last join read the same exchange, as they need the same columns),
+    beginnings of at most a third of them once more.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text"))
     own = own.withColumn("key", F.unhex(F.sha2(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), F.col("text")), 256)))
     keys = own.groupBy("id", "key").agg(F.max(F.expr("length(text) div 3")).alias("take"))
     links = materialize(_next(keys), "links").withColumnRenamed("key", "to")
-    own = own.withColumn("fp", fingerprint(F.col("text")))
     alike = Window.partitionBy("key").orderBy("key")
     once = own.withColumn("before", F.lag("key").over(alike)).where("before is null")
     start = F.substring(F.col("text"), F.lit(1), F.col("take").cast("int"))
-    lent = once.join(links, F.col("key") == F.col("next")).select("to", start.alias("next_start"), F.col("fp").alias("next_fingerprint"))
-    return own.join(lent, F.col("key") == F.col("to")).select(
-        F.col("id").alias(id_col), F.col("text").alias(text_col), F.col("fp").alias("fingerprint"), "next_start", "next_fingerprint")
+    lent = once.join(links.hint("merge"), F.col("key") == F.col("next")).select(
+        "to", F.col("id").alias("next_id"), start.alias("next_start"), fingerprint(F.col("text")).alias("next_fingerprint"))
+    met = own.join(lent.hint("merge"), F.col("key") == F.col("to"))
+    return met.select(F.col("id").alias(id_col), F.col("text").alias(text_col), fingerprint(F.col("text")).alias("fingerprint"),
+                      "next_id", "next_start", "next_fingerprint")

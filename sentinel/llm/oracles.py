@@ -223,7 +223,8 @@ WITH docs AS (
 )
 SELECT d.doc_id, length(d.text) AS n_chars, sha256(t.text) AS edited_sha256, a.fp AS fingerprint, b.fp AS edited_fingerprint,
   CASE WHEN a.root = b.root THEN 1.0::DOUBLE ELSE coalesce(2.0::DOUBLE * len(list_intersect(a.p, b.p)) / nullif(len(a.p) + len(b.p), 0), 0.0) END AS near_edited,
-  CASE WHEN a.root = c.root THEN 1.0::DOUBLE ELSE coalesce(2.0::DOUBLE * len(list_intersect(a.p, c.p)) / nullif(len(a.p) + len(c.p), 0), 0.0) END AS near_next
+  CASE WHEN a.root = c.root THEN 1.0::DOUBLE ELSE coalesce(2.0::DOUBLE * len(list_intersect(a.p, c.p)) / nullif(len(a.p) + len(c.p), 0), 0.0) END AS near_next,
+  d.next_id
 FROM paired d JOIN texts t ON t.doc_id = d.doc_id AND t.kind = 'edited' JOIN found a ON a.doc_id = d.doc_id AND a.kind = 'own'
 JOIN found b ON b.doc_id = d.doc_id AND b.kind = 'edited' JOIN found c ON c.doc_id = d.next_id AND c.kind = 'own'
 """

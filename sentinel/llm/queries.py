@@ -103,7 +103,7 @@ def op13_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     edited = docs.withColumn("edited", F.concat(kept, "next_start")).withColumn("edited_fingerprint", fingerprint(F.col("edited")))
     return edited.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
                          "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-                         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+                         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"), "next_id")
 
 
 QUERIES = {f.__name__: f for f in (
