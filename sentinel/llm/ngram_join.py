@@ -22,14 +22,15 @@ from sentinel.session import materialize
 #: Bytes of a signature in a block, and of a feature in a set that is sent; collisions cost comparisons
 #: only for signatures, and are below 10**-8 a pair of sets for features.
 SIGNATURE_BYTES, FEATURE_BYTES = 5, 6
-#: Features and sets of a part, about, of which a cell compares one or two; members of a signature's group that
-#: are looked at together; values of a block of a product.
-CELL_FEATURES, CELL_SETS, GROUP, BLOCK = 800_000, 2048, 2048, 4_000_000
-#: Cells of a set's histogram. The counts of two sets differ by their symmetric difference at most.
-HISTOGRAM = 128
-_FOUND = "bucket int, payload binary, doc bigint, n bigint, f1 bigint, f2 bigint, histogram binary"
-_FOUND_NAMES = ["bucket", "payload", "doc", "n", "f1", "f2", "histogram"]
-_OUT = "doc bigint, n bigint, f1 bigint, f2 bigint, histogram binary, met bigint, part int, parts int, members array<bigint>"
+#: Features and sets of a part, about, of which a cell compares one or two; features of a part of sketches; members of
+#: a signature's group that are looked at together; values of a block of a product.
+CELL_FEATURES, CELL_SETS, CELL_SKETCHED, GROUP, BLOCK = 800_000, 2048, 6_000_000, 2048, 4_000_000
+#: Bits of the sketch that is compared first, bits of a whole sketch for each feature at least, and bits at most.
+SHORT, SPREAD, LONGEST = 1024, 4, 1 << 24
+_FOUND = "bucket int, payload binary, doc bigint, n bigint, f1 bigint, f2 bigint, short binary, sketch binary"
+_FOUND_NAMES = ["bucket", "payload", "doc", "n", "f1", "f2", "short", "sketch"]
+_OUT = ("doc bigint, n bigint, f1 bigint, f2 bigint, short binary, sketch binary,"
+        " met bigint, part int, parts int, members array<bigint>")
 
 
 def features_of(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,6 +56,26 @@ def features_of(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(sets) if sets else np.zeros(0, np.uint64), np.array(first)
 
 
+def sketches(sets: np.ndarray, first: np.ndarray) -> tuple[list[bytes], list[bytes | None]]:
+    """Short and whole sketch of each set: one bit a cell, whether the cell has an odd number of features.
+
+    Cells are low bits of a hash, so folding a sketch's halves onto each other gives the sketch of half as many
+    cells. Two sketches differ in at most as many bits as their sets have features that are not in both. A whole
+    sketch that is the short one is left out.
+    """
+    sizes = np.diff(first)
+    bits = np.minimum(np.maximum(SHORT, 1 << np.ceil(np.log2(np.maximum(SPREAD * sizes, 1))).astype(np.int64)), LONGEST)
+    offset = np.concatenate([[0], np.cumsum(bits)])
+    place = ((sets * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(36)).astype(np.int64)
+    place = (place & (np.repeat(bits, sizes) - 1)) + np.repeat(offset[:-1], sizes)
+    packed = np.packbits((np.bincount(place, minlength=offset[-1]) & 1).astype(np.uint8))
+    if not len(sizes):
+        return [], []
+    short = np.bitwise_xor.reduceat(packed.reshape(-1, SHORT // 8), offset[:-1] // SHORT, axis=0)
+    whole = [packed[offset[r] // 8: offset[r + 1] // 8].tobytes() if bits[r] > SHORT else None for r in range(len(sizes))]
+    return [row.tobytes() for row in short], whole
+
+
 def _sums(keys: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Sums of 64-bit values by key, modulo 2**64; halves add exactly as doubles."""
     low = np.bincount(keys, (values & np.uint64(0xFFFFFFFF)).astype(np.float64), n)
@@ -122,8 +143,8 @@ def _entries(width: int, num: int, den: int, buckets: int):
             order = np.argsort(owner, kind="stable")
             rows = list(blocks.pack(hashes[order], owner[order], np.zeros(len(order), np.int64), [docs], buckets,
                                     SIGNATURE_BYTES))
-            empty = [pa.nulls(len(rows), pa.int64())] * 4
-            yield pa.record_batch([*blocks.batch_of(rows).columns, *empty, pa.nulls(len(rows), pa.binary())], names=_FOUND_NAMES)
+            empty = [pa.nulls(len(rows), pa.int64())] * 4 + [pa.nulls(len(rows), pa.binary())] * 2
+            yield pa.record_batch([*blocks.batch_of(rows).columns, *empty], names=_FOUND_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, docs, seen, total = [], [], set(), 0
@@ -136,11 +157,10 @@ def _entries(width: int, num: int, den: int, buckets: int):
                 f1 = _sums(rows, mix(sets), hi - lo)
                 f2 = _sums(rows, mix(~sets), hi - lo)
                 n = hi - lo
-                cells = rows * HISTOGRAM + ((sets * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(57)).astype(np.int64)
-                counts = np.minimum(np.bincount(cells, minlength=n * HISTOGRAM), 255).astype(np.uint8).reshape(n, -1)
+                short, whole = sketches(sets, first)
                 yield pa.record_batch(
                     [pa.array((own % buckets).astype(np.int32)), pa.nulls(n, pa.binary()), pa.array(own), pa.array(sizes),
-                     pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array([c.tobytes() for c in counts], pa.binary())],
+                     pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(short, pa.binary()), pa.array(whole, pa.binary())],
                     names=_FOUND_NAMES)
                 # of equal sets in the task, the id met first stands for those after it
                 fresh = np.zeros(n, bool)
@@ -168,7 +188,7 @@ def _entries(width: int, num: int, den: int, buckets: int):
 def _meet(table: pa.Table) -> pa.Table:
     """Of one bucket: the documents that share a signature, once for all signatures that the same ones share,
     large groups in parts; and the sets' own rows."""
-    names = ["doc", "n", "f1", "f2", "histogram"]
+    names = ["doc", "n", "f1", "f2", "short", "sketch"]
     sets = table.filter(table.column("payload").is_null()).select(names)
     empty = pa.schema([("met", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("members", pa.list_(pa.int64()))])
     for field in empty:
@@ -217,33 +237,44 @@ def _spread(near: np.ndarray, docs: np.ndarray) -> list[tuple[int, int]]:
     return links
 
 
-def possible(docs: np.ndarray, sizes: np.ndarray, histograms: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Links that connect all pairs whose histograms allow the similarity: sets as similar as num / den differ
-    in (den - num) / (den + num) of their sizes' sum at most, and histograms differ no more than sets."""
-    wide, near = histograms.astype(np.int16), np.zeros((len(docs), len(docs)), bool)
-    step = max(1, 4_000_000 // (len(docs) * HISTOGRAM))
+def possible(docs: np.ndarray, sizes: np.ndarray, raw: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
+    """Links that connect all pairs whose sketches allow the similarity: sets as similar as num / den differ in
+    (den - num) / (den + num) of their sizes' sum at most, and sketches differ in no more bits than that."""
+    least = min(map(len, raw))
+    folded = [np.bitwise_xor.reduce(np.frombuffer(r, np.uint64).reshape(-1, least // 8), axis=0) for r in raw]
+    words, near = np.array(folded), np.zeros((len(docs), len(docs)), bool)
+    step = max(1, BLOCK // (len(docs) * words.shape[1]))
     for lo in range(0, len(docs), step):
-        apart = np.abs(wide[lo: lo + step, None, :] - wide[None, :, :]).sum(axis=2, dtype=np.int64)
+        apart = np.bitwise_count(words[lo: lo + step, None, :] ^ words[None, :, :]).sum(axis=2, dtype=np.int64)
         near[lo: lo + step] = (den + num) * apart <= (den - num) * (sizes[lo: lo + step, None] + sizes[None, :])
     np.fill_diagonal(near, False)
     return _spread(near, docs)
 
 
 def _by_key(keys: list[str], values: list[str], settle):
-    """Rows sorted by key as (doc, peer) links: `settle` gets the rows of one key after the other."""
+    """Rows sorted by key as (doc, peer) links: `settle` gets the rows of each key that has several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, links = None, [], []
+        held = None
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in (*keys, *values)]
-            for row in zip(*columns, strict=True):
-                if row[: len(keys)] != key:
-                    links += settle(held)
-                    key, held = row[: len(keys)], []
-                held.append(row[len(keys):])
-            yield _pairs(links)
-            links = []
-        yield _pairs(links + settle(held))
+            rows = pa.Table.from_batches([batch]).select([*keys, *values])
+            rows = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
+            if not len(rows):
+                continue
+            of = np.array([rows.column(k).to_numpy() for k in keys])
+            starts = np.flatnonzero(np.append(True, (of[:, 1:] != of[:, :-1]).any(axis=0)))
+            # the last key may go on in the next batch
+            yield _pairs(settled(rows, starts))
+            held = rows.slice(starts[-1])
+        if held is not None:
+            yield _pairs(settled(held, np.array([0, len(held)])))
+
+    def settled(rows: pa.Table, starts: np.ndarray) -> list[tuple[int, int]]:
+        links = []
+        for at in np.flatnonzero(np.diff(starts) > 1):
+            own = rows.slice(starts[at], starts[at + 1] - starts[at])
+            links += settle(list(zip(*(own.column(v).to_pylist() for v in values), strict=True)))
+        return links
 
     return run
 
@@ -259,8 +290,7 @@ def _possible(num: int, den: int):
         held = list(dict.fromkeys(held))
         if len(held) < 2:
             return []
-        counts = np.frombuffer(b"".join(h for _, _, h in held), np.uint8).reshape(len(held), HISTOGRAM)
-        return possible(np.array([d for d, _, _ in held]), np.array([n for _, n, _ in held]), counts, num, den)
+        return possible(np.array([d for d, _, _ in held]), np.array([n for _, n, _ in held]), [b for _, _, b in held], num, den)
 
     return settle
 
@@ -326,8 +356,6 @@ def linked(docs: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list
 
 def _compare(num: int, den: int):
     def settle(held: list[tuple[int, bytes]]) -> list[tuple[int, int]]:
-        if len(held) < 2:
-            return []
         sets = []
         for _, raw in held:
             wide = np.zeros((len(raw) // FEATURE_BYTES, 8), np.uint8)
@@ -347,29 +375,37 @@ def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
     feature. Null or empty text: an empty set, linked with nothing. Null id: component null. Rows of one id
     count as one document with the links of all of them.
 
-    Equal sets fall together first, wherever they are. Sets that meet in a signature and whose histograms
-    don't rule the similarity out form clusters; a cluster's sets are compared in cells of bounded size, large
-    clusters by pairs of random parts. So every pair that shares a signature is judged and none is written out.
+    Equal sets fall together first, wherever they are. Sets that meet in a signature and whose short sketches don't
+    rule the similarity out form clusters; in these the whole sketches are compared, a bit or two for each bit of
+    similarity that is missing, and only sets that are still linked are sent and compared themselves. Clusters are
+    compared in cells of bounded size, large ones by pairs of random parts. So every pair that shares a signature
+    is judged and none is written out.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
     buckets = 2 * blocks.bucket_count(own)
     found = own.where("doc is not null").mapInArrow(_entries(width, num, den, buckets), _FOUND)
     found = materialize(found.groupBy("bucket").applyInArrow(_meet, _OUT), "signatures")
-    sets = found.where("met is null").select("doc", "n", "f1", "f2", "histogram")
+    sets = found.where("met is null").select("doc", "n", "f1", "f2", "short", "sketch")
     first = sets.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc").alias("rep"))
     # each id by the first one of each of its sets, whichever of them a task met
-    named = sets.join(first, ["n", "f1", "f2"]).select("doc", "rep", "n", "histogram")
+    named = sets.select("doc", "n", "f1", "f2", "short").join(first, ["n", "f1", "f2"]).select("doc", "rep", "n", "short")
     copies = materialize(named.where("doc != rep").select("doc", F.col("rep").alias("peer")), "copies")
 
     met = found.where("met is not null").groupBy("met", "part", "parts", F.size("members")).agg(F.first("members").alias("members"))
     met = met.select("met", "part", "parts", F.explode("members").alias("doc")).join(named.hint("merge"), "doc")
     met = met.select("met", F.explode(_pairs_of(F.col("part").cast("bigint"), F.col("parts").cast("bigint"))).alias("pair"),
-                     F.col("rep").alias("doc"), "n", "histogram")
+                     F.col("rep").alias("doc"), "n", "short")
     met = met.repartition("met", "pair").sortWithinPartitions("met", "pair", "doc")
-    near = met.mapInArrow(_by_key(["met", "pair"], ["doc", "n", "histogram"], _possible(num, den)), "doc bigint, peer bigint")
-    cluster = components(near, "doc", "peer")
-    members = materialize(_cells(cluster, sets, num, den), "members")
+    near = met.mapInArrow(_by_key(["met", "pair"], ["doc", "n", "short"], _possible(num, den)), "doc bigint, peer bigint")
+
+    # sketches of a cluster first: what they leave are nearly the groups themselves
+    members = _cells(components(near, "doc", "peer"), sets, num, den, CELL_SKETCHED)
+    whole = sets.where("n > 0").select(F.col("doc").alias("of"), "n", F.coalesce("sketch", "short").alias("sketch"))
+    shown = members.join(whole, F.col("doc") == F.col("of")).select("cluster", F.explode("cells").alias("cell"), "doc", "n", "sketch")
+    shown = shown.repartition("cluster", "cell").sortWithinPartitions("cluster", "cell")
+    near = shown.mapInArrow(_by_key(["cluster", "cell"], ["doc", "n", "sketch"], _possible(num, den)), "doc bigint, peer bigint")
+    members = materialize(_cells(components(near, "doc", "peer"), sets, num, den, CELL_FEATURES), "members")
 
     # texts meet a table with a row per document in a merge join at any size
     texts = own.where("text is not null").join(members.hint("merge"), "doc").select("cluster", "cells", "doc", "text")
@@ -392,8 +428,8 @@ def _pairs_of(part: Column, parts: Column) -> Column:
         F.transform(others, lambda x: F.least(x, part) * parts + F.greatest(x, part)))
 
 
-def _cells(cluster: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(doc, cluster, cells): the cells that compare a document. A cell holds the sizes of one band and the
+def _cells(cluster: DataFrame, sets: DataFrame, num: int, den: int, features: int) -> DataFrame:
+    """(doc, cluster, cells): the cells that compare a document, of about so many features. A cell holds the sizes of one band and the
     next smaller one, as similar sets differ by one band at most; where these are too many, a pair of parts."""
     log = lambda n: F.floor(F.log(n) / F.log(F.lit(1.01 * den / num)))
     known = sets.where("n > 0").groupBy("doc").agg(F.sum("n").alias("n"), log(F.min("n")).alias("low"), log(F.max("n")).alias("high"))
@@ -401,7 +437,7 @@ def _cells(cluster: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
         "doc", F.col("component").alias("cluster"), "n", "high", F.explode(F.sequence(F.col("low"), F.col("high") + 1)).alias("band"))
     # a band without a set of its own would compare what the one below it does
     sizes = members.groupBy("cluster", "band").agg(
-        F.greatest(F.ceil(F.sum("n") / F.lit(CELL_FEATURES)), F.ceil(F.count("*") / F.lit(CELL_SETS))).alias("parts"), F.count("*").alias("all"), F.count_if(F.col("band") <= F.col("high")).alias("own"))
+        F.greatest(F.ceil(F.sum("n") / F.lit(features)), F.ceil(F.count("*") / F.lit(CELL_SETS))).alias("parts"), F.count("*").alias("all"), F.count_if(F.col("band") <= F.col("high")).alias("own"))
     sizes = sizes.where((F.col("all") > 1) & (F.col("own") > 0)).select("cluster", "band", "parts")
     pair = _pairs_of(F.pmod(F.xxhash64("doc"), F.col("parts")), F.col("parts"))
     band = F.col("band") * (1 << 50)

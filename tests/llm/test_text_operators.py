@@ -161,7 +161,7 @@ def test_many_short_sets_are_compared_in_parts(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "CELL_SETS", 16)
     cluster = spark.range(400).selectExpr("id AS node", "0L AS component")
     sets = spark.range(400).selectExpr("id AS doc", "40L AS n", "id AS f1", "id AS f2")
-    placed = ngram_join._cells(cluster, sets, 90, 100).select(F.explode("cells").alias("cell"), "doc").collect()
+    placed = ngram_join._cells(cluster, sets, 90, 100, 800_000).select(F.explode("cells").alias("cell"), "doc").collect()
     cells = {}
     for r in placed:
         cells.setdefault(r.cell, set()).add(r.doc)
@@ -174,8 +174,8 @@ def test_a_large_signature_group_is_written_once(monkeypatch):
     monkeypatch.setattr(ngram_join, "GROUP", 8)
     docs = np.arange(100, dtype=np.int64)
     rows = list(blocks.pack(np.full(100, 77, np.uint64), np.arange(100), np.zeros(100, np.int64), [docs], 1, ngram_join.SIGNATURE_BYTES))
-    empty = [pa.nulls(1, pa.int64())] * 4
-    table = pa.table([*blocks.batch_of(rows).columns, *empty, pa.nulls(1, pa.binary())], names=ngram_join._FOUND_NAMES)
+    empty = [pa.nulls(1, pa.int64())] * 4 + [pa.nulls(1, pa.binary())] * 2
+    table = pa.table([*blocks.batch_of(rows).columns, *empty], names=ngram_join._FOUND_NAMES)
     found = ngram_join._meet(table).select(["part", "parts", "members"]).to_pylist()
     assert sorted(x for row in found for x in row["members"]) == list(range(100))
     assert [(r["part"], r["parts"]) for r in found] == [(i, 25) for i in range(25)]
@@ -352,3 +352,43 @@ def test_untouched_texts_keep_their_white_space(spark):
             (4, "  \n "), (5, passage.replace(" ", "\n"))]
     kept = {r.doc_id: (r.text, r.n_words, r.n_removed) for r in remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert kept == {1: (rows[0][1], 25, 0), 2: (rows[1][1], 5, 0), 3: ("a\n\n  b c\t\td \n", 24, 20), 4: ("  \n ", 0, 0), 5: ("", 20, 20)}
+
+
+@pytest.mark.parametrize("num", [80, 90])
+def test_sketches_rule_out_no_similar_pair_and_most_others(num):
+    rng = np.random.RandomState(num)
+    kept = np.zeros(2)
+    for n in [1, 2, 7, 40, 260, 1000, 3000]:
+        for share in (num, num, num, 40, 60):
+            common = int(np.ceil(2 * n * share / (100 + share)))
+            a, b = (np.unique(rng.randint(0, 2**62, n).astype(np.uint64)) for _ in range(2))
+            b = np.unique(np.concatenate([a[:common], b[common:]]))
+            similar = 100 * len(np.intersect1d(a, b)) >= num * len(np.union1d(a, b))
+            short, whole = ngram_join.sketches(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+            whole = [w or s for w, s in zip(whole, short)]
+            sizes = np.array([len(a), len(b)])
+            found = [bool(ngram_join.possible(np.arange(2), sizes, raw, num, 100)) for raw in (short, whole)]
+            assert not similar or found == [True, True]
+            if share == 40 and n > 200:
+                kept += [1, found[1]]
+    assert kept[0] and kept[1] == 0
+
+
+def test_long_texts_that_share_passages_are_judged_exactly(spark):
+    """Texts of thousands of words with common passages: many candidates, few links."""
+    rng = random.Random(11)
+    passages = [" ".join(f"{rng.choice('abc')}{rng.randrange(10**6)}" for _ in range(300)) for _ in range(12)]
+    rows = []
+    for i in range(60):
+        text = " ".join([*rng.sample(passages, 3 + i % 5), *(f"own{rng.randrange(10**7)}" for _ in range(rng.choice([20, 200, 900])))])
+        rows.append((i, text, "", 1))
+        if i % 6 == 0:
+            own = text.split()
+            for at in rng.sample(range(len(own)), len(own) // rng.choice([40, 60, 200])):
+                own[at] = "changed"
+            rows.append((1000 + i, " ".join(own), "", 1))
+    for width, num in ((5, 80), (3, 90)):
+        found = ngram_join.jaccard_groups(spark.createDataFrame(rows, DOCS).repartition(4), width, num).collect()
+        expected = groups(rows, width, num)
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == expected
+        assert any(i != c for i, _, c in expected)
