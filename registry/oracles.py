@@ -718,26 +718,23 @@ ORACLES["fingerprint_documents"] = f"""
 SELECT {fingerprint('text')} AS fp, count(*) AS n, min(doc_id) AS first_doc,
   max(doc_id) AS last_doc FROM documents WHERE text IS NOT NULL GROUP BY 1"""
 
-# ---- streams: equal to the batch result, as far as the watermark has come ------------------------
+# ---- streams: equal to the batch result, whole and in whatever order rows come -------------------
 ORACLES["stream_normalize"] = normalized("""
 SELECT event_id, ts, level, service, user_name, array_to_string(tags, ',') AS tags FROM norm""")
 ORACLES["stream_bucket_counts"] = statement([LOGS], """
 SELECT bucket, index_name, level, count(*) AS n FROM (SELECT *,
-  time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') AS bucket FROM logs)
-WHERE bucket + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM logs) GROUP BY ALL""")
+  time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') AS bucket FROM logs) GROUP BY ALL""")
 ORACLES["stream_cooldown"] = ORACLES["cooldown_dedupe"]
 ORACLES["stream_first_seen"] = ORACLES["first_seen"]
-ORACLES["stream_index_silent"] = statement(
-    [LOGS.replace("logs AS (", "every_log AS ("),
-     """logs AS (SELECT * FROM every_log WHERE time_bucket(INTERVAL 6 HOUR, ts,
-        TIMESTAMP '2024-01-01') + INTERVAL 6 HOUR <=
-        (SELECT max(ts) - INTERVAL 10 MINUTE FROM every_log))""",
-     *windows(MAIN), *silent_parts(MAIN)[0]], union(silent_parts(MAIN)[1]))
+ORACLES["stream_index_silent"] = ORACLES["index_silent"]
+ORACLES["stream_alerts"] = ORACLES["alert_documents"]
+_SINCE = "TIMESTAMP '2024-01-01'"
+_GHOST = cfg.GHOST[0]
 ORACLES["stream_heartbeats"] = statement([LOGS], "SELECT 'main' AS target, service,"
     " date_trunc('second', ts)::TIMESTAMP AS last_seen,"
-    f" date_trunc('second', ts)::TIMESTAMP + {seconds(MAIN.staleness)} AS missing_since FROM (" + union([
-    f"""SELECT {q(service)} AS service, ts, lead(ts) OVER (ORDER BY ts) AS next FROM logs
-        WHERE {matches([index])} AND {phrase(WORDS, [text])}"""
-    for service, index, text in MAIN.heartbeats])
-    + f""") WHERE next - ts > {seconds(MAIN.staleness)} OR (next IS NULL AND
-      ts + {seconds(MAIN.staleness)} < (SELECT max(ts) - INTERVAL 10 MINUTE FROM logs))""")
+    f" coalesce(date_trunc('second', ts)::TIMESTAMP, {_SINCE}) + {seconds(_GHOST.staleness)} AS missing_since FROM (" + union([
+    f"""SELECT {q(service)} AS service, ts, lead(ts) OVER (ORDER BY ts NULLS FIRST) AS next FROM (
+        SELECT ts FROM logs WHERE {matches([index])} AND {phrase(WORDS, [text])} UNION ALL SELECT NULL)"""
+    for service, index, text in _GHOST.heartbeats])
+    + f""") WHERE coalesce(next, (SELECT greatest(TIMESTAMP '2024-01-31', max(ts) - INTERVAL 10 MINUTE) FROM logs) + INTERVAL 1 SECOND)
+      - coalesce(ts, {_SINCE}) > {seconds(_GHOST.staleness)}""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -448,9 +449,8 @@ def verdict_asof(spark, folder):
         "ext_severity")
 
 
-@query
-def alert_documents(spark, folder):
-    return _documents(spark, folder).selectExpr(
+def _shown(documents):
+    return documents.selectExpr(
         "ts", "target", "severity", "summary", "forced", "signature", "window_hours",
         "array_join(monitored_indices, ',') AS monitored_indices",
         "array_join(transform(signals, s -> concat(s.kind, ':', s.severity_hint, ':', s.detail)),"
@@ -466,6 +466,11 @@ def alert_documents(spark, folder):
         "alert_index", "month")
 
 
+@query
+def alert_documents(spark, folder):
+    return _shown(_documents(spark, folder))
+
+
 @query
 def run_counters(spark, folder):
     w, found = _calm(spark, folder)
@@ -571,37 +576,50 @@ def stream_normalize(spark, folder):
     return jobs.run_to_table(rows, "normalized")
 
 
+def _streamed_counts(spark, folder):
+    rows = event_logs(_event_stream(spark, folder))
+    return jobs.run_bucket_counts(rows, cfg.MAIN, cfg.SPAN, new_path(spark, "buckets"), new_path(spark, "buckets-checkpoint"))
+
+
 @query
 def stream_bucket_counts(spark, folder):
-    counts = jobs.bucket_counts(event_logs(_event_stream(spark, folder)), cfg.MAIN, cfg.SPAN)
-    return jobs.run_to_table(counts, "buckets").selectExpr(
-        f"{as_timestamp('bucket')} AS bucket", "index_name", "level", "n")
+    return _streamed_counts(spark, folder).selectExpr(f"{as_timestamp('bucket')} AS bucket", "index_name", "level", "n")
 
 
 @query
 def stream_index_silent(spark, folder):
-    counts = jobs.bucket_counts(event_logs(_event_stream(spark, folder)), cfg.MAIN, cfg.SPAN)
-    table_ = jobs.run_to_table(counts, "buckets")
-    return flat(silence.index_silent_signals(table_, cfg.MAIN, cfg.SPAN))
+    return flat(silence.index_silent_signals(_streamed_counts(spark, folder), cfg.MAIN, cfg.SPAN))
 
 
 @query
 def stream_heartbeats(spark, folder):
+    """Silences known at the end of the span, also that of a service that never spoke."""
     state.use_state_store(spark)
-    minutes = jobs.heartbeat_minutes(event_logs(_event_stream(spark, folder)), cfg.MAIN)
-    found = jobs.run_to_table(state.missing_heartbeats(minutes), "heartbeats")
+    clock = jobs.new_clock(spark)
+    minutes = jobs.heartbeat_minutes(jobs.with_clock(event_logs(_event_stream(spark, folder)), clock), cfg.GHOST)
+    found = state.missing_heartbeats(minutes, state.expected_services(spark, cfg.GHOST, cfg.SPAN.start))
+    found = jobs.run_to_table(found, "heartbeats", clock, cfg.SPAN.end)
     return found.selectExpr("target", "service", f"{as_timestamp('last_second')} AS last_seen",
                             f"{as_timestamp('missing_since')} AS missing_since")
 
 
+def _shuffled_stream(rows, label, time):
+    """The rows of a table as a stream of files that come in no order of time, one a batch."""
+    spark = rows.sparkSession
+    path = new_path(spark, label)
+    rows.repartition(cfg.STREAM_FILES, time).write.parquet(path)
+    return jobs.read_stream(spark, path, rows.schema, files_per_batch=1)
+
+
 @query
 def stream_cooldown(spark, folder):
     state.use_state_store(spark)
     w, found = _calm(spark, folder)
-    rows = materialize(incidents.incidents(found, w.targets).selectExpr(
-        "target", "w_end", "signature", "pmod(w_end, 86400) <> 43200 AS delivered"), "incidents")
-    stream = jobs.read_stream(spark, rows.inputFiles()[0].rsplit("/", 1)[0], rows.schema)
-    return jobs.run_to_table(state.cooldown(stream, w.targets), "cooldown").selectExpr(
+    rows = incidents.incidents(found, w.targets).selectExpr(
+        "target", "w_end", "signature", "pmod(w_end, 86400) <> 43200 AS delivered")
+    clock, late = jobs.new_clock(spark), cfg.SPAN.end - cfg.SPAN.start
+    stream = state.cooldown(_shuffled_stream(rows, "incidents", "w_end"), w.targets, late, clock)
+    return jobs.run_to_table(stream, "cooldown", clock, cfg.SPAN.end, late).selectExpr(
         "target", W_END, "signature", "delivered", "alerted")
 
 
@@ -609,8 +627,35 @@ def stream_cooldown(spark, folder):
 def stream_first_seen(spark, folder):
     state.use_state_store(spark)
     w = watch(spark, folder)
-    rows = materialize(gate.window_fingerprints(w.templates).where("seen")
-                       .select("target", "fp", "w_end"), "fingerprints")
-    stream = jobs.read_stream(spark, rows.inputFiles()[0].rsplit("/", 1)[0], rows.schema)
-    return jobs.run_to_table(state.first_seen(stream), "first-seen").selectExpr(
-        "target", W_END, "fp")
+    rows = gate.window_fingerprints(w.templates).where("seen").select("target", "fp", "w_end")
+    clock, late = jobs.new_clock(spark), cfg.SPAN.end - cfg.SPAN.start
+    stream = state.first_seen(_shuffled_stream(rows, "fingerprints", "w_end"), late, clock)
+    return jobs.run_to_table(stream, "first-seen", clock, cfg.SPAN.end, late).selectExpr("target", W_END, "fp")
+
+
+class _Killed(Exception):
+    pass
+
+
+@query
+def stream_alerts(spark, folder):
+    """Alert documents sent file by file, some of them twice, to a sink that is killed between a write and its
+    commit, and started again."""
+    documents = _documents(spark, folder)
+    twice = documents.union(documents.where(f"ts < TIMESTAMP_NTZ'{cfg.MIDDLE[:10]} 00:00:00'"))
+    stream = _shuffled_stream(twice, "alert-files", "ts")
+    path, checkpoint = new_path(spark, "alerts"), new_path(spark, "alerts-checkpoint")
+    sink = jobs.alert_sink(path, documents.schema)
+
+    def killed(batch, number):
+        sink(batch, number)
+        if number == 1:
+            raise _Killed
+
+    try:
+        jobs.drain(stream, killed, checkpoint)
+    except StreamingQueryException as stopped:
+        if "_Killed" not in str(stopped):
+            raise
+    jobs.drain(stream, sink, checkpoint)
+    return _shown(jobs.read_batches(spark, path, documents.schema))

@@ -38,6 +38,9 @@ _DOCUMENT = {
 }
 TARGETS = {t.name: t for t in targets_from(_DOCUMENT)}
 MAIN = [TARGETS["main"]]
+#: Expects a service that no row is from.
+GHOST = [replace(TARGETS["main"], heartbeat_checks=[*TARGETS["main"].heartbeat_checks, "ghost=api-logs-*=Heartbeat: ghost"])]
+STREAM_FILES = 4
 LISTED = [replace(TARGETS["main"], template_limit=15)]
 MULTI = [TARGETS["main"], TARGETS["platform"], TARGETS["robots"]]
 CALM = [TARGETS["calm"]]
