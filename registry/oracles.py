@@ -533,6 +533,10 @@ SELECT target, w_end, CAST(w_end AS DATE) AS day, nth, nth <= {cfg.QUOTA} AS wit
   greatest(0, {cfg.QUOTA} - nth) AS remaining FROM (
   SELECT *, row_number() OVER (PARTITION BY CAST(w_end AS DATE) ORDER BY w_end, target) AS nth
   FROM alerts)""")
+ORACLES["budgeted_verdicts"] = calm(f"""
+SELECT target, w_end, signature, CASE WHEN forced THEN 'high' WHEN nth <= {cfg.QUOTA} THEN 'low' ELSE rule_severity END AS severity,
+  CASE WHEN nth <= {cfg.QUOTA} THEN 'seen' ELSE {q(fv.RULE_SUMMARY)} END AS summary, nth <= {cfg.QUOTA} AS external_verdict FROM (
+  SELECT *, row_number() OVER (PARTITION BY CAST(w_end AS DATE) ORDER BY w_end, target) AS nth FROM alerts)""")
 ORACLES["verdict_asof"] = calm(f"""
 SELECT i.target, i.w_end, i.signature, v.w_end AS verdict_ts,
   CASE WHEN v.w_end IS NULL THEN NULL WHEN extract(hour FROM v.w_end) = 0 THEN 'low'
@@ -582,7 +586,7 @@ SELECT w_end AS ts, target, severity, signature, CAST(len(string_split(kind_list
   strftime(w_end, '%Y.%m') AS month FROM alerts""")
 ORACLES["digest"] = calm(f"""
 SELECT d.target, d.day AS w_end, d.total, d.err, d.warn, d.alerts,
-  CASE WHEN d.alerts = 0 THEN 'alles ruhig' ELSE d.alerts || ' Alert(s)' END AS headline,
+  CASE WHEN d.alerts = 0 THEN {q(fv.DIGEST_QUIET)} ELSE replace({q(fv.DIGEST_ALERTS)}, '{{n}}', d.alerts::VARCHAR) END AS headline,
   m.top_errors FROM (
   SELECT 'calm' AS target, g.day, count(l.ts) AS total,
     count(*) FILTER (level IN ('Error', 'Fatal')) AS err,

@@ -431,11 +431,23 @@ def cooldown_dedupe(spark, folder):
 @query
 def daily_quota(spark, folder):
     w, alerts = _alerts(spark, folder)
-    return incidents.daily_quota(alerts, cfg.QUOTA).selectExpr(
+    return incidents.daily_quota(alerts, w.targets).selectExpr(
         "target", W_END, "day", "CAST(nth AS BIGINT) AS nth", "within_budget",
         "CAST(remaining AS BIGINT) AS remaining")
 
 
+@query
+def budgeted_verdicts(spark, folder):
+    """Every alert asks for an assessment that calls it low; those beyond the day's budget keep the rule verdict."""
+    w, found = _calm(spark, folder)
+    decided = incidents.cooldown(incidents.incidents(found, w.targets), w.targets)
+    answers = decided.where("alerted").selectExpr(
+        "target", "signature", "w_end", "true AS ext_anomalous", "'low' AS ext_severity", "'seen' AS ext_summary",
+        "'known' AS ext_cause", "'none' AS ext_action")
+    rows = incidents.verdict(incidents.with_answers(decided, answers, w.targets))
+    return rows.where("alerted").selectExpr("target", W_END, "signature", "severity", "summary", "external_verdict")
+
+
 @query
 def verdict_asof(spark, folder):
     w, found = _calm(spark, folder)

@@ -43,13 +43,13 @@ GHOST = [replace(TARGETS["main"], heartbeat_checks=[*TARGETS["main"].heartbeat_c
 STREAM_FILES = 4
 LISTED = [replace(TARGETS["main"], template_limit=15)]
 MULTI = [TARGETS["main"], TARGETS["platform"], TARGETS["robots"]]
-CALM = [TARGETS["calm"]]
+QUOTA = 2
+CALM = [replace(TARGETS["calm"], assessments_per_day=QUOTA)]
 MODES = [targets_from({"defaults": {"indices": _EVERYTHING}, "targets": [
     {"name": mode, "baseline_mode": mode}]})[0] for mode in ("previous", "yesterday", "last_week")]
 
 COVERAGE_FIELDS = ["level", "index_name", "host", "service", "status_code", "source_ip", "logger",
                    "message_template"]
-QUOTA = 2
 RETENTION_NOW = "2024-01-31T00:00:00Z"
 SCAN_INDICES = ["web-logs-*", "api-logs-2024.01", "-bot-logs"]
 SCAN_FROM, SCAN_TO = "2024-01-09T18:00:00Z", "2024-01-11T06:30:00Z"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,49 +77,86 @@ def verdict(rows: DataFrame) -> DataFrame:
     )
 
 
+def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of one (target, signature) after the other, in order: which alert, and which of these ask anew.
+
+    Held are the ends of the last delivered alert and of the last question, so a signature may have any
+    number of windows.
+    """
+    key, last, asked_at = None, None, None
+    for batch in batches:
+        alerted, asked = [], []
+        columns = ("target", "signature", "w_end", "delivered", "cooldown", "verdict_ttl", "stamp", "asked_at")
+        for target, signature, end, delivered, pause, ttl, stamp, before in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+            if (target, signature) != key:
+                key, last, asked_at = (target, signature), stamp, before
+            fires = last is None or end - last >= pause
+            if fires and delivered:
+                last = end
+            asks = fires and (asked_at is None or end - asked_at >= ttl)
+            if asks:
+                asked_at = end
+            alerted.append(fires)
+            asked.append(asks)
+        yield pa.record_batch([*(batch.column(c) for c in columns[:3]), pa.array(alerted, pa.bool_()), pa.array(asked, pa.bool_())],
+                              names=["target", "signature", "w_end", "alerted", "asked"])
+
+
 def cooldown(rows: DataFrame, targets: list[Target], earlier: DataFrame | None = None) -> DataFrame:
-    """Mark each window as alerted or suppressed by an earlier alert with the same signature.
+    """Mark each window as alerted or suppressed by an earlier alert with the same signature, and as `asked` when
+    it alerts and no verdict of that signature is younger than the target's limit.
 
-    `earlier` has the delivered alerts of runs before this one: target, signature, w_end.
+    `earlier` has the delivered alerts of runs before this one: target, signature, w_end, and maybe `asked`.
 
-    Suppressed windows do not extend the pause and undelivered alerts do not start one, so the
-    decision runs along the windows of one (target, signature) in order. That list holds windows,
-    never log rows.
+    Suppressed windows do not extend the pause and undelivered alerts do not start one, so the decision runs
+    along the windows of one (target, signature) in order: linear, with two numbers held.
     """
     if "delivered" not in rows.columns:
         rows = rows.selectExpr("*", "true AS delivered")
-    ends = rows.groupBy("target", "signature").agg(
-        F.expr("array_sort(collect_list(struct(w_end, delivered))) AS ends"))
-    stamp = "CAST(NULL AS BIGINT)"
+    keys = ["target", "signature"]
+    ends = rows.groupBy(*keys, "w_end").agg(F.expr("bool_or(delivered) AS delivered"))
+    stamps = ["CAST(NULL AS BIGINT) AS stamp", "CAST(NULL AS BIGINT) AS asked_at"]
     if earlier is not None:
-        stamps = earlier.groupBy("target", "signature").agg(F.expr("max(w_end) AS stamp"))
-        ends, stamp = ends.join(stamps, ["target", "signature"], "left"), "stamp"
-    start = f"named_struct('last', {stamp}, 'alerts', CAST(array() AS array<bigint>))"
-    paused = "coalesce(e.w_end - s.last < cooldown, false)"
-    alerts = (
-        f"aggregate(ends, {start}, (s, e) -> named_struct("
-        f"'last', CASE WHEN NOT {paused} AND e.delivered THEN e.w_end ELSE s.last END,"
-        f" 'alerts', CASE WHEN {paused} THEN s.alerts"
-        " ELSE concat(s.alerts, array(e.w_end)) END), s -> s.alerts)"
-    )
-    decided = (
-        with_limits(ends, targets)
-        .selectExpr("target", "signature", "ends", f"{alerts} AS alerts")
-        .selectExpr("target", "signature",
-                    "inline(transform(ends, e -> named_struct('w_end', e.w_end,"
-                    " 'alerted', array_contains(alerts, e.w_end))))")
-    )
-    return rows.join(decided, ["target", "signature", "w_end"])
+        asked = "asked" if "asked" in earlier.columns else "true"
+        known = earlier.groupBy(*keys).agg(F.expr("max(w_end) AS stamp"), F.expr(f"max(CASE WHEN {asked} THEN w_end END) AS asked_at"))
+        ends, stamps = ends.join(known, keys, "left"), ["stamp", "asked_at"]
+    line = with_limits(ends, targets).selectExpr(
+        *keys, "w_end", "delivered", "CAST(cooldown AS BIGINT) AS cooldown", "CAST(verdict_ttl AS BIGINT) AS verdict_ttl", *stamps)
+    line = line.repartition(*keys).sortWithinPartitions(*keys, "w_end")
+    decided = line.mapInArrow(_walked, "target STRING, signature STRING, w_end BIGINT, alerted BOOLEAN, asked BOOLEAN")
+    return rows.join(decided, [*keys, "w_end"])
+
+
+def daily_quota(rows: DataFrame, targets: list[Target]) -> DataFrame:
+    """Rows numbered within their UTC day over all targets, and whether the number is within what their target
+    allows a day.
+
+    Counts of windows are added up along a day, rows are numbered within their window only: a day is no
+    task's group of rows.
+    """
+    dated = rows.selectExpr("*", "CAST(timestamp_seconds(w_end) AS DATE) AS day")
+    counts = dated.groupBy("day", "w_end").agg(F.expr("count(*) AS n")).selectExpr(
+        "w_end", "coalesce(sum(n) OVER (PARTITION BY day ORDER BY w_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS before")
+    numbered = dated.selectExpr("*", "row_number() OVER (PARTITION BY w_end ORDER BY target) AS place").join(counts, "w_end")
+    return with_limits(numbered.selectExpr(*dated.columns, "before + place AS nth"), targets).selectExpr(
+        *dated.columns, "nth", "nth <= per_day AS within_budget", "greatest(0L, per_day - nth) AS remaining")
 
 
-def daily_quota(rows: DataFrame, per_day: int) -> DataFrame:
-    """The first `per_day` rows of each UTC day are within the budget, over all targets."""
-    return (
-        rows.selectExpr("*", "CAST(timestamp_seconds(w_end) AS DATE) AS day")
-        .selectExpr("*", "row_number() OVER (PARTITION BY day ORDER BY w_end, target) AS nth")
-        .selectExpr("*", f"nth <= {per_day} AS within_budget",
-                    f"greatest(0, {per_day} - nth) AS remaining")
-    )
+def assessed(decided: DataFrame, targets: list[Target]) -> DataFrame:
+    """Of the alerts, those to be assessed from outside: they ask, and the day's budget of their target has room.
+
+    All others keep the stored verdict if there is one, and the rule verdict if not.
+    """
+    return daily_quota(decided.where("alerted AND asked"), targets).where("within_budget").select(*decided.columns)
+
+
+def with_answers(decided: DataFrame, answers: DataFrame, targets: list[Target]) -> DataFrame:
+    """Decided rows with the external assessments (target, signature, w_end, ext_*) of those within the budget; a
+    row beyond it has no answer, so `verdict` falls back to the rules."""
+    ext = [c for c in answers.columns if c.startswith("ext_")]
+    keys = ["target", "signature", "w_end"]
+    granted = assessed(decided.select(*keys, "alerted", "asked"), targets).select(*keys).join(answers.select(*keys, *ext), keys)
+    return decided.drop(*ext).join(granted, keys, "left")
 
 
 def verdict_asof(rows: DataFrame, verdicts: DataFrame, targets: list[Target]) -> DataFrame:

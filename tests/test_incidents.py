@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from sentinel.config import Target
@@ -81,7 +83,7 @@ def test_verdict_asof(spark):
 def test_quota_starts_again_each_day(spark):
     rows = spark.createDataFrame([("default", t) for t in (0, 10, 20, 86400)],
                                  "target STRING, w_end BIGINT")
-    out = incidents.daily_quota(rows, 2).collect()
+    out = incidents.daily_quota(rows, [Target(assessments_per_day=2)]).collect()
     assert sorted((r.w_end, r.within_budget, r.remaining) for r in out) == [
         (0, True, 1), (10, True, 0), (20, False, 0), (86400, True, 1)]
 
@@ -93,3 +95,39 @@ def test_seen_table_forgets(spark):
     batch = spark.createDataFrame([("a", "new", 200 * day)], "target STRING, fp STRING, w_end BIGINT")
     out = history.merge_seen(known, batch, 200 * day).collect()
     assert sorted((r.fp, r.last_seen) for r in out) == [("kept", 20 * day), ("new", 200 * day)]
+
+
+def test_cooldown_of_very_many_windows_of_one_signature(spark):
+    """Linear in the windows: 100,000 of one signature, a third of them not delivered."""
+    count, hour = 100_000, 3600
+    frame = spark.range(count).selectExpr("'a' AS target", "'s' AS signature", f"id * {hour} AS w_end", "id % 3 <> 0 AS delivered")
+    started = time.monotonic()
+    out = {r.w_end // hour: (r.alerted, r.asked) for r in incidents.cooldown(
+        frame, [Target(name="a", cooldown_hours=5.0, verdict_ttl_hours=8.0)]).select("w_end", "alerted", "asked").collect()}
+    assert time.monotonic() - started < 60
+    last, asked = None, None
+    for i in range(count):
+        fires = last is None or i - last >= 5
+        asks = fires and (asked is None or i - asked >= 8)
+        assert out[i] == (fires, asks)
+        last, asked = (i if fires and i % 3 else last), (i if asks else asked)
+
+
+def test_budget_of_a_day_over_all_targets(spark):
+    day = 86400
+    ends = [("a", day + 10), ("b", day + 10), ("a", day + 20), ("b", day + 30), ("a", 2 * day), ("b", 2 * day - 1)]
+    rows = spark.createDataFrame([(t, f"s{e}", e) for t, e in ends], "target STRING, signature STRING, w_end BIGINT")
+    targets = [Target(name="a", assessments_per_day=3), Target(name="b", assessments_per_day=1)]
+    found = {(r.target, r.w_end): (r.nth, r.within_budget, r.remaining) for r in incidents.daily_quota(rows, targets).collect()}
+    assert found == {("a", day + 10): (1, True, 2), ("b", day + 10): (2, False, 0), ("a", day + 20): (3, True, 0),
+                     ("b", day + 30): (4, False, 0), ("b", 2 * day - 1): (5, False, 0), ("a", 2 * day): (1, True, 2)}
+
+
+def test_a_row_beyond_the_budget_falls_back_to_the_rules(spark):
+    frame = signals(spark, *[(t, "warn_spike", "low", f"warn {chr(97 + t)}") for t in range(3)])
+    targets = [Target(assessments_per_day=2)]
+    decided = incidents.cooldown(incidents.incidents(frame, targets), targets)
+    answers = decided.selectExpr("target", "signature", "w_end", "false AS ext_anomalous", "'low' AS ext_severity",
+                                 "'s' AS ext_summary", "'c' AS ext_cause", "'a' AS ext_action")
+    out = {r.w_end: r for r in incidents.verdict(incidents.with_answers(decided, answers, targets)).collect()}
+    assert [(out[t].external_verdict, out[t].anomalous) for t in range(3)] == [(True, False), (True, False), (False, True)]
