@@ -33,53 +33,60 @@ def _exact(most: float, width: int) -> type:
 
 
 def _kth(scores: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
-    """Of each column the k-th best of the ids' best scores; rows of an id lie together, from `starts` on."""
-    each = np.maximum.reduceat(scores, starts, axis=0)
-    if len(each) < k:
-        return np.full(scores.shape[1], _least(scores.dtype), scores.dtype)
-    return np.partition(each, len(each) - k, axis=0)[len(each) - k]
+    """Of each row the k-th best of the ids' best scores; columns of an id lie together, from `starts` on."""
+    each = scores if len(starts) == scores.shape[1] else np.maximum.reduceat(scores, starts, axis=1)
+    n = each.shape[1]
+    if n < k:
+        return np.full(len(scores), _least(scores.dtype), scores.dtype)
+    return np.partition(each, n - k, axis=1)[:, n - k]
 
 
 def _least(kind) -> float | int:
     return -np.inf if kind == np.float64 else np.iinfo(np.int64).min
 
 
-def rounds(ids: np.ndarray, block: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int) -> np.ndarray:
-    """Which (candidate, query) pairs can still be among the k best, `floor` being known k-th best scores.
+def lists(ids: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's sorted lists: place of each component in its list, the lists, and where each id's rows begin."""
+    order = np.argsort(block, axis=0, kind="stable")
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.arange(len(block))[:, None], axis=0)
+    starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    return rank, np.take_along_axis(block, order, axis=0), starts
+
+
+def rounds(ids: np.ndarray, block: np.ndarray, sorted_lists: tuple, query_ids: np.ndarray, queries: np.ndarray,
+           floor: np.ndarray, k: int) -> np.ndarray:
+    """Which (query, candidate) pairs can still be among the k best, `floor` being known k-th best scores.
 
     `ids` are sorted; a query's own rows are never among them, and an id counts once. Bounds of all pairs are a
     product of what was read and the queries' positive and negative parts.
     """
     n, least = len(block), _least(block.dtype)
-    order = np.argsort(block, axis=0, kind="stable")
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(n)[:, None], axis=0)
-    ranked = np.take_along_axis(block, order, axis=0)
-    starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-    alive = ids[:, None] != query_ids
+    rank, ranked, starts = sorted_lists
+    alive = query_ids[:, None] != ids
     floor, todo = floor.copy(), np.arange(len(queries))
     for nth, depth in enumerate(DEPTHS):
         read = int(n * depth)
         if read == 0:
             continue
-        up, down = np.maximum(queries[todo], 0).T, np.minimum(queries[todo], 0).T
+        up, down = np.maximum(queries[todo], 0), np.minimum(queries[todo], 0)
         top, bottom = rank >= n - read, rank < read
         at_top, at_bottom = ranked[n - read], ranked[read - 1]  # where the reading stands
-        upper = np.where(top, block, at_top) @ up + np.where(bottom, block, at_bottom) @ down
-        lower = np.where(top, block, ranked[0]) @ up + np.where(bottom, block, ranked[-1]) @ down
-        lower[~alive[:, todo]] = least
+        upper = up @ np.where(top, block, at_top).T + down @ np.where(bottom, block, at_bottom).T
+        lower = up @ np.where(top, block, ranked[0]).T + down @ np.where(bottom, block, ranked[-1]).T
+        lower[~alive[todo]] = least
         floor[todo] = np.maximum(floor[todo], _kth(lower, starts, k))
         if nth == 0:
             # those in the middle of high bounds are resolved: a floor that few others reach
-            hope = np.where(alive[:, todo], upper + lower, least)
+            hope = np.where(alive[todo], upper + lower, least)
             some = min(n, FIRST * k)
-            picked = np.argpartition(hope, n - some, axis=0)[n - some:]
+            picked = np.argpartition(hope, n - some, axis=1)[:, n - some:]
             scores = np.full(hope.shape, least, block.dtype)
-            known = np.einsum("cqd,qd->cq", block[picked], queries[todo])
-            np.put_along_axis(scores, picked, np.where(np.take_along_axis(alive[:, todo], picked, axis=0), known, least), axis=0)
+            known = np.einsum("qcd,qd->qc", block[picked], queries[todo])
+            np.put_along_axis(scores, picked, np.where(np.take_along_axis(alive[todo], picked, axis=1), known, least), axis=1)
             floor[todo] = np.maximum(floor[todo], _kth(scores, starts, k))
-        alive[:, todo] &= upper >= floor[todo]
-        todo = todo[alive[:, todo].sum(axis=0) > k]
+        alive[todo] &= upper >= floor[todo, None]
+        todo = todo[alive[todo].sum(axis=1) > k]
         if not len(todo):
             break
     return alive
@@ -93,25 +100,33 @@ def best(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: n
     kind = _exact(float(max(np.abs(vectors).max(), np.abs(queries).max())), vectors.shape[1])
     order = np.argsort(ids, kind="stable")
     ids, vectors, asked = ids[order], vectors[order], queries.astype(kind)
-    found = [np.zeros(0, np.int64)] * 3
     floor = np.full(len(queries), _least(np.dtype(kind)), kind)
+    parts = [slice(lo, lo + TOGETHER) for lo in range(0, len(queries), TOGETHER)]
+    found = [[np.zeros(0, np.int64)] * 3 for _ in parts]
     for lo in range(0, len(ids), BLOCK):
         own, block = ids[lo: lo + BLOCK], vectors[lo: lo + BLOCK].astype(kind)
-        row, query = np.nonzero(rounds(own, block, query_ids, asked, floor, k))
-        scores = np.einsum("ij,ij->i", block[row], asked[query]).astype(np.int64)
-        query, candidate, score = (np.concatenate(x) for x in zip(found, (query, own[row], scores), strict=True))
-        order = np.lexsort((-score, candidate, query))
-        query, candidate, score = query[order], candidate[order], score[order]
-        once = np.append(True, (query[1:] != query[:-1]) | (candidate[1:] != candidate[:-1]))[: len(query)]
-        query, candidate, score = query[once], candidate[once], score[once]
-        order = np.lexsort((candidate, -score, query))
-        query, candidate, score = query[order], candidate[order], score[order]
-        nth = np.arange(len(query)) - np.searchsorted(query, query)
-        keep = nth < k
-        found = [query[keep], candidate[keep], score[keep]]
-        full = nth == k - 1
-        floor[query[full]] = np.maximum(floor[query[full]], score[full])
-    return query_ids[found[0]], found[1], found[2]
+        sorted_lists = lists(own, block)
+        for at, part in enumerate(parts):
+            query, row = np.nonzero(rounds(own, block, sorted_lists, query_ids[part], asked[part], floor[part], k))
+            scores = np.einsum("ij,ij->i", block[row], asked[part][query]).astype(np.int64)
+            query, candidate, score, nth = _ranked(*(np.concatenate(x) for x in zip(found[at], (query, own[row], scores), strict=True)))
+            keep, full = nth < k, query[nth == k - 1]
+            found[at] = [query[keep], candidate[keep], score[keep]]
+            known = floor[part]
+            known[full] = np.maximum(known[full], score[nth == k - 1])
+    whole = [(query_ids[part][query], candidate, score) for part, (query, candidate, score) in zip(parts, found, strict=True)]
+    return tuple(np.concatenate(x) for x in zip(*whole, strict=True))
+
+
+def _ranked(query: np.ndarray, candidate: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each (query, candidate) once with its best score, best ones first, and the place within its query."""
+    order = np.lexsort((-score, candidate, query))
+    query, candidate, score = query[order], candidate[order], score[order]
+    once = np.append(True, (query[1:] != query[:-1]) | (candidate[1:] != candidate[:-1]))[: len(query)]
+    query, candidate, score = query[once], candidate[once], score[once]
+    order = np.lexsort((candidate, -score, query))
+    query, candidate, score = query[order], candidate[order], score[order]
+    return query, candidate, score, np.arange(len(query)) - np.searchsorted(query, query)
 
 
 def _cell(k: int):
@@ -121,9 +136,8 @@ def _cell(k: int):
         vectors = np.stack(rows["v"].to_numpy())
         if asks.all() or not asks.any():
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        found = [best(ids[~asks], vectors[~asks], ids[asks][lo: lo + TOGETHER], vectors[asks][lo: lo + TOGETHER], k)
-                 for lo in range(0, int(asks.sum()), TOGETHER)]
-        return pd.DataFrame({name: np.concatenate(x) for name, x in zip(("query_id", "vec_id", "score"), zip(*found), strict=True)})
+        query, candidate, score = best(ids[~asks], vectors[~asks], ids[asks], vectors[asks], k)
+        return pd.DataFrame({"query_id": query, "vec_id": candidate, "score": score})
 
     return run
 
