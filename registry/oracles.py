@@ -710,6 +710,20 @@ SELECT event_id, ts, level, message, service, environment, user_name, user_id, l
 ORACLES["backfill_logs"] = normalized("SELECT event_id, ts, level, service, user_name FROM norm")
 ORACLES["normalize_errors"] = normalized("""
 SELECT 'field [log.level] already exists' AS schema_error, count(*) AS n FROM norm WHERE NOT done""")
+ORACLES["normalize_conflicts"] = """
+SELECT CASE WHEN clash > 0 THEN 'field [' || ['log.level', 'log.logger', 'host.name', 'url.path',
+    'http.request.method', 'http.response.status_code'][clash] || '] already exists' END AS schema_error,
+  count(*) AS n, count(*) FILTER (WHERE clash <> 1) AS users, count(*) FILTER (WHERE clash <> 1) AS levels,
+  count(*) FILTER (WHERE clash NOT IN (1, 2)) AS loggers, count(*) FILTER (WHERE clash NOT IN (1, 2, 3)) AS hosts,
+  count(*) FILTER (WHERE clash NOT IN (1, 2, 3, 4)) AS url_paths, count(*) FILTER (WHERE clash NOT IN (1, 2, 3, 4, 5)) AS http_methods,
+  count(*) FILTER (WHERE clash = 0) AS statuses, count(*) FILTER (WHERE clash IN (1, 2, 3)) AS kept_machines,
+  CAST(sum(event_id % 3) AS BIGINT) AS cores
+FROM (SELECT event_id, CAST(event_id % 7 AS INTEGER) AS clash FROM events) GROUP BY clash"""
+ORACLES["normalize_rest"] = normalized("""
+SELECT event_id, f_app AS application, CASE WHEN NOT done THEN old_level END AS old_level,
+  CASE WHEN NOT done THEN host END AS machine, CASE WHEN NOT done THEN f_user_name END AS user,
+  CASE WHEN NOT done AND has_metadata THEN 'crawl, daily' END AS metadata_tags,
+  CASE WHEN NOT done THEN 'field [log.level] already exists' END AS schema_error FROM tagged""").replace(" AS user,", ' AS "user",')
 _AUTO = listed(["heartbeat", "healthcheck", "request", "auth", "startup", "db"])
 for _name, _test in (("fold_tags", "NOT IN"), ("derive_tags", "IN")):
     ORACLES[_name] = normalized(f"""

@@ -25,7 +25,7 @@ from sentinel.operators.facts import HOST_PHRASES, as_timestamp
 from sentinel.operators.windows import assign
 from sentinel.plans.watch import Watch, flat
 from sentinel.session import materialize, new_path, use_utc
-from sentinel.sources.event_logs import event_logs, raw_documents
+from sentinel.sources.event_logs import clashing_documents, event_logs, raw_documents
 from sentinel.sources.logs import scan
 from sentinel.streaming import jobs, state
 
@@ -104,6 +104,29 @@ def normalize_errors(spark, folder):
             .groupBy("schema_error").agg(F.expr("count(*) AS n")))
 
 
+@query
+def normalize_conflicts(spark, folder):
+    """Each of the six renames clashes in some documents: what ran before, and what the rest keeps."""
+    rows = normalize.normalize(clashing_documents(table(spark, folder, "events")))
+    return rows.groupBy("schema_error").agg(
+        F.expr("count(*) AS n"), F.expr("count_if(user_name LIKE 'u%') AS users"),
+        *[F.expr(f"count_if({c} = 'old') AS {c}s") for c in ("level", "logger", "host", "url_path", "http_method")],
+        F.expr("count_if(status_code = 200) AS statuses"),
+        F.expr("count_if(rest LIKE '%MachineName%') AS kept_machines"),
+        F.expr("sum(CAST(get_json_object(rest, '$.host.cores') AS BIGINT)) AS cores"))
+
+
+@query
+def normalize_rest(spark, folder):
+    """Unknown and unconsumed keys after the normalisation ran over its own result."""
+    once = normalize.normalize(raw_documents(table(spark, folder, "events")))
+    twice = normalize.normalize(normalize.to_document(once))
+    keys = {"event_id": "event_id", "application": "fields.Application", "old_level": "level",
+            "machine": "fields.MachineName", "user": "fields.UserName", "metadata_tags": "metadata.LogTags"}
+    return twice.selectExpr(*[f"get_json_object(rest, '$.{path}') AS {name}" for name, path in keys.items()],
+                            "schema_error").withColumn("event_id", F.col("event_id").cast("bigint"))
+
+
 @query
 def fold_tags(spark, folder):
     return (_normalized(spark, folder).selectExpr("explode(tags) AS tag", "event_id")

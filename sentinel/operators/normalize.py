@@ -19,41 +19,48 @@ TAG_LABEL = "LogTags"
 CONTROL_CHARS = "'" + "".join(f"\\u{c:04x}" for c in range(0x21)) + "'"
 
 
-# every path that is read, as the name of the column holding it
-PATHS = {
-    "f_ts": "@timestamp", "f_level": "level", "f_log_level": "log.level", "f_message": "message",
-    "f_template": "labels.MessageTemplate", "f_service": "service.name",
-    "f_environment": "service.environment", "f_labels_app": "labels.Application",
-    "f_fields_app": "fields.Application", "f_labels_env": "labels.Environment",
-    "f_user_name": "user.name", "f_labels_username": "labels.Username",
-    "f_labels_user_name": "labels.UserName", "f_fields_user_name": "fields.UserName",
-    "f_user_id": "user.id", "f_labels_user_id": "labels.UserId",
-    "f_fields_user_id": "fields.UserId", "f_source_context": "fields.SourceContext",
-    "f_logger": "log.logger", "f_machine": "fields.MachineName", "f_host": "host.name",
-    "f_request_path": "fields.RequestPath", "f_path": "url.path",
-    "f_request_method": "fields.RequestMethod", "f_method": "http.request.method",
-    "f_status_old": "fields.StatusCode", "f_status": "http.response.status_code",
-    "f_ip": "labels.IpAddress", "f_trace": "trace.id", "f_span": "span.id", "f_tags": "tags",
-    "f_labels": "labels", "f_metadata": "metadata", "f_label_tags": f"labels.{TAG_LABEL}",
-    "f_metadata_tags": f"metadata.{TAG_LABEL}",
+# A document as it is parsed, once. Fields whose type or JSON null matters stay variants.
+SCHEMA = {
+    "f_ts": "`@timestamp` string", "f_level": "level variant", "f_message": "message string",
+    "f_tags": "tags variant", "f_labels": "labels variant", "f_metadata": "metadata variant",
+    "f_log": "log struct<level: variant, logger: variant>",
+    "f_service": "service struct<name: string, environment: string>",
+    "f_user": "user struct<name: string, id: string>",
+    "f_host": "host struct<name: variant>", "f_url": "url struct<path: variant>",
+    "f_http": "http struct<request: struct<method: variant>, response: struct<status_code: variant>>",
+    "f_trace": "trace struct<id: string>", "f_span": "span struct<id: string>",
+    "f_fields": "fields struct<Application: string, UserName: string, UserId: string, SourceContext: variant,"
+                " MachineName: variant, RequestPath: variant, RequestMethod: variant, StatusCode: variant>",
 }
-# stage, old column, canonical column, canonical field
+# stage, old field, canonical field
 RENAMES = [
-    (1, "f_level", "f_log_level", "log.level"),
-    (3, "f_source_context", "f_logger", "log.logger"),
-    (4, "f_machine", "f_host", "host.name"),
-    (5, "f_request_path", "f_path", "url.path"),
-    (6, "f_request_method", "f_method", "http.request.method"),
-    (7, "f_status_old", "f_status", "http.response.status_code"),
+    (1, "level", "log.level"),
+    (3, "fields.SourceContext", "log.logger"),
+    (4, "fields.MachineName", "host.name"),
+    (5, "fields.RequestPath", "url.path"),
+    (6, "fields.RequestMethod", "http.request.method"),
+    (7, "fields.StatusCode", "http.response.status_code"),
 ]
+# what columns or labels hold of a document: whole keys, and keys within objects
+WHOLE = ["@timestamp", "message", "tags"]
+WITHIN = {
+    "log": ["level", "logger"], "service": ["name", "environment"], "user": ["name", "id"],
+    "host": ["name"], "url": ["path"], "trace": ["id"], "span": ["id"],
+}
+WITHIN_HTTP = {"request": ["method"], "response": ["status_code"]}
+#: A key with a dot in it may be one of the fields, written flat.
+FLAT_KEY = r'"(log|service|user|labels|fields|host|url|http|trace|span|metadata)\.[A-Za-z_.]+"\s*:'
 
 
-def field(path: str) -> str:
+def member(path: str, kind: str = "variant") -> str:
     """A field by its dotted name: nested objects first, then one literal key."""
-    literal = f"try_variant_get(doc, '$[\"{path}\"]', 'variant')"
-    if "." not in path:
-        return literal
-    return f"coalesce(try_variant_get(doc, '$.{path}', 'variant'), {literal})"
+    root, _, inner = path.partition(".")
+    if not inner:
+        return f"f_{root}"
+    flat = f"try_variant_get(flat, '$[\"{path}\"]', '{kind}')"
+    nested = (f"try_variant_get(f_{root}, '$.{inner}', '{kind}')" if root in ("labels", "metadata")
+              else f"f_{path}")
+    return f"coalesce({nested}, {flat})"
 
 
 def as_text(column: str) -> str:
@@ -96,34 +103,79 @@ def added(tags: str, new: str) -> str:
     return f"concat({tags}, array_except({new}, {tags}))"
 
 
+def _object(value: str) -> str:
+    """The members of a variant that is an object."""
+    return f"try_variant_get({value}, '$', 'map<string,variant>')"
+
+
+def _without(value: str, keys: str, depth: int = 0) -> str:
+    """A variant without these members; null if nothing is left. What is no object stays."""
+    k = f"k{depth}"
+    left = f"map_filter({_object(value)}, ({k}, w) -> NOT array_contains({keys}, {k}))"
+    return (f"CASE WHEN {_object(value)} IS NULL THEN {value}"
+            f" WHEN size({left}) > 0 THEN to_variant_object({left}) END")
+
+
+def rest_of(document: str, fail_stage: str) -> str:
+    """JSON text of what no column and no label of a normalised document holds; null if nothing is left.
+
+    A step that did not run has consumed nothing: the old fields of a failed document are in here.
+    """
+    def names(always: list[str], *steps: tuple[int, str]) -> str:
+        """Literal lists by the stage at which a document failed."""
+        ends = [*(stage for stage, _, _ in RENAMES), LAST_STAGE + 1]
+        lists = " ".join(f"WHEN {end} THEN {sql.literal([*always, *(n for stage, n in steps if end > stage)])}" for end in ends)
+        return f"(CASE {fail_stage} {lists} END)"
+
+    flat = [f"{root}.{key}" for root, keys in WITHIN.items() for key in keys]
+    flat += [f"http.{root}.{key}" for root, keys in WITHIN_HTTP.items() for key in keys]
+    overrides = [(USER_STAGE, f) for f in ("fields.UserName", "fields.UserId")]
+    overrides += [(USER_STAGE, f"labels.{label}") for label in USER_LABELS]
+    tags = [(LAST_STAGE, f"{root}.{TAG_LABEL}") for root in ("labels", "metadata")]
+    old = [(stage, name) for stage, name, _ in RENAMES]
+    consumed = names(WHOLE + flat, *old, *overrides, *tags)
+    fields = names([], *[(n, f.partition(".")[2]) for n, f in old + overrides if f.startswith("fields.")])
+    inner = " ".join(f"WHEN {sql.text(root)} THEN {_without('v', sql.literal(keys))}" for root, keys in WITHIN.items())
+    http = " ".join(f"WHEN {sql.text(root)} THEN {_without('w', sql.literal(keys), 1)}"
+                    for root, keys in WITHIN_HTTP.items())
+    http = f"map_filter(transform_values({_object('v')}, (h, w) -> CASE h {http} ELSE w END), (h, w) -> w IS NOT NULL)"
+    trimmed = (
+        f"CASE k {inner} WHEN 'fields' THEN {_without('v', fields)}"
+        f" WHEN 'metadata' THEN {_without('v', names([], (LAST_STAGE, TAG_LABEL)))}"
+        f" WHEN 'http' THEN CASE WHEN {_object('v')} IS NULL THEN v WHEN size({http}) > 0 THEN to_variant_object({http}) END"
+        f" WHEN 'labels' THEN CASE WHEN {_object('v')} IS NULL THEN v END ELSE v END")
+    top = f"map_filter({_object(f'try_parse_json({document})')}, (k, v) -> NOT array_contains({consumed}, k))"
+    left = f"map_filter(transform_values({top}, (k, v) -> {trimmed}), (k, v) -> v IS NOT NULL)"
+    return f"nullif(to_json({left}), '{{}}')"
+
+
 def normalize(raw: DataFrame, document: str = "document") -> DataFrame:
-    """Raw JSON text column to canonical columns; `schema_error` says where a document failed.
+    """Raw JSON text column to canonical columns; `schema_error` says where a document failed, `rest` is the
+    JSON text of all that no column and no label holds.
 
-    Each step is its own projection, because later ones use its columns several times.
+    The document is parsed once into typed fields. Each step is its own projection, because later ones use
+    its columns several times; columns that nobody reads are not computed.
     """
     def clash(old: str, new: str) -> str:
         """Both keys are there, even if one holds a JSON null."""
-        return f"({old} IS NOT NULL AND {new} IS NOT NULL)"
+        return f"({member(old)} IS NOT NULL AND {member(new)} IS NOT NULL)"
 
-    stages = " ".join(f"WHEN {clash(old, new)} THEN {n}" for n, old, new, _ in RENAMES)
-    errors = " ".join(
-        f"WHEN {clash(old, new)} THEN {sql.text(fv.RENAME_CONFLICT.replace('{field}', name))}"
-        for _, old, new, name in RENAMES)
+    stages = " ".join(f"WHEN {clash(old, new)} THEN {n}" for n, old, new in RENAMES)
 
     def ran(stage: int) -> str:
         return f"fail_stage > {stage}"
 
     def renamed(new: str) -> str:
-        stage, old = next((s, o) for s, o, n, _ in RENAMES if n == new)
-        return f"coalesce({as_text(new)}, {sql.when(ran(stage), as_text(old))})"
+        stage, old = next((s, o) for s, o, n in RENAMES if n == new)
+        return f"coalesce({as_text(member(new))}, {sql.when(ran(stage), as_text(member(old)))})"
 
     def filled(current: str, *fallbacks: str) -> str:
         return f"coalesce({current}, {', '.join(sql.when('done', f) for f in fallbacks)})"
 
     def overridden(current: str, *sources: str) -> str:
         """The last override that is set wins."""
-        latest = ", ".join(sql.when(ran(USER_STAGE), as_text(s)) for s in reversed(sources))
-        return f"coalesce({latest}, {as_text(current)})"
+        latest = ", ".join(sql.when(ran(USER_STAGE), member(s, "string")) for s in reversed(sources))
+        return f"coalesce({latest}, {member(current, 'string')})"
 
     def text_only(column: str) -> str:
         return sql.when(f"schema_of_variant({column}) = 'STRING'", as_text(column))
@@ -132,92 +184,91 @@ def normalize(raw: DataFrame, document: str = "document") -> DataFrame:
         return f"({column} IS NOT NULL AND NOT is_variant_null({column}))"
 
     carried = list(raw.columns)
-    canonical = [
-        "level", "message", "message_template", "service", "environment", "user_name", "user_id",
-        "logger", "host", "url_path", "http_method", "status_text", "status_is_number",
-        "source_ip", "trace_id", "span_id",
-    ]
+    parsed = ", ".join(SCHEMA.values())
+    canonical = {
+        "level": filled(renamed("log.level"), sql.text(fv.DEFAULT_LEVEL)),
+        "message": "f_message",
+        "message_template": f"coalesce({member('labels.MessageTemplate', 'string')}, f_message)",
+        "service": filled(member("service.name", "string"), member("labels.Application", "string"),
+                          member("fields.Application", "string"), sql.text(fv.DEFAULT_SERVICE)),
+        "environment": filled(member("service.environment", "string"), member("labels.Environment", "string")),
+        "user_name": overridden("user.name", "labels.Username", "labels.UserName", "fields.UserName"),
+        "user_id": overridden("user.id", "labels.UserId", "fields.UserId"),
+        "logger": renamed("log.logger"), "host": renamed("host.name"), "url_path": renamed("url.path"),
+        "http_method": renamed("http.request.method"), "status_text": renamed("http.response.status_code"),
+        "status_is_number":
+            f"CASE WHEN {member('http.response.status_code')} IS NOT NULL"
+            f" THEN {is_number(member('http.response.status_code'))}"
+            f" ELSE {ran(7)} AND {is_number(member('fields.StatusCode'))} END",
+        "source_ip": member("labels.IpAddress", "string"),
+        "trace_id": member("trace.id", "string"), "span_id": member("span.id", "string"),
+    }
     removed = (f"(({ran(USER_STAGE)} AND {sql.is_in('k', USER_LABELS)})"
                f" OR (done AND k = {sql.text(TAG_LABEL)}))")
     stamp_key = sql.when("done", "'schema_version'", "'schema_error'")
     stamp = sql.when("done", sql.text(fv.SCHEMA_VERSION), "schema_error")
-    kept = "coalesce(folded, CAST(array() AS array<string>))"
-    result = {
-        "ts": "try_cast(ts_text AS TIMESTAMP_NTZ)",
-        **{c: c for c in canonical[:11]},
-        "status_code": "try_cast(status_text AS INT)",
-        **{c: c for c in canonical[12:]},
-        "tags": "CASE WHEN NOT done THEN own_tags WHEN size(derived) = 0 THEN folded"
-                f" ELSE {added(kept, 'derived')} END",
-        "labels": f"map_concat(kept_labels, map({stamp_key}, {stamp}))",
-        "schema_error": "schema_error",
-    }
-    # The last step is a generator of one row: a filter on a normalised column stays above it.
-    # Pushed down, it would repeat every expression the column is made of.
+    errors = " ".join(f"WHEN {n} THEN {sql.text(fv.RENAME_CONFLICT.replace('{field}', new))}" for n, _, new in RENAMES)
+    label_tags, metadata_tags = member(f"labels.{TAG_LABEL}"), member(f"metadata.{TAG_LABEL}")
+    labels = ("coalesce(try_variant_get(f_labels, '$', 'map<string,string>'),"
+              " CAST(map() AS map<string,string>))")
+    kept = f"map_filter({labels}, (k, v) -> v IS NOT NULL AND NOT {removed} AND k <> {stamp_key})"
+    no_tags = "CAST(array() AS array<string>)"
+    # The parse and the tags are generators of one row: a filter on a normalised column stays above the parse,
+    # one on tags above them too. Pushed down, it would repeat all that the column is made of.
     return (
-        raw.selectExpr("*", f"try_parse_json({document}) AS doc")
-        .selectExpr(*carried, *[f"{field(path)} AS {name}" for name, path in PATHS.items()])
-        .selectExpr("*", f"CASE {stages} ELSE {LAST_STAGE + 1} END AS fail_stage",
-                    f"CASE {errors} END AS schema_error")
-        .selectExpr("*", f"{ran(LAST_STAGE)} AS done")
+        raw.selectExpr(*carried, f"inline(array(from_json({document}, {sql.text(parsed)}))) AS ({', '.join(SCHEMA)})")
+        .selectExpr("*", sql.when(f"{document} RLIKE {sql.text(FLAT_KEY)}", f"try_parse_json({document})") + " AS flat")
+        .selectExpr("*", f"CASE {stages} ELSE {LAST_STAGE + 1} END AS fail_stage")
+        .selectExpr("*", f"{ran(LAST_STAGE)} AS done", f"CASE fail_stage {errors} END AS schema_error")
         .selectExpr(
-            *carried, "schema_error", "fail_stage", "done",
-            f"{as_text('f_ts')} AS ts_text",
-            f"{filled(renamed('f_log_level'), sql.text(fv.DEFAULT_LEVEL))} AS level",
-            f"{as_text('f_message')} AS message",
-            f"coalesce({as_text('f_template')}, {as_text('f_message')}) AS message_template",
-            f"{filled(as_text('f_service'), as_text('f_labels_app'), as_text('f_fields_app'),
-                      sql.text(fv.DEFAULT_SERVICE))} AS service",
-            f"{filled(as_text('f_environment'), as_text('f_labels_env'))} AS environment",
-            f"{overridden('f_user_name', 'f_labels_username', 'f_labels_user_name',
-                          'f_fields_user_name')} AS user_name",
-            f"{overridden('f_user_id', 'f_labels_user_id', 'f_fields_user_id')} AS user_id",
-            f"{renamed('f_logger')} AS logger", f"{renamed('f_host')} AS host",
-            f"{renamed('f_path')} AS url_path", f"{renamed('f_method')} AS http_method",
-            f"{renamed('f_status')} AS status_text",
-            f"CASE WHEN f_status IS NOT NULL THEN {is_number('f_status')}"
-            f" ELSE {ran(7)} AND {is_number('f_status_old')} END AS status_is_number",
-            f"{as_text('f_ip')} AS source_ip", f"{as_text('f_trace')} AS trace_id",
-            f"{as_text('f_span')} AS span_id",
+            "*", *[f"{value} AS c_{name}" for name, value in canonical.items()],
             "coalesce(try_variant_get(f_tags, '$', 'array<string>'),"
-            f" {sql.when(f'{as_text("f_tags")} IS NOT NULL', f'array({as_text("f_tags")})')})"
-            " AS own_tags",
-            f"{tag_list([text_only('f_label_tags'), text_only('f_metadata_tags')])} AS new_tags",
-            f"{is_object('f_labels')} OR {is_object('f_metadata')} AS has_sources",
-            "coalesce(try_variant_get(f_labels, '$', 'map<string,string>'),"
-            " CAST(map() AS map<string,string>)) AS all_labels",
-        )
+            f" {sql.when(f'{as_text("f_tags")} IS NOT NULL', f'array({as_text("f_tags")})')}) AS own_tags",
+            f"{tag_list([text_only(label_tags), text_only(metadata_tags)])} AS new_tags",
+            f"{is_object('f_labels')} OR {is_object('f_metadata')} AS has_sources")
+        .selectExpr(
+            "*", sql.when("own_tags IS NULL AND has_sources", no_tags, "own_tags") + " AS start_tags",
+            f"{derived_tags('c_message', 'c_url_path', 'c_status_text', 'c_status_is_number', 'c_logger')} AS derived")
+        .selectExpr("*", f"{added('start_tags', 'new_tags')} AS folded")
         .selectExpr(
-            *carried, "schema_error", "done", "fail_stage", "ts_text", *canonical, "own_tags",
-            "new_tags", "all_labels",
-            sql.when("own_tags IS NULL AND has_sources", "CAST(array() AS array<string>)",
-                     "own_tags") + " AS start_tags",
-            f"{derived_tags('message', 'url_path', 'status_text', 'status_is_number', 'logger')}"
-            " AS derived")
+            "*", "explode(array(CASE WHEN NOT done THEN own_tags WHEN size(derived) = 0 THEN folded"
+            f" ELSE {added(f'coalesce(folded, {no_tags})', 'derived')} END)) AS c_tags")
         .selectExpr(
-            *carried, "schema_error", "done", "ts_text", *canonical, "own_tags", "derived",
-            f"{added('start_tags', 'new_tags')} AS folded",
-            f"map_filter(all_labels, (k, v) -> v IS NOT NULL AND NOT {removed}"
-            f" AND k <> {stamp_key}) AS kept_labels")
-        .selectExpr(*carried, f"inline(array({sql.struct(**result)}))")
+            *carried, "try_cast(f_ts AS TIMESTAMP_NTZ) AS ts",
+            *[f"c_{c} AS {c}" if c != "status_text" else "try_cast(c_status_text AS INT) AS status_code" for c in canonical],
+            "c_tags AS tags",
+            f"map_concat({kept}, map({stamp_key}, {stamp})) AS labels", "schema_error",
+            f"{rest_of(document, 'fail_stage')} AS rest")
     )
 
 
 def to_document(rows: DataFrame) -> DataFrame:
-    """Canonical columns back to a JSON document, for running the normalisation over history."""
+    """Canonical columns and the rest back to a JSON document, for running the normalisation over history."""
     number = "CAST(status_code AS STRING)"
     status = sql.when("status_is_number", f"parse_json({number})",
                       f"parse_json(concat('\"', {number}, '\"'))")
-    return rows.selectExpr(
-        "to_json(named_struct("
+    known = _object(
+        "parse_json(to_json(named_struct("
         "'@timestamp', date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\"), 'message', message,"
         " 'log', named_struct('level', level, 'logger', logger),"
         " 'service', named_struct('name', service, 'environment', environment),"
         " 'user', named_struct('name', user_name, 'id', user_id),"
         " 'host', named_struct('name', host), 'url', named_struct('path', url_path),"
+        " 'trace', named_struct('id', trace_id), 'span', named_struct('id', span_id),"
         " 'http', named_struct('request', named_struct('method', http_method),"
         f" 'response', named_struct('status_code', {status})),"
-        " 'tags', tags, 'labels', labels)) AS document")
+        " 'tags', tags, 'labels', labels)))")
+
+    def both(a: str, b: str, joined: str) -> str:
+        """Members of two objects; a value that is no object stays as the rest has it."""
+        return (f"CASE WHEN {b} IS NULL THEN {a} WHEN {a} IS NULL OR {_object(a)} IS NULL OR {_object(b)} IS NULL THEN {b}"
+                f" ELSE to_variant_object({joined}) END")
+
+    deepest = both("c", "d", f"map_zip_with({_object('c')}, {_object('d')}, (i, e, f) -> coalesce(f, e))")
+    deeper = both("a", "b", f"map_zip_with({_object('a')}, {_object('b')}, (j, c, d) -> {deepest})")
+    others = f"coalesce({_object('parse_json(rest)')}, CAST(map() AS map<string,variant>))"
+    return (rows.selectExpr(f"{known} AS known", f"{others} AS others")
+            .selectExpr(f"to_json(map_zip_with(known, others, (k, a, b) -> {deeper})) AS document"))
 
 
 def without_noise(rows: DataFrame) -> DataFrame:

@@ -138,3 +138,23 @@ def raw_documents(events: DataFrame) -> DataFrame:
         F.when(pick(13, 0), F.struct(F.lit("crawl, daily").alias("LogTags"))).alias("metadata"),
     )
     return events.select(F.to_json(document).alias("document"))
+
+
+def clashing_documents(events: DataFrame) -> DataFrame:
+    """JSON documents that hold every old field name, and by event id one of the new names or none as well."""
+    eid = F.col("event_id")
+
+    def both(nr: int):
+        return F.when(eid % 7 == nr, F.lit("new"))
+
+    document = F.struct(
+        eid, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("@timestamp"), F.lit("old").alias("level"),
+        F.struct(F.concat(F.lit("u"), F.col("user_id")).alias("Username")).alias("labels"),
+        F.struct(*[F.lit("old").alias(name) for name in ("SourceContext", "MachineName", "RequestPath", "RequestMethod")],
+                 F.lit(200).alias("StatusCode")).alias("fields"),
+        F.struct(both(1).alias("level"), both(2).alias("logger")).alias("log"),
+        F.struct(both(3).alias("name"), (eid % 3).alias("cores")).alias("host"),
+        F.struct(both(4).alias("path")).alias("url"),
+        F.struct(F.struct(both(5).alias("method")).alias("request"),
+                 F.struct(F.when(eid % 7 == 6, 500).alias("status_code")).alias("response")).alias("http"))
+    return events.select("event_id", F.to_json(document).alias("document"))

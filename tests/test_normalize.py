@@ -83,3 +83,36 @@ def test_backfill_can_run_twice(spark, events, tmp_path):
     first = spark.read.parquet(path).count()
     normalize.backfill(raw, path)
     assert spark.read.parquet(path).count() == first == raw.count()
+
+
+def test_unknown_keys_survive_two_runs(spark):
+    document = {"message": "m", "trace": {"id": "t", "flags": [1, {"x": None}]}, "a.b": {"c": 1.5}, "host": "vm1",
+                "http": {"request": {"method": "GET", "bytes": 7}, "version": "2"}, "labels": {"k": "v", "LogTags": "x"},
+                "metadata": {"LogTags": "y", "z": "5"}, "fields": {"UserName": "u", "Own": {"deep": True}}}
+    left = {"trace": {"flags": [1, {"x": None}]}, "a.b": {"c": 1.5}, "host": "vm1",
+            "http": {"request": {"bytes": 7}, "version": "2"}, "metadata": {"z": "5"}, "fields": {"Own": {"deep": True}}}
+    rows = normalize.normalize(spark.createDataFrame([(json.dumps(document),)], "document STRING"))
+    for _ in range(3):
+        (row,) = rows.collect()
+        assert json.loads(row.rest) == left
+        assert (row.http_method, row.trace_id, row.user_name, row.tags) == ("GET", "t", "u", ["x", "y"])
+        rows = normalize.normalize(normalize.to_document(rows))
+
+
+def test_rest_is_null_when_all_is_consumed(spark):
+    rows = run(spark, {"message": "m", "log": {"level": "Info"}}, {}, {"user.name": "flat", "tags": ["t"]})
+    assert [r.rest for r in rows] == [None, None, None] and rows[2].user_name == "flat"
+
+
+def test_odd_documents(spark):
+    rows = spark.createDataFrame([(None,), ("[1]",), ('{"level":"x","log":{',), ('{"log":"text","level":"Error"}',)],
+                                 "document STRING")
+    found = normalize.normalize(rows).collect()
+    assert len(found) == 4 and {r.service for r in found} == {"unknown"}
+    assert found[3].level == "Error" and json.loads(found[3].rest) == {"log": "text"}
+
+
+def test_columns_that_nobody_reads_are_not_computed(spark):
+    rows = normalize.normalize(spark.createDataFrame([("{}",)], "document STRING"))
+    plan = normalize.without_noise(rows).select("ts", "level")._jdf.queryExecution().optimizedPlan().toString()
+    assert "map_concat" not in plan and "to_json" not in plan and plan.count("from_json") == 1
