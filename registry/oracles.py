@@ -602,6 +602,19 @@ LEFT JOIN (SELECT day, string_agg({scrub('message')} || '=' || n, '|' ORDER BY n
     count(*) AS n FROM rows_calm WHERE level IN ('Error', 'Fatal', 'Warning') GROUP BY 1, 2)
   QUALIFY row_number() OVER (PARTITION BY day ORDER BY n DESC, message) <= 5) GROUP BY day) m
 USING (day)""")
+ORACLES["digest_due"] = calm("""
+SELECT w_end, (SELECT count(*) FROM alerts a WHERE a.w_end >= d.w_end - INTERVAL 2 DAY AND a.w_end < d.w_end) AS alerts
+FROM (SELECT min(r) AS w_end, date_diff('day', min(min(r)) OVER (), min(r)) AS nr
+  FROM range(TIMESTAMP '2024-01-01 06:00:00', TIMESTAMP '2024-01-31 00:00:01', INTERVAL 6 HOUR) t(r)
+  WHERE hour(r) >= 7 GROUP BY r::DATE) d WHERE nr % 2 = 0""")
+ORACLES["history_report"] = calm("""
+SELECT date_trunc('day', w_end)::TIMESTAMP AS day, severity, count(*) AS alerts FROM alerts
+WHERE w_end >= TIMESTAMP '2024-01-08 06:00:00' AND w_end < TIMESTAMP '2024-01-21 12:00:00' GROUP BY ALL""")
+ORACLES["run_counters_assessed"] = calm("""
+SELECT 'cycles_total' AS counter, '' AS label, count(*) AS value FROM spine_calm
+UNION ALL SELECT 'alerts_total', '', count(*) FROM alerts WHERE forced OR hour(w_end) <> 0
+UNION ALL SELECT 'suppressed_total', '', count(*) FROM walk WHERE NOT alerted
+UNION ALL SELECT 'signals_total', kind, count(*) FROM sig GROUP BY kind""")
 ORACLES["quiet_days"] = calm("""
 SELECT day AS w_end FROM (SELECT r AS day FROM range(TIMESTAMP '2024-01-02',
   TIMESTAMP '2024-01-31 00:00:01', INTERVAL 1 DAY) t(r)) d WHERE NOT EXISTS (

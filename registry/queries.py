@@ -23,6 +23,7 @@ from sentinel.operators import (
 )
 from sentinel.operators.facts import HOST_PHRASES, as_timestamp
 from sentinel.operators.windows import assign
+from sentinel.operators.windows import spine
 from sentinel.plans.watch import Watch, flat
 from sentinel.session import materialize, new_path, use_utc
 from sentinel.sources.event_logs import clashing_documents, event_logs, raw_documents
@@ -566,6 +567,34 @@ def digest(spark, folder):
                     " AS top_errors")
 
 
+@query
+def digest_due(spark, folder):
+    """Every second day the first cycle from seven on sends a digest of the alerts before it."""
+    w, alerts = _alerts(spark, folder)
+    times = history.digest_times(spine(spark, w.targets, w.span), cfg.DUE_DAYS, cfg.DUE_HOUR)
+    return history.alerts_due(times, alerts, cfg.DUE_DAYS).selectExpr(W_END, "alerts")
+
+
+@query
+def history_report(spark, folder):
+    """Alerts over time from the written history, a part of a month of it."""
+    documents = _documents(spark, folder)
+    path = new_path(spark, "history")
+    history.append_alerts(documents, path)
+    stored = history.read_alerts(spark, path, documents.schema, parse_time(cfg.REPORT_FROM), parse_time(cfg.REPORT_TO))
+    return history.alerts_over_time(stored)
+
+
+@query
+def run_counters_assessed(spark, folder):
+    """Run counters where assessments call each midnight's window normal; forced kinds alarm all the same."""
+    w, found = _calm(spark, folder)
+    decided = incidents.cooldown(incidents.incidents(found, w.targets), w.targets).selectExpr(
+        "*", "CASE WHEN pmod(w_end, 86400) = 0 THEN false END AS ext_anomalous",
+        *[f"CAST(NULL AS STRING) AS {c}" for c in ("ext_severity", "ext_summary", "ext_cause", "ext_action")])
+    return history.run_counters(found, incidents.verdict(decided), w.window_counts)
+
+
 @query
 def quiet_days(spark, folder):
     w, alerts = _alerts(spark, folder)

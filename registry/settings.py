@@ -7,6 +7,8 @@ from sentinel.config import Span, targets_from
 START, END = "2024-01-01T00:00:00Z", "2024-01-31T00:00:00Z"
 SPAN = Span.replay(START, END)
 DIGEST_DAYS = 1
+DUE_DAYS, DUE_HOUR = 2, 7
+REPORT_FROM, REPORT_TO = "2024-01-08T06:00:00Z", "2024-01-21T12:00:00Z"
 MIDDLE = "2024-01-16T00:00:00Z"
 
 _EVERYTHING = ["api-logs-*", "crawler-logs-*", "web-logs-*", "bot-logs"]

@@ -82,8 +82,50 @@ def append_alerts(documents: DataFrame, path: str) -> None:
     documents.write.mode("append").partitionBy("target", "month").parquet(path)
 
 
+def read_alerts(spark: SparkSession, path: str, schema, since: int | None = None, until: int | None = None) -> DataFrame:
+    """The written history from `since` on and before `until` (epoch seconds); reports read it instead of raw logs.
+
+    Folders of other months are not listed into the scan, other times do not leave it.
+    """
+    rows = spark.read.schema(schema).parquet(path)
+    for bound, test, months in ((since, ">=", ">="), (until, "<", "<=")):
+        if bound is not None:
+            at = as_timestamp(f"{bound}L")
+            rows = rows.where(f"ts {test} {at} AND month {months} date_format({at}, 'yyyy.MM')")
+    return rows
+
+
 # ---- digest ----------------------------------------------------------------------------------
 
+def digest_times(cycles: DataFrame, period_days: int = 1, hour: int = 7, last: str | None = None) -> DataFrame:
+    """Of the cycles (w_end), those that send a digest: the first one of a UTC day at or after `hour`, if the
+    day lies `period_days` or more after the day of the digest before. `last` is that day of an earlier run.
+
+    One number per day is walked in order, whatever the number of cycles.
+    """
+    day, into = f"CAST(floor(w_end / {DAY}) AS BIGINT)", f"pmod(w_end, {DAY}L) >= {hour * 3600}"
+    first = cycles.where(into).groupBy(F.expr(day).alias("day")).agg(F.expr("min(w_end) AS w_end"))
+    before = "CAST(NULL AS BIGINT)" if last is None else f"CAST(unix_date(DATE'{last}') AS BIGINT)"
+    walk = (f"aggregate(array_sort(collect_list(day)), named_struct('last', {before}, 'sent', CAST(array() AS array<bigint>)),"
+            f" (s, d) -> CASE WHEN s.last IS NULL OR d - s.last >= {period_days}"
+            " THEN named_struct('last', d, 'sent', array_append(s.sent, d)) ELSE s END, s -> s.sent)")
+    sent = first.agg(F.expr(walk).alias("days")).selectExpr("explode(days) AS day")
+    return first.join(sent, "day").select("w_end")
+
+
+def alerts_due(times: DataFrame, alerts: DataFrame, period_days: int = 1) -> DataFrame:
+    """For each digest that is due, how many alerts its period has; periods may overlap.
+
+    An alert is put on each day it can count for, so both sides meet by day.
+    """
+    hours = period_days * DAY
+    days = f"sequence(CAST(floor(w_end / {DAY}) AS BIGINT), CAST(floor((w_end + {hours}) / {DAY}) AS BIGINT))"
+    dated = alerts.groupBy("w_end").agg(F.expr("count(*) AS n")).selectExpr("w_end AS at", "n", f"explode({days}) AS day")
+    return (times.selectExpr("w_end", f"CAST(floor(w_end / {DAY}) AS BIGINT) AS day").join(dated, "day", "left")
+            .groupBy("w_end").agg(F.expr(f"coalesce(sum(CASE WHEN at >= w_end - {hours} AND at < w_end THEN n END), 0L) AS alerts")))
+
+
+
 def digest_targets(targets: list[Target], period_days: int) -> list[Target]:
     """The same targets with one window per digest period."""
     return [replace(t, window_hours=24.0 * period_days, baseline_mode="previous") for t in targets]

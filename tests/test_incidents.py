@@ -131,3 +131,33 @@ def test_a_row_beyond_the_budget_falls_back_to_the_rules(spark):
                                  "'s' AS ext_summary", "'c' AS ext_cause", "'a' AS ext_action")
     out = {r.w_end: r for r in incidents.verdict(incidents.with_answers(decided, answers, targets)).collect()}
     assert [(out[t].external_verdict, out[t].anomalous) for t in range(3)] == [(True, False), (True, False), (False, True)]
+
+
+def test_digest_times(spark):
+    day = 86400
+
+    def sent(hours, **settings):
+        cycles = spark.createDataFrame([(h * 3600,) for h in hours], "w_end BIGINT")
+        return sorted(r.w_end // 3600 for r in history.digest_times(cycles, **settings).collect())
+
+    assert sent([6, 7, 8, 30, 31, 55]) == [7, 31, 55]
+    assert sent([6, 30 - 24]) == []  # never late enough
+    assert sent([7, 31, 55, 79], period_days=2) == [7, 55]
+    assert sent([7, 31, 103, 127], period_days=2) == [7, 103]  # a gap shifts what follows
+    assert sent([31, 55], last="1970-01-02") == [55]
+    assert sent([31, 55], last="1970-01-01", period_days=2) == [55]
+    alerts = spark.createDataFrame([("a", 7 * 3600 - 1), ("a", 7 * 3600), ("b", 7 * 3600), ("a", 31 * 3600)], "target STRING, w_end BIGINT")
+    times = spark.createDataFrame([(7 * 3600,), (31 * 3600,), (30 * day,)], "w_end BIGINT")
+    assert sorted(map(tuple, history.alerts_due(times, alerts).collect())) == [(7 * 3600, 1), (31 * 3600, 2), (30 * day, 0)]
+
+
+def test_reports_read_only_the_months_they_need(spark, tmp_path):
+    path = str(tmp_path / "history")
+    rows = spark.sql("SELECT timestamp_ntz'2024-01-31 23:59:59' + make_dt_interval(n * 31) AS ts, 'high' AS severity, 't' AS target"
+                     " FROM range(4) t(n)").selectExpr("*", "date_format(ts, 'yyyy.MM') AS month")
+    history.append_alerts(rows, path)
+    since, until = 1706745599, 1706745599 + 32 * 86400  # the last second of January, into March
+    stored = history.read_alerts(spark, path, rows.schema, since, until)
+    assert stored.count() == 2 and len(stored.inputFiles()) >= 2
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    assert "month" in plan[plan.index("PartitionFilters"):plan.index("PushedFilters")]
