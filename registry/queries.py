@@ -405,19 +405,19 @@ def replay_signals(spark, folder):
 
 # ---- incidents -------------------------------------------------------------------------------
 
-def _calm(spark, folder):
-    w = watch(spark, folder, cfg.CALM, written=True)
+def _calm(spark, folder, **options):
+    w = Watch(logs(spark, folder), cfg.CALM, cfg.SPAN, written=True, **options)
     return w, w.written_signals(heartbeats=False)
 
 
-def _alerts(spark, folder):
-    w, found = _calm(spark, folder)
+def _alerts(spark, folder, **options):
+    w, found = _calm(spark, folder, **options)
     return w, w.alerts(found)
 
 
 def _documents(spark, folder):
-    w, alerts = _alerts(spark, folder)
-    return w.documents(alerts)
+    w, found = _calm(spark, folder)
+    return w.documents(w.alerts(found), found)
 
 
 @query
@@ -468,7 +468,8 @@ def budgeted_verdicts(spark, folder):
     answers = decided.where("alerted").selectExpr(
         "target", "signature", "w_end", "true AS ext_anomalous", "'low' AS ext_severity", "'seen' AS ext_summary",
         "'known' AS ext_cause", "'none' AS ext_action")
-    rows = incidents.verdict(incidents.with_answers(decided, answers, w.targets))
+    answered = incidents.with_answers(decided, answers, w.targets)
+    rows = incidents.verdict(incidents.with_signals(answered, found, w.targets))
     return rows.where("alerted").selectExpr("target", W_END, "signature", "severity", "summary", "external_verdict")
 
 
@@ -560,7 +561,7 @@ def backfill_logs(spark, folder):
 
 @query
 def digest(spark, folder):
-    w, alerts = _alerts(spark, folder)
+    w, alerts = _alerts(spark, folder, raw_templates=True)
     return history.digest(w.counts, w.messages, alerts, w.targets, w.span, cfg.DIGEST_DAYS, w.step) \
         .selectExpr("target", W_END, "total", "err", "warn", "alerts", "headline",
                     "array_join(transform(top_errors, e -> concat(e.message, '=', e.n)), '|')"
@@ -592,7 +593,8 @@ def run_counters_assessed(spark, folder):
     decided = incidents.cooldown(incidents.incidents(found, w.targets), w.targets).selectExpr(
         "*", "CASE WHEN pmod(w_end, 86400) = 0 THEN false END AS ext_anomalous",
         *[f"CAST(NULL AS STRING) AS {c}" for c in ("ext_severity", "ext_summary", "ext_cause", "ext_action")])
-    return history.run_counters(found, incidents.verdict(decided), w.window_counts)
+    rows = incidents.verdict(incidents.with_signals(decided, found, w.targets))
+    return history.run_counters(found, rows, w.window_counts)
 
 
 @query

@@ -61,10 +61,20 @@ def _phrase_sums(rows: DataFrame) -> tuple[DataFrame, list]:
     return rows, [F.expr(f"coalesce(sum({hit}), 0L) AS {name}") for name, hit in hits.items()]
 
 
-def line_facts(rows: DataFrame, targets: list[Target]) -> DataFrame:
-    """The finest grain the level, message and host facts can all be summed from."""
+def redacted_alike(targets: list[Target]) -> bool:
+    """May templates be redacted before anything is summed? Every target wants it and none ranks raw ones."""
+    return all(t.scrub_pii and t.template_limit is None for t in targets)
+
+
+def line_facts(rows: DataFrame, targets: list[Target], redacted: bool = False) -> DataFrame:
+    """The finest grain the level, message and host facts can all be summed from.
+
+    With `redacted` templates lose addresses, tokens and the like before the shuffle, so facts grow with the
+    kinds of lines and not with the clients that lines name.
+    """
     reported = sql.is_in("level", reported_levels(targets))
-    rows = rows.withColumn("message_template", F.expr(sql.when(reported, "message_template")))
+    shown = text.scrub("message_template") if redacted else "message_template"
+    rows = rows.withColumn("message_template", F.expr(sql.when(reported, shown)))
     rows, sums = _phrase_sums(rows)
     return rows.groupBy(*LINE_KEYS).agg(F.expr("sum(n) AS n"), *sums)
 
@@ -73,16 +83,17 @@ def count_facts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("bucket", "index_name", "level").agg(F.expr("sum(n) AS n"))
 
 
-def message_rows(rows: DataFrame, targets: list[Target]) -> DataFrame:
-    """Templates of error and warning rows, not summed yet."""
+def message_rows(rows: DataFrame, targets: list[Target], redacted: bool = False) -> DataFrame:
+    """Templates of error and warning rows, not summed yet; with `redacted`, redacted here."""
+    shown = text.scrub("message_template") if redacted else "message_template"
     return (
         rows.where(f"{sql.is_in('level', reported_levels(targets))} AND message_template IS NOT NULL")
-        .select("bucket", "index_name", "level", F.col("message_template").alias("message"), "n")
+        .selectExpr("bucket", "index_name", "level", f"{shown} AS message", "n")
     )
 
 
-def message_facts(rows: DataFrame, targets: list[Target]) -> DataFrame:
-    return (message_rows(rows, targets).groupBy("bucket", "index_name", "level", "message")
+def message_facts(rows: DataFrame, targets: list[Target], redacted: bool = False) -> DataFrame:
+    return (message_rows(rows, targets, redacted).groupBy("bucket", "index_name", "level", "message")
             .agg(F.expr("sum(n) AS n")))
 
 

@@ -98,8 +98,8 @@ def _listed(rows: DataFrame, targets: list[Target]) -> DataFrame:
     return ranked.where(own).drop("rank").unionByName(rows.where(f"NOT {capped}"))
 
 
-def scrubbed_windows(messages: DataFrame, targets: list[Target]) -> DataFrame:
-    """Redact all templates, add up those that became equal, mark the ignored ones."""
+def scrubbed_windows(messages: DataFrame, targets: list[Target], done: bool = False) -> DataFrame:
+    """Redact all templates, add up those that became equal, mark the ignored ones. `done`: they are redacted."""
     # one redaction expression for all targets that want it
     scrubbed = sql.is_in("target", [t.name for t in targets if t.scrub_pii])
 
@@ -109,11 +109,14 @@ def scrubbed_windows(messages: DataFrame, targets: list[Target]) -> DataFrame:
                            for p in t.warn_spike_ignore])
 
     shown = sql.when(scrubbed, text.scrub("message"), "message")
+    marked = f"{per_target(targets, ignored, 'false')} AS ignored"
+    if done:  # equal ones of a window and side are one row already
+        return messages.selectExpr("target", "w_end", "is_base", "message", "n", marked)
     return (
         messages.selectExpr("target", "w_end", "is_base", f"{shown} AS message", "n")
         .groupBy("target", "w_end", "is_base", "message")
         .agg(F.expr("sum(n) AS n"))
-        .selectExpr("*", f"{per_target(targets, ignored, 'false')} AS ignored")
+        .selectExpr("*", marked)
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,36 +24,79 @@ def overall_severity(signals: DataFrame) -> DataFrame:
         F.expr(f"max_by(severity, {SEVERITY_RANK}) AS severity"), F.expr("count(*) AS n_signals"))
 
 
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted signals to windows, one after the other: held are a digest, a rank and a flag."""
+    names = ["target", "w_end", "signature", "rule_severity", "forced"]
+    key, digest, empty, best, forced = None, hashlib.sha256(), True, (-1, None), False
+
+    def closed() -> tuple:
+        return (*key, digest.hexdigest()[:16], best[1], forced)
+
+    def packed(done: list) -> pa.RecordBatch:
+        types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)], names=names)
+
+    for batch in batches:
+        done = []
+        for target, end, part, severity, rank, force in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (target, end) != key:
+                if key is not None:
+                    done.append(closed())
+                key, digest, empty, best, forced = (target, end), hashlib.sha256(), True, (-1, None), False
+            if part is not None:
+                digest.update(part.encode() if empty else b"|" + part.encode())
+                empty = False
+            if rank > best[0]:
+                best = (rank, severity)
+            forced = forced or bool(force)
+        if done:
+            yield packed(done)
+    if key is not None:
+        yield packed([closed()])
+
+
 def incidents(signals: DataFrame, targets: list[Target]) -> DataFrame:
-    """One row per window with signals: signature, rule verdict and the redacted signals.
+    """One row per window with signals: signature, highest severity, and whether a kind forces the alarm.
 
-    The signature is taken from the raw texts, before redaction makes two clients look alike. What
-    is collected per window are signals, at most a few per watched client, host or index.
+    The signature is taken from the raw texts, before redaction makes two clients look alike. Signals stay a
+    long table: they stream past in order, so a window may have any number of them.
     """
+    line = signals.selectExpr(
+        "target", "w_end", f"concat(kind, ':', {text.mask_counters('detail')}) AS part", "severity",
+        f"{SEVERITY_RANK} AS rank", f"{sql.is_in('kind', fv.FORCED_KINDS)} AS forced")
+    line = line.repartition("target", "w_end").sortWithinPartitions("target", "w_end", "part")
+    return line.mapInArrow(_folded, "target STRING, w_end BIGINT, signature STRING, rule_severity STRING, forced BOOLEAN")
+
+
+def with_signals(rows: DataFrame, signals: DataFrame, targets: list[Target]) -> DataFrame:
+    """Add each row's redacted signals as its document stores them: one array, in the order of kinds.
+
+    For windows that become documents, or whose summary may quote signals.
+    """
+    keys = ["target", "w_end"]
     scrubbed = sql.is_in("target", [t.name for t in targets if t.scrub_pii])
     shown = sql.when(scrubbed, text.scrub("detail"), "detail")
-    signature = "substr(sha2(array_join(array_sort(collect_list(part)), '|'), 256), 1, 16)"
-    return (
-        signals.selectExpr(
-            "target", "w_end", "severity", f"{sql.is_in('kind', fv.FORCED_KINDS)} AS forced",
-            f"concat(kind, ':', {text.mask_counters('detail')}) AS part",
-            f"named_struct('position', array_position({_KINDS}, kind), 'kind', kind,"
-            f" 'severity_hint', severity, 'detail', {shown}) AS signal")
-        .groupBy("target", "w_end")
-        .agg(F.expr(f"{signature} AS signature"),
-             F.expr(f"max_by(severity, {SEVERITY_RANK}) AS rule_severity"),
-             F.expr("bool_or(forced) AS forced"),
-             F.expr("transform(array_sort(collect_list(signal)), s -> named_struct('kind', s.kind,"
+    listed = (
+        signals.selectExpr(*keys, f"named_struct('position', array_position({_KINDS}, kind), 'kind', kind,"
+                                  f" 'severity_hint', severity, 'detail', {shown}) AS signal")
+        .groupBy(*keys)
+        .agg(F.expr("transform(array_sort(collect_list(signal)), s -> named_struct('kind', s.kind,"
                     " 'severity_hint', s.severity_hint, 'detail', s.detail)) AS signals"))
     )
+    return rows.join(listed, keys, "left")
 
 
 def verdict(rows: DataFrame) -> DataFrame:
-    """Rule verdict; an external one (columns ext_*) wins; forced kinds always alarm, high."""
+    """Rule verdict; an external one (columns ext_*) wins; forced kinds always alarm, high.
+
+    With external verdicts rows need their `signals`, as an empty summary is replaced by texts of these.
+    """
     texts = ["ext_severity", "ext_summary", "ext_cause", "ext_action"]
     if "ext_anomalous" not in rows.columns:
         rows = rows.selectExpr("*", "CAST(NULL AS BOOLEAN) AS ext_anomalous",
                                *[f"CAST(NULL AS STRING) AS {c}" for c in texts])
+    elif "signals" not in rows.columns:
+        raise ValueError("external verdicts need the signals of their windows: see with_signals")
     external = "ext_anomalous IS NOT NULL"
 
     def either(name: str, rule: str) -> str:
@@ -61,7 +105,7 @@ def verdict(rows: DataFrame) -> DataFrame:
     # only the forced kinds' texts go into the summary that replaces an empty one
     forced = sql.is_in("s.kind", fv.FORCED_KINDS)
     forced_text = (f"concat({sql.text(fv.FORCED_SUMMARY)}, array_join(transform(filter(signals,"
-                   f" s -> {forced}), s -> s.detail), ' '))")
+                   f" s -> {forced}), s -> s.detail), ' '))") if "signals" in rows.columns else sql.text(fv.FORCED_SUMMARY)
     summary = either("ext_summary", sql.text(fv.RULE_SUMMARY))
     kept = [c for c in rows.columns if not c.startswith("ext_")]
     return rows.selectExpr(

@@ -22,13 +22,16 @@ class Watch:
 
     With `written` the facts are tables: written when a result that needs them is built, then read by every
     detector. Without it each result stays a single lazy plan over the logs, which suits a single detector.
-    `periods` are lengths in seconds that buckets must divide besides the targets' own.
+    `periods` are lengths in seconds that buckets must divide besides the targets' own. `raw_templates` keeps
+    templates as they came in the written facts, for top lists that rank them before redaction; else they are
+    redacted before they are first summed, where all targets want that.
     """
 
     def __init__(self, logs: DataFrame, targets: list[Target], span: Span, written: bool = False,
-                 periods: tuple[int, ...] = ()):
+                 periods: tuple[int, ...] = (), raw_templates: bool = False):
         self.logs, self.targets, self.span = logs, targets, span
         self.written = written
+        self.redacted = facts.redacted_alike(targets) and not raw_templates
         self.step = bucket_seconds(targets, periods)
         self.rows = facts.prepare(logs, targets, span, periods)
 
@@ -38,7 +41,7 @@ class Watch:
         """What line-based facts are summed from: a written table, or the raw rows themselves."""
         if not self.written:
             return self.rows
-        return materialize(facts.line_facts(self.rows, self.targets), "lines")
+        return materialize(facts.line_facts(self.rows, self.targets, self.redacted), "lines")
 
     # Windows are summed from facts, so raw rows are not repeated for each target.
     @cached_property
@@ -49,10 +52,20 @@ class Watch:
 
     @cached_property
     def messages(self) -> DataFrame:
-        if self.written:
+        """Raw templates; logs are read once more where the written facts hold redacted ones."""
+        if self.written and not self.redacted:
             return facts.message_rows(self.lines, self.targets)
         return facts.message_facts(self.rows, self.targets)
 
+    @cached_property
+    def redacted_messages(self) -> DataFrame:
+        """Templates as windows compare them, redacted already if `redacted`."""
+        if not self.redacted:
+            return self.messages
+        if self.written:
+            return facts.message_rows(self.lines, self.targets)
+        return facts.message_facts(self.rows, self.targets, redacted=True)
+
     @cached_property
     def host_facts(self) -> DataFrame:
         if self.written:
@@ -69,7 +82,8 @@ class Watch:
     # ---- windows ----
     @cached_property
     def templates(self) -> DataFrame:
-        rows = gate.scrubbed_windows(gate.message_windows(self.messages, self.targets, self.span), self.targets)
+        windows = gate.message_windows(self.redacted_messages, self.targets, self.span)
+        rows = gate.scrubbed_windows(windows, self.targets, done=self.redacted)
         return materialize(rows, "templates") if self.written else rows
 
     @cached_property
@@ -126,12 +140,19 @@ class Watch:
         rows = incidents.incidents(found, self.targets)
         if verdicts is not None:
             rows = incidents.verdict_asof(rows, verdicts, self.targets).drop("verdict_ts")
+            rows = incidents.with_signals(rows, found, self.targets)
         return incidents.cooldown(incidents.verdict(rows), self.targets, earlier)
 
     def alerts(self, found: DataFrame, verdicts: DataFrame | None = None, earlier: DataFrame | None = None) -> DataFrame:
         return self.decided(found, verdicts, earlier).where("alerted AND anomalous")
 
-    def documents(self, alerts: DataFrame) -> DataFrame:
+    def documents(self, alerts: DataFrame, found: DataFrame) -> DataFrame:
+        """Alerts as stored documents; `found` are the signals they came from."""
+        if self.written:
+            alerts = materialize(alerts, "alerts")
+        if "signals" not in alerts.columns:
+            theirs = found.join(alerts.select("target", "w_end"), ["target", "w_end"], "left_semi")
+            alerts = incidents.with_signals(alerts, theirs, self.targets)
         return history.alert_documents(alerts, self.levels, self.window_counts, self.templates,
                                        self.targets)
 

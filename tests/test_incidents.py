@@ -1,3 +1,4 @@
+import hashlib
 import time
 
 import pytest
@@ -34,14 +35,42 @@ def test_signature_is_stable_and_distinct(signature):
 
 def test_details_are_redacted_after_the_signature(spark):
     frame = signals(spark, (0, "auth_bruteforce", "high", "IP 45.9.1.2: 30"), (0, "fatal", "high", "1"))
-    row = incidents.verdict(incidents.incidents(frame, [Target()])).collect()[0]
+    targets = [Target()]
+    row = incidents.verdict(incidents.with_signals(incidents.incidents(frame, targets), frame, targets)).collect()[0]
     assert [(s.kind, s.detail) for s in row.signals] == [("fatal", "1"), ("auth_bruteforce", "IP <ip>: 30")]
     assert row.forced and row.severity == "high" and row.anomalous
 
 
+def test_very_many_signals_of_one_window(spark):
+    """A window's signals stream past in order; next to it lie windows of one signal each."""
+    count = 200_000
+    hot = spark.range(count).selectExpr("'default' AS target", "7L AS w_end", "if(id = 5, 'fatal', 'api_scan') AS kind",
+                                        "if(id = 5, 'high', 'medium') AS severity", "concat('client c', id) AS detail")
+    small = spark.range(50).selectExpr("'default'", "100 + id", "'warn_spike'", "'low'", "concat('w', id)")
+    out = {r.w_end: r for r in incidents.incidents(hot.union(small), [Target()]).collect()}
+    parts = sorted(f"{'fatal' if i == 5 else 'api_scan'}:client c{i}" for i in range(count))
+    assert out[7].signature == hashlib.sha256("|".join(parts).encode()).hexdigest()[:16]
+    assert len(out) == 51 and out[7].rule_severity == "high" and out[7].forced and not out[100].forced
+    assert out[149].signature == hashlib.sha256(b"warn_spike:w49").hexdigest()[:16]
+
+
+def test_signatures_of_missing_texts_and_of_no_signals(spark):
+    frame = signals(spark, (0, "fatal", "high", None), (0, "fatal", "high", "x"), (1, "fatal", None, None))
+    out = {r.w_end: r for r in incidents.incidents(frame, [Target()]).collect()}
+    assert out[0].signature == hashlib.sha256(b"fatal:x").hexdigest()[:16]
+    assert out[1].signature == hashlib.sha256(b"").hexdigest()[:16] and out[1].rule_severity is None
+    assert incidents.incidents(frame.where("false"), [Target()]).count() == 0
+
+
+def test_external_verdicts_need_the_signals(spark):
+    rows = incidents.incidents(signals(spark, (0, "fatal", "high", "x")), [Target()]).selectExpr("*", "true AS ext_anomalous")
+    with pytest.raises(ValueError, match="with_signals"):
+        incidents.verdict(rows)
+
+
 def test_external_verdict_cannot_talk_down_forced_kinds(spark):
     frame = signals(spark, (0, "api_scan", "high", "scan"), (1, "warn_spike", "low", "warn"))
-    rows = incidents.incidents(frame, [Target()]).selectExpr(
+    rows = incidents.with_signals(incidents.incidents(frame, [Target()]), frame, [Target()]).selectExpr(
         "*", "false AS ext_anomalous", "'low' AS ext_severity", "'' AS ext_summary",
         "'c' AS ext_cause", "'a' AS ext_action")
     out = {r.w_end: r for r in incidents.verdict(rows).collect()}
@@ -129,7 +158,8 @@ def test_a_row_beyond_the_budget_falls_back_to_the_rules(spark):
     decided = incidents.cooldown(incidents.incidents(frame, targets), targets)
     answers = decided.selectExpr("target", "signature", "w_end", "false AS ext_anomalous", "'low' AS ext_severity",
                                  "'s' AS ext_summary", "'c' AS ext_cause", "'a' AS ext_action")
-    out = {r.w_end: r for r in incidents.verdict(incidents.with_answers(decided, answers, targets)).collect()}
+    answered = incidents.with_signals(incidents.with_answers(decided, answers, targets), frame, targets)
+    out = {r.w_end: r for r in incidents.verdict(answered).collect()}
     assert [(out[t].external_verdict, out[t].anomalous) for t in range(3)] == [(True, False), (True, False), (False, True)]
 
 

@@ -53,6 +53,30 @@ def test_written_facts_change_nothing(spark, events):
         Watch(logs, cfg.MAIN, cfg.SPAN).signals())
 
 
+def test_redaction_before_the_first_sum_changes_nothing(spark, events):
+    logs = event_logs(events)
+    for written in (True, False):
+        early = Watch(logs, cfg.MULTI, cfg.SPAN, written=written)
+        late = Watch(logs, cfg.MULTI, cfg.SPAN, written=written, raw_templates=True)
+        assert early.redacted and not late.redacted
+        assert rows(early.templates) == rows(late.templates)
+        assert rows(early.messages.groupBy("message").sum("n")) == rows(late.messages.groupBy("message").sum("n"))
+
+
+def test_facts_do_not_grow_with_the_clients_that_lines_name(spark):
+    from dataclasses import replace
+
+    logs = conform(spark.range(20_000, numPartitions=4).selectExpr(
+        "id AS event_id", "TIMESTAMP_NTZ'2026-06-01 01:00:00' AS ts", "'app-logs' AS index_name", "'Error' AS level",
+        "concat('login of u', id, '@example.org refused') AS message"), {"message_template": "message"})
+    span, target = Span.replay("2026-06-01T00:00:00Z", "2026-06-01T06:00:00Z"), Target()
+    assert Watch(logs, [target], span, written=True).lines.count() == 1
+    # one target that keeps raw texts, or ranks them, keeps them raw in the facts of all
+    for other in (replace(target, name="raw", scrub_pii=False), replace(target, name="listed", template_limit=3)):
+        watch = Watch(logs, [target, other], span, written=True)
+        assert not watch.redacted and watch.lines.count() == 20_000
+
+
 def test_latest_window_equals_its_replay(spark, events):
     logs = event_logs(events)
     end = cfg.SPAN.start + 80 * 21600

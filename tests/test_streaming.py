@@ -14,7 +14,7 @@ from sentinel.streaming import jobs, state
 def test_alerts_are_appended_once(spark, events, tmp_path):
     watch = Watch(event_logs(events), cfg.CALM, cfg.SPAN, written=True)
     found = watch.written_signals(heartbeats=False)
-    documents = watch.documents(watch.alerts(found)).cache()
+    documents = watch.documents(watch.alerts(found), found).cache()
     append = jobs.append_new_alerts(str(tmp_path / "alerts"))
     append(documents.where("ts < '2024-01-15'"), 0)
     append(documents.where("ts < '2024-01-15'"), 0)
