@@ -514,6 +514,16 @@ _gates = [gate_parts(t) for t in cfg.MULTI]
 ORACLES["multi_target_gate"] = statement([LOGS, *[c for ctes, _ in _gates for c in ctes]],
                                          union([p for _, parts in _gates for p in parts]))
 
+# the same rules for each target; one of them reads other columns as level and text
+EDGE_LOGS = """edge_logs AS (SELECT * REPLACE (CASE WHEN status >= 500 OR status IN (401, 403) THEN 'Error'
+  WHEN status >= 400 THEN 'Warning' END AS level, coalesce(path, message) AS message) FROM logs)"""
+_named = [(t, gate_parts(t, ("error_spike", "warn_spike", "fatal")), new_error_parts(t)) for t in cfg.NAMED]
+ORACLES["fields_per_target"] = statement(
+    [LOGS, EDGE_LOGS, *dict.fromkeys(
+        c.replace("FROM logs WHERE", "FROM edge_logs WHERE") if t.name == "edge" else c
+        for t, gates, news in _named for c in [*gates[0], *news[0]])],
+    union([p for _, gates, news in _named for p in [*gates[1], *news[1]]]))
+
 # ---- incidents -------------------------------------------------------------------------------
 ORACLES["overall_severity"] = multi(f"""
 SELECT target, w_end, arg_max(severity, {RANK}) AS severity, count(*) AS n_signals

@@ -24,7 +24,7 @@ from sentinel.operators import (
 from sentinel.operators.facts import HOST_PHRASES, as_timestamp
 from sentinel.operators.windows import assign
 from sentinel.operators.windows import spine
-from sentinel.plans.watch import Watch, flat
+from sentinel.plans.watch import Fleet, Watch, flat
 from sentinel.session import materialize, new_path, use_utc
 from sentinel.sources.event_logs import clashing_documents, event_logs, raw_documents
 from sentinel.sources.logs import scan
@@ -403,6 +403,15 @@ def replay_signals(spark, folder):
     return flat(watch(spark, folder, cfg.MULTI, written=True).signals(heartbeats=False))
 
 
+@query
+def fields_per_target(spark, folder):
+    """Two targets over one log table: one reads level and text from inside a struct and a map."""
+    source = logs(spark, folder).selectExpr(
+        "*", "named_struct('level', CASE WHEN status_code >= 500 OR status_code IN (401, 403) THEN 'Error'"
+        " WHEN status_code >= 400 THEN 'Warning' END) AS edge", "map('text', coalesce(url_path, message)) AS extra")
+    return flat(Fleet(source, cfg.NAMED, cfg.SPAN, written=True).signals(heartbeats=False))
+
+
 # ---- incidents -------------------------------------------------------------------------------
 
 def _calm(spark, folder, **options):

@@ -46,6 +46,12 @@ STREAM_FILES = 4
 LISTED = [replace(TARGETS["main"], template_limit=15)]
 MULTI = [TARGETS["main"], TARGETS["platform"], TARGETS["robots"]]
 QUOTA = 2
+#: Their logs name level and text differently.
+NAMED = targets_from({
+    "defaults": {**_DOCUMENT["defaults"], "security_check": False, "linux_check": False, "ingestion_drop_check": False},
+    "targets": [{"name": "plain", "indices": _EVERYTHING},
+                {"name": "edge", "indices": "api-logs-*,web-logs-*", "level_field": "edge.level.keyword",
+                 "message_field": "extra.text", "min_errors": 3, "min_warnings": 4}]})
 CALM = [replace(TARGETS["calm"], assessments_per_day=QUOTA)]
 MODES = [targets_from({"defaults": {"indices": _EVERYTHING}, "targets": [
     {"name": mode, "baseline_mode": mode}]})[0] for mode in ("previous", "yesterday", "last_week")]

@@ -55,7 +55,8 @@ def _phrase_sums(rows: DataFrame) -> tuple[DataFrame, list]:
     if "ssh_fail" in rows.columns:
         hits = {name: name for name in HOST_PHRASES}
     else:
-        rows = rows.selectExpr("*", f"{text.words('message')} AS words")
+        source = "host_message" if "host_message" in rows.columns else "message"
+        rows = rows.selectExpr("*", f"{text.words(source)} AS words")
         hits = {name: sql.when(text.has_phrase("words", phrases), "n")
                 for name, phrases in HOST_PHRASES.items()}
     return rows, [F.expr(f"coalesce(sum({hit}), 0L) AS {name}") for name, hit in hits.items()]

@@ -15,9 +15,47 @@ from pyspark.sql import functions as F
 from sentinel.config import Span, Target, bucket_seconds
 from sentinel.operators import access, facts, gate, history, hosts, incidents, signals, silence
 from sentinel.session import materialize
+from sentinel.sources.logs import conform
 
 
-class Watch:
+class Evaluation:
+    """What follows from signals, windows and templates of any set of targets.
+
+    Needs `targets`, `span`, `written`, `templates`, `window_counts`, `levels` and `signals`.
+    """
+
+    def seen(self, known: DataFrame | None = None) -> DataFrame:
+        """(target, fp, last_seen) after these windows, without what is to be forgotten by their end."""
+        batch = gate.window_fingerprints(self.templates).where("seen")
+        return history.merge_seen(known, batch, self.span.end)
+
+    def written_signals(self, heartbeats: bool = True, live: bool = False, known: DataFrame | None = None) -> DataFrame:
+        found = self.signals(heartbeats, live, known)
+        return materialize(found, "signals") if self.written else found
+
+    def decided(self, found: DataFrame, verdicts: DataFrame | None = None, earlier: DataFrame | None = None) -> DataFrame:
+        """Incidents with verdicts, each marked alerted or suppressed by the cooldown."""
+        rows = incidents.incidents(found, self.targets)
+        if verdicts is not None:
+            rows = incidents.verdict_asof(rows, verdicts, self.targets).drop("verdict_ts")
+            rows = incidents.with_signals(rows, found, self.targets)
+        return incidents.cooldown(incidents.verdict(rows), self.targets, earlier)
+
+    def alerts(self, found: DataFrame, verdicts: DataFrame | None = None, earlier: DataFrame | None = None) -> DataFrame:
+        return self.decided(found, verdicts, earlier).where("alerted AND anomalous")
+
+    def documents(self, alerts: DataFrame, found: DataFrame) -> DataFrame:
+        """Alerts as stored documents; `found` are the signals they came from."""
+        if self.written:
+            alerts = materialize(alerts, "alerts")
+        if "signals" not in alerts.columns:
+            theirs = found.join(alerts.select("target", "w_end"), ["target", "w_end"], "left_semi")
+            alerts = incidents.with_signals(alerts, theirs, self.targets)
+        return history.alert_documents(alerts, self.levels, self.window_counts, self.templates,
+                                       self.targets)
+
+
+class Watch(Evaluation):
     """One evaluation over one log table.
 
     With `written` the facts are tables: written when a result that needs them is built, then read by every
@@ -126,35 +164,37 @@ class Watch:
             parts.append(hosts.host_signals(self.host_windows, targets))
         return signals.union(parts)
 
-    def seen(self, known: DataFrame | None = None) -> DataFrame:
-        """(target, fp, last_seen) after these windows, without what is to be forgotten by their end."""
-        batch = gate.window_fingerprints(self.templates).where("seen")
-        return history.merge_seen(known, batch, self.span.end)
 
-    def written_signals(self, heartbeats: bool = True, live: bool = False, known: DataFrame | None = None) -> DataFrame:
-        found = self.signals(heartbeats, live, known)
-        return materialize(found, "signals") if self.written else found
+class Fleet(Evaluation):
+    """Targets whose logs name their fields differently: one `Watch` for each set of names, their results together.
 
-    def decided(self, found: DataFrame, verdicts: DataFrame | None = None, earlier: DataFrame | None = None) -> DataFrame:
-        """Incidents with verdicts, each marked alerted or suppressed by the cooldown."""
-        rows = incidents.incidents(found, self.targets)
-        if verdicts is not None:
-            rows = incidents.verdict_asof(rows, verdicts, self.targets).drop("verdict_ts")
-            rows = incidents.with_signals(rows, found, self.targets)
-        return incidents.cooldown(incidents.verdict(rows), self.targets, earlier)
+    `source` has its own columns; `names` hold for all targets, a target's `field_names` win. Logs are read once
+    more for each further set of names, with only the columns that it needs. Cooldown, verdicts, quota and the
+    table of known fingerprints run over all targets at once.
+    """
 
-    def alerts(self, found: DataFrame, verdicts: DataFrame | None = None, earlier: DataFrame | None = None) -> DataFrame:
-        return self.decided(found, verdicts, earlier).where("alerted AND anomalous")
+    def __init__(self, source: DataFrame, targets: list[Target], span: Span, names: dict[str, str] | None = None,
+                 written: bool = False, **options):
+        self.targets, self.span, self.written = targets, span, written
+        groups: dict[tuple, list[Target]] = {}
+        for t in targets:
+            groups.setdefault(tuple(sorted({**(names or {}), **t.field_names}.items())), []).append(t)
+        self.watches = [Watch(conform(source, dict(key)), group, span, written, **options) for key, group in groups.items()]
 
-    def documents(self, alerts: DataFrame, found: DataFrame) -> DataFrame:
-        """Alerts as stored documents; `found` are the signals they came from."""
-        if self.written:
-            alerts = materialize(alerts, "alerts")
-        if "signals" not in alerts.columns:
-            theirs = found.join(alerts.select("target", "w_end"), ["target", "w_end"], "left_semi")
-            alerts = incidents.with_signals(alerts, theirs, self.targets)
-        return history.alert_documents(alerts, self.levels, self.window_counts, self.templates,
-                                       self.targets)
+    @cached_property
+    def templates(self) -> DataFrame:
+        return signals.union([w.templates for w in self.watches])
+
+    @cached_property
+    def window_counts(self) -> DataFrame:
+        return signals.union([w.window_counts for w in self.watches])
+
+    @cached_property
+    def levels(self) -> DataFrame:
+        return signals.union([w.levels for w in self.watches])
+
+    def signals(self, heartbeats: bool = True, live: bool = False, known: DataFrame | None = None) -> DataFrame:
+        return signals.union([w.signals(heartbeats, live, known) for w in self.watches])
 
 
 def flat(found: DataFrame) -> DataFrame:

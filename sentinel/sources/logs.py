@@ -7,6 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from sentinel.functions import sql
 from sentinel.functions.index_names import index_matches
 
 _TEXT = T.StringType()
@@ -33,26 +34,61 @@ LOG_SCHEMA = T.StructType([
     T.StructField("tags", T.ArrayType(_TEXT)),
     T.StructField("labels", T.MapType(_TEXT, _TEXT)),
 ])
+#: With the field that only some sources tell from `message`.
+CONFORMED = [*LOG_SCHEMA.fields, T.StructField("host_message", _TEXT)]
+
+
+#: How search stores call the exact form of a text field; here it is the field itself.
+EXACT_FORM = ".keyword"
+
+
+def field_of(schema: T.StructType, name: str) -> str | None:
+    """SQL of a field by its dotted name, or None: a column of that very name, else a path into structs and maps."""
+    found = _path(schema, name)
+    if found is None and name.endswith(EXACT_FORM):
+        found = _path(schema, name.removesuffix(EXACT_FORM))
+    return found
+
+
+def _path(kind: T.DataType, name: str) -> str | None:
+    if isinstance(kind, T.MapType):
+        return f"[{sql.text(name)}]" if isinstance(kind.keyType, T.StringType) else None
+    if not isinstance(kind, T.StructType):
+        return None
+    quoted = {f.name: "`" + f.name.replace("`", "``") + "`" for f in kind.fields}
+    if name in quoted:
+        return quoted[name]
+    for f in kind.fields:
+        if name.startswith(f.name + "."):
+            rest = _path(f.dataType, name[len(f.name) + 1:])
+            if rest is not None:
+                return quoted[f.name] + (rest if rest.startswith("[") else "." + rest)
+    return None
 
 
 def conform(df: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
-    """Canonical columns from a source's own names.
+    """Canonical columns from a source's own names, which may be paths into structs and maps.
 
     A field the source lacks becomes null, decided from its schema before anything runs: without
-    templates only levels are compared, without levels only totals.
+    templates only levels are compared, without levels only totals. A source without the clock is refused.
+    `host_message`, if named, is the text that host checks read; else they read `message`.
     """
     names = names or {}
-    available = set(df.columns)
+    unknown = set(names) - {f.name for f in CONFORMED}
+    if unknown:
+        raise ValueError(f"no canonical fields: {sorted(unknown)}")
     columns = []
-    for f in LOG_SCHEMA.fields:
-        source = names.get(f.name, f.name)
+    for f in CONFORMED:
+        if f not in LOG_SCHEMA.fields and f.name not in names:
+            continue
+        source = field_of(df.schema, names.get(f.name, f.name))
         kind = f.dataType.simpleString()
         if f.name == "ts":
-            columns.append(f"`{source}` AS ts")
-        elif source in available:
-            columns.append(f"CAST(`{source}` AS {kind}) AS {f.name}")
+            if source is None:
+                raise ValueError(f"logs have no field {names.get('ts', 'ts')} for their clock")
+            columns.append(f"{source} AS ts")
         else:
-            columns.append(f"CAST(NULL AS {kind}) AS {f.name}")
+            columns.append(f"CAST({source or 'NULL'} AS {kind}) AS {f.name}")
     return df.selectExpr(*columns)
 
 
