@@ -53,11 +53,11 @@ def test_top_k_of_few(spark):
     assert topk.top_k(few.limit(0), "vec_id = 0").count() == 0
 
 
-@pytest.mark.parametrize("part,per_centre", [(2048, 500), (16, 20)])
-def test_embedding_links_equal_brute_force(vectors, monkeypatch, part, per_centre):
+@pytest.mark.parametrize("part,centres", [(2048, (4, 16)), (16, (16,)), (7, (1,)), (5, (64,))])
+def test_embedding_links_equal_brute_force(vectors, monkeypatch, part, centres):
     rows, frame = vectors
     monkeypatch.setattr(embedding_dedup, "PART", part)
-    monkeypatch.setattr(embedding_dedup, "PER_CENTRE", per_centre)
+    monkeypatch.setattr(embedding_dedup, "CENTRES", centres)
     good = [(i, np.array(v), label) for i, v, label, _ in rows if i is not None and usable(v) and any(v) and label is not None]
     links = {i: set() for i, *_ in rows}
     for i, v, a in good:
@@ -78,6 +78,16 @@ def test_embedding_links_equal_brute_force(vectors, monkeypatch, part, per_centr
     assert max(len(x) for x in links.values()) > 5
 
 
+def test_cells_are_chosen_by_what_they_cost():
+    rng = np.random.RandomState(5)
+    even = embedding_dedup.unit(rng.randn(4000, 64))
+    clumps = embedding_dedup.unit(rng.randn(300, 64)[rng.randint(300, size=8000)] + 0.02 * rng.randn(8000, 64))
+    assert len(embedding_dedup.choose_centres(even, 0.98, 5_000)) == 4  # borders everywhere: cells don't pay
+    assert len(embedding_dedup.choose_centres(even, 0.98, 5_000_000)) > 4
+    assert len(embedding_dedup.choose_centres(clumps, 0.98, 50_000)) >= 64
+    assert len(embedding_dedup.choose_centres(even[:3], 0.98, 3)) == 3
+
+
 def test_embedding_dedup_of_nothing(spark):
     assert near_vectors(spark.createDataFrame([], VECTORS)).count() == 0
 
