@@ -24,9 +24,12 @@ from sentinel.llm.words import slices
 
 #: Labelled rows that the classifier is fitted on, at most; chosen by a hash, so independent of order.
 SAMPLE = 12_000
-#: A learned pattern is in so many toxic documents at least; were it only RATIO times as likely to be toxic as
-#: any document, the chance to see so many would be below CHANCE (many patterns are tried).
-SUPPORT, RATIO, CHANCE = 3, 2.5, 1e-4
+#: A learned pattern is in so many toxic documents at least, and its frequency in toxic texts is at least e^LIFT times
+#: that in clean ones; were a document with it only RATIO times as likely to be toxic as any document, the chance to
+#: see so many toxic ones would be below CHANCE.
+SUPPORT, LIFT, RATIO, CHANCE = 3, 2.0, 1.25, 1e-3
+#: Documents up to which that chance is summed term by term; beyond, a bound is near enough.
+SUMMED = 200
 #: Lengths of learned word beginnings.
 STEMS = range(3, 9)
 
@@ -168,10 +171,12 @@ def _counts(texts: DataFrame, only: frozenset[str] | None, least: int) -> dict[s
 
 
 def _chance(k: int, n: int, p: float) -> float:
-    """Upper bound of the chance of k or more of n (Chernoff)."""
+    """The chance of k or more of n, for large n an upper bound of it (Chernoff)."""
     x = k / n
     if x <= p:
         return 1.0
+    if n <= SUMMED:
+        return sum(math.comb(n, i) * p ** i * (1 - p) ** (n - i) for i in range(k, n + 1))
     rest = (1 - x) * math.log((1 - x) / (1 - p)) if x < 1 else 0.0
     return math.exp(-n * (x * math.log(x / p) + rest))
 
@@ -187,7 +192,7 @@ def _lifts(toxic: dict[str, tuple[int, int]], clean: dict[str, tuple[int, int]])
         n0, d0 = clean.get(p, (0, 0))
         if p and _chance(d1, d1 + d0, min(0.9, RATIO * docs1 / (docs1 + docs0))) <= CHANCE:
             lift = math.log((n1 + 0.5) / (words1 + 1)) - math.log((n0 + 0.5) / (words0 + 1))
-            if lift > 0:
+            if lift >= LIFT:
                 out[p] = min(lift, 8.0)
                 stem = p.rstrip("$")
                 for n in STEMS:

@@ -1,6 +1,7 @@
 """Substring dedup, n-gram join, pieces, chat and toxicity against brute force on literal and small tables."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -309,7 +310,7 @@ def test_held_out_accuracy(spark):
     scored = toxicity.score(docs, toxicity.learn(docs, labels)).join(labels, "doc_id").where(toxicity.held_out("doc_id"))
     hit = scored.groupBy("toxic").agg(F.avg("predicted").alias("p")).collect()
     rate = {r.toxic: r.p for r in hit}
-    assert rate[1] > 0.8 and rate[0] < 0.03
+    assert rate[1] > 0.9 and rate[0] < 0.03
 
 
 def test_toxicity_without_labels(spark):
@@ -392,3 +393,21 @@ def test_long_texts_that_share_passages_are_judged_exactly(spark):
         expected = groups(rows, width, num)
         assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == expected
         assert any(i != c for i, _, c in expected)
+
+
+def test_chance_is_exact_where_it_is_summed():
+    assert toxicity._chance(2, 2, 0.5) == 0.25 and toxicity._chance(1, 10, 0.2) == 1.0
+    assert abs(toxicity._chance(7, 8, 0.28) - (8 * 0.28 ** 7 * 0.72 + 0.28 ** 8)) < 1e-12
+    whole = sum(math.comb(300, i) * 0.1 ** i * 0.9 ** (300 - i) for i in range(60, 301))
+    assert whole <= toxicity._chance(60, 300, 0.1) < 50 * whole
+
+
+def test_toxicity_of_very_long_and_repeated_texts(spark):
+    grammar = toxicity.Grammar({"idiot$": 3.0}, toxicity.UNTAUGHT)
+    calm, last = "all is well. " * 200_000, "all is well. " * 200_000 + "you are an idiot!"
+    rows = [(1, calm, "clash"), (2, last, "clash"), (3, "you idiot", "clash"), (3, "you idiot", "clash"), (None, "you idiot", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, score string")
+    found = [(r.doc_id, r.score) for r in toxicity.score(docs, grammar).collect()]
+    by = dict(found)
+    assert len(found) == 5 and by[2] > by[1] and by[3] == by[None] > 0.5  # the end of a long text counts
+    assert [s for i, s in found if i == 3] == [by[3]] * 2
