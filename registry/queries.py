@@ -122,10 +122,12 @@ def normalize_rest(spark, folder):
     """Unknown and unconsumed keys after the normalisation ran over its own result."""
     once = normalize.normalize(raw_documents(table(spark, folder, "events")))
     twice = normalize.normalize(normalize.to_document(once))
-    keys = {"event_id": "event_id", "application": "fields.Application", "old_level": "level",
-            "machine": "fields.MachineName", "user": "fields.UserName", "metadata_tags": "metadata.LogTags"}
-    return twice.selectExpr(*[f"get_json_object(rest, '$.{path}') AS {name}" for name, path in keys.items()],
-                            "schema_error").withColumn("event_id", F.col("event_id").cast("bigint"))
+    kept = ("event_id string, level string, metadata struct<LogTags: string>,"
+            " fields struct<Application: string, MachineName: string, UserName: string>")
+    return twice.selectExpr(f"from_json(rest, '{kept}') AS kept", "schema_error").selectExpr(
+        "CAST(kept.event_id AS BIGINT) AS event_id", "kept.fields.Application AS application", "kept.level AS old_level",
+        "kept.fields.MachineName AS machine", "kept.fields.UserName AS user", "kept.metadata.LogTags AS metadata_tags",
+        "schema_error")
 
 
 @query

@@ -15,6 +15,7 @@ USER_STAGE = 2
 LAST_STAGE = 8
 USER_LABELS = ["Username", "UserName", "UserId"]
 TAG_LABEL = "LogTags"
+NO_TAGS = "CAST(array() AS array<string>)"
 # everything up to and including the space
 CONTROL_CHARS = "'" + "".join(f"\\u{c:04x}" for c in range(0x21)) + "'"
 
@@ -48,8 +49,11 @@ WITHIN = {
     "host": ["name"], "url": ["path"], "trace": ["id"], "span": ["id"],
 }
 WITHIN_HTTP = {"request": ["method"], "response": ["status_code"]}
-#: A key with a dot in it may be one of the fields, written flat.
-FLAT_KEY = r'"(log|service|user|labels|fields|host|url|http|trace|span|metadata)\.[A-Za-z_.]+"\s*:'
+#: the keys of a document made of the columns
+KNOWN = [*WHOLE, *WITHIN, "http", "labels"]
+#: A key with a dot in it may be one of the fields, written flat; this looks at its end, and at dots only.
+FLAT_KEY = r'\.[A-Za-z_]++"\s*+:'
+ROOTS = [*WITHIN, "http", "labels", "fields", "metadata"]
 
 
 def member(path: str, kind: str = "variant") -> str:
@@ -60,6 +64,9 @@ def member(path: str, kind: str = "variant") -> str:
     flat = f"try_variant_get(flat, '$[\"{path}\"]', '{kind}')"
     nested = (f"try_variant_get(f_{root}, '$.{inner}', '{kind}')" if root in ("labels", "metadata")
               else f"f_{path}")
+    if root == "labels":  # a path that finds nothing costs more than a key that a map doesn't hold
+        text = f"try_element_at(label_texts, '{inner}')"
+        nested = text if kind == "string" else sql.when(f"{text} IS NOT NULL", nested)
     return f"coalesce({nested}, {flat})"
 
 
@@ -74,8 +81,8 @@ def is_number(column: str) -> str:
 def tag_list(sources: list[str]) -> str:
     """Tags of comma separated texts: trimmed, without empty ones."""
     parts = ", ".join(f"split(coalesce({s}, ''), ',')" for s in sources)
-    return (f"filter(transform(flatten(array({parts})), p -> btrim(p, {CONTROL_CHARS})),"
-            " p -> p <> '')")
+    tags = f"filter(transform(flatten(array({parts})), p -> btrim(p, {CONTROL_CHARS})), p -> p <> '')"
+    return sql.when(f"coalesce({', '.join(sources)}) IS NULL", NO_TAGS, tags)
 
 
 def derived_tags(message: str, path: str, status: str, status_is_number: str, logger: str) -> str:
@@ -95,7 +102,8 @@ def derived_tags(message: str, path: str, status: str, status_is_number: str, lo
         "db": [f"(startswith({logger}, {sql.text(fv.DB_LOGGER_PREFIX)})"
                f" AND NOT {contains(logger, fv.DB_LOGGER_EXCLUDED)})"],
     }
-    return sql.compact([sql.when(sql.any_of(tests), sql.text(tag)) for tag, tests in rules.items()])
+    tags = ", ".join(sql.when(sql.any_of(tests), sql.text(tag)) for tag, tests in rules.items())
+    return f"array_except(array({tags}), CAST(array(NULL) AS array<string>))"
 
 
 def added(tags: str, new: str) -> str:
@@ -108,12 +116,17 @@ def _object(value: str) -> str:
     return f"try_variant_get({value}, '$', 'map<string,variant>')"
 
 
-def _without(value: str, keys: str, depth: int = 0) -> str:
-    """A variant without these members; null if nothing is left. What is no object stays."""
-    k = f"k{depth}"
-    left = f"map_filter({_object(value)}, ({k}, w) -> NOT array_contains({keys}, {k}))"
-    return (f"CASE WHEN {_object(value)} IS NULL THEN {value}"
-            f" WHEN size({left}) > 0 THEN to_variant_object({left}) END")
+def _let(value: str, name: str, body: str) -> str:
+    """The body, with the value worked out once under this name."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _without(value: str, consumed: str, key: str, depth: int = 0) -> str:
+    """A variant without the members of which `consumed` holds; null if nothing is left. What is no object stays."""
+    whole, left = f"m{depth}", f"l{depth}"
+    kept = f"map_filter({whole}, ({key}, x{depth}) -> NOT {consumed})"
+    filled = _let(kept, left, sql.when(f"size({left}) > 0", f"to_variant_object({left})"))
+    return _let(_object(value), whole, sql.when(f"{whole} IS NULL", value, filled))
 
 
 def rest_of(document: str, fail_stage: str) -> str:
@@ -121,30 +134,30 @@ def rest_of(document: str, fail_stage: str) -> str:
 
     A step that did not run has consumed nothing: the old fields of a failed document are in here.
     """
-    def names(always: list[str], *steps: tuple[int, str]) -> str:
-        """Literal lists by the stage at which a document failed."""
-        ends = [*(stage for stage, _, _ in RENAMES), LAST_STAGE + 1]
-        lists = " ".join(f"WHEN {end} THEN {sql.literal([*always, *(n for stage, n in steps if end > stage)])}" for end in ends)
-        return f"(CASE {fail_stage} {lists} END)"
-
     flat = [f"{root}.{key}" for root, keys in WITHIN.items() for key in keys]
     flat += [f"http.{root}.{key}" for root, keys in WITHIN_HTTP.items() for key in keys]
     overrides = [(USER_STAGE, f) for f in ("fields.UserName", "fields.UserId")]
     overrides += [(USER_STAGE, f"labels.{label}") for label in USER_LABELS]
     tags = [(LAST_STAGE, f"{root}.{TAG_LABEL}") for root in ("labels", "metadata")]
     old = [(stage, name) for stage, name, _ in RENAMES]
-    consumed = names(WHOLE + flat, *old, *overrides, *tags)
-    fields = names([], *[(n, f.partition(".")[2]) for n, f in old + overrides if f.startswith("fields.")])
-    inner = " ".join(f"WHEN {sql.text(root)} THEN {_without('v', sql.literal(keys))}" for root, keys in WITHIN.items())
-    http = " ".join(f"WHEN {sql.text(root)} THEN {_without('w', sql.literal(keys), 1)}"
+    steps = [*old, *overrides, *tags]
+    stages = " ".join(f"WHEN {sql.text(name)} THEN {stage}" for stage, name in steps)
+
+    def consumed(name: str) -> str:
+        """Lambdas are not compiled, so their tests are few: both lists are hashed, the stages looked at for a hit."""
+        late = f"{sql.is_in(name, [n for _, n in steps])} AND {fail_stage} > CASE {name} {stages} END"
+        return f"({sql.is_in(name, WHOLE + flat)} OR ({late}))"
+
+    deep = " ".join(f"WHEN {sql.text(root)} THEN {_without('w', sql.is_in('j', keys), 'j', 1)}"
                     for root, keys in WITHIN_HTTP.items())
-    http = f"map_filter(transform_values({_object('v')}, (h, w) -> CASE h {http} ELSE w END), (h, w) -> w IS NOT NULL)"
+    http = f"map_filter(transform_values(m, (h, w) -> CASE h {deep} ELSE w END), (h, w) -> w IS NOT NULL)"
+    http = _let(http, "l", sql.when("size(l) > 0", "to_variant_object(l)"))
     trimmed = (
-        f"CASE k {inner} WHEN 'fields' THEN {_without('v', fields)}"
-        f" WHEN 'metadata' THEN {_without('v', names([], (LAST_STAGE, TAG_LABEL)))}"
-        f" WHEN 'http' THEN CASE WHEN {_object('v')} IS NULL THEN v WHEN size({http}) > 0 THEN to_variant_object({http}) END"
-        f" WHEN 'labels' THEN CASE WHEN {_object('v')} IS NULL THEN v END ELSE v END")
-    top = f"map_filter({_object(f'try_parse_json({document})')}, (k, v) -> NOT array_contains({consumed}, k))"
+        f"CASE WHEN NOT {sql.is_in('k', ROOTS)} THEN v"
+        f" WHEN k = 'labels' THEN CASE WHEN {_object('v')} IS NULL THEN v END"
+        f" WHEN k = 'http' THEN {_let(_object('v'), 'm', sql.when('m IS NULL', 'v', http))}"
+        f" ELSE {_without('v', consumed('concat(k, \'.\', i)'), 'i')} END")
+    top = f"map_filter({_object(f'try_parse_json({document})')}, (k, v) -> NOT {consumed('k')})"
     left = f"map_filter(transform_values({top}, (k, v) -> {trimmed}), (k, v) -> v IS NOT NULL)"
     return f"nullif(to_json({left}), '{{}}')"
 
@@ -209,15 +222,14 @@ def normalize(raw: DataFrame, document: str = "document") -> DataFrame:
     stamp = sql.when("done", sql.text(fv.SCHEMA_VERSION), "schema_error")
     errors = " ".join(f"WHEN {n} THEN {sql.text(fv.RENAME_CONFLICT.replace('{field}', new))}" for n, _, new in RENAMES)
     label_tags, metadata_tags = member(f"labels.{TAG_LABEL}"), member(f"metadata.{TAG_LABEL}")
-    labels = ("coalesce(try_variant_get(f_labels, '$', 'map<string,string>'),"
-              " CAST(map() AS map<string,string>))")
+    labels = "coalesce(label_texts, CAST(map() AS map<string,string>))"
     kept = f"map_filter({labels}, (k, v) -> v IS NOT NULL AND NOT {removed} AND k <> {stamp_key})"
-    no_tags = "CAST(array() AS array<string>)"
     # The parse and the tags are generators of one row: a filter on a normalised column stays above the parse,
     # one on tags above them too. Pushed down, it would repeat all that the column is made of.
     return (
         raw.selectExpr(*carried, f"inline(array(from_json({document}, {sql.text(parsed)}))) AS ({', '.join(SCHEMA)})")
-        .selectExpr("*", sql.when(f"{document} RLIKE {sql.text(FLAT_KEY)}", f"try_parse_json({document})") + " AS flat")
+        .selectExpr("*", sql.when(f"{document} RLIKE {sql.text(FLAT_KEY)}", f"try_parse_json({document})") + " AS flat",
+                    "try_variant_get(f_labels, '$', 'map<string,string>') AS label_texts")
         .selectExpr("*", f"CASE {stages} ELSE {LAST_STAGE + 1} END AS fail_stage")
         .selectExpr("*", f"{ran(LAST_STAGE)} AS done", f"CASE fail_stage {errors} END AS schema_error")
         .selectExpr(
@@ -227,12 +239,12 @@ def normalize(raw: DataFrame, document: str = "document") -> DataFrame:
             f"{tag_list([text_only(label_tags), text_only(metadata_tags)])} AS new_tags",
             f"{is_object('f_labels')} OR {is_object('f_metadata')} AS has_sources")
         .selectExpr(
-            "*", sql.when("own_tags IS NULL AND has_sources", no_tags, "own_tags") + " AS start_tags",
+            "*", sql.when("own_tags IS NULL AND has_sources", NO_TAGS, "own_tags") + " AS start_tags",
             f"{derived_tags('c_message', 'c_url_path', 'c_status_text', 'c_status_is_number', 'c_logger')} AS derived")
         .selectExpr("*", f"{added('start_tags', 'new_tags')} AS folded")
         .selectExpr(
             "*", "explode(array(CASE WHEN NOT done THEN own_tags WHEN size(derived) = 0 THEN folded"
-            f" ELSE {added(f'coalesce(folded, {no_tags})', 'derived')} END)) AS c_tags")
+            f" ELSE {added(f'coalesce(folded, {NO_TAGS})', 'derived')} END)) AS c_tags")
         .selectExpr(
             *carried, "try_cast(f_ts AS TIMESTAMP_NTZ) AS ts",
             *[f"c_{c} AS {c}" if c != "status_text" else "try_cast(c_status_text AS INT) AS status_code" for c in canonical],
@@ -244,20 +256,24 @@ def normalize(raw: DataFrame, document: str = "document") -> DataFrame:
 
 def to_document(rows: DataFrame) -> DataFrame:
     """Canonical columns and the rest back to a JSON document, for running the normalisation over history."""
+    def filled(**columns: str) -> str:
+        """An object, unless all its members are null."""
+        return sql.when(" OR ".join(f"{c} IS NOT NULL" for c in columns.values()), sql.struct(**columns))
+
     number = "CAST(status_code AS STRING)"
     status = sql.when("status_is_number", f"parse_json({number})",
                       f"parse_json(concat('\"', {number}, '\"'))")
-    known = _object(
-        "parse_json(to_json(named_struct("
-        "'@timestamp', date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\"), 'message', message,"
-        " 'log', named_struct('level', level, 'logger', logger),"
-        " 'service', named_struct('name', service, 'environment', environment),"
-        " 'user', named_struct('name', user_name, 'id', user_id),"
-        " 'host', named_struct('name', host), 'url', named_struct('path', url_path),"
-        " 'trace', named_struct('id', trace_id), 'span', named_struct('id', span_id),"
-        " 'http', named_struct('request', named_struct('method', http_method),"
-        f" 'response', named_struct('status_code', {status})),"
-        " 'tags', tags, 'labels', labels)))")
+    http = sql.struct(request=filled(method="http_method"),
+                      response=sql.when("status_code IS NOT NULL", sql.struct(status_code=status)))
+    known = (
+        "to_json(named_struct("
+        "'@timestamp', date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\"),"
+        f" 'host', {filled(name='host')},"
+        f" 'http', {sql.when('http_method IS NOT NULL OR status_code IS NOT NULL', http)},"
+        f" 'labels', labels, 'log', {filled(level='level', logger='logger')}, 'message', message,"
+        f" 'service', {filled(environment='environment', name='service')}, 'span', {filled(id='span_id')},"
+        f" 'tags', tags, 'trace', {filled(id='trace_id')}, 'url', {filled(path='url_path')},"
+        f" 'user', {filled(id='user_id', name='user_name')}))")
 
     def both(a: str, b: str, joined: str) -> str:
         """Members of two objects; a value that is no object stays as the rest has it."""
@@ -267,8 +283,12 @@ def to_document(rows: DataFrame) -> DataFrame:
     deepest = both("c", "d", f"map_zip_with({_object('c')}, {_object('d')}, (i, e, f) -> coalesce(f, e))")
     deeper = both("a", "b", f"map_zip_with({_object('a')}, {_object('b')}, (j, c, d) -> {deepest})")
     others = f"coalesce({_object('parse_json(rest)')}, CAST(map() AS map<string,variant>))"
-    return (rows.selectExpr(f"{known} AS known", f"{others} AS others")
-            .selectExpr(f"to_json(map_zip_with(known, others, (k, a, b) -> {deeper})) AS document"))
+    merged = f"to_json(map_zip_with({_object('parse_json(known)')}, {others}, (k, a, b) -> {deeper}))"
+    # Mostly the rest is an object with other keys. Then the two texts are joined, and nothing is parsed.
+    apart = f"startswith(rest, '{{\"') AND NOT arrays_overlap(json_object_keys(rest), {sql.literal(KNOWN)})"
+    joined = "concat(left(known, length(known) - 1), ',', substr(rest, 2))"
+    return (rows.selectExpr("rest", f"{known} AS known")
+            .selectExpr(f"CASE WHEN rest IS NULL THEN known WHEN {apart} THEN {joined} ELSE {merged} END AS document"))
 
 
 def without_noise(rows: DataFrame) -> DataFrame:

@@ -79,8 +79,8 @@ def raw_documents(events: DataFrame) -> DataFrame:
     Which names a document uses depends on its event id, so every rule of the normalisation,
     including the rename conflict, has documents it applies to.
     """
-    eid, uid = F.col("event_id"), F.col("user_id")
-    k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
+    events = events.withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("int"))
+    eid, uid, k = F.col("event_id"), F.col("user_id"), F.col("k")
     kind = F.col("event_type")
 
     def pick(mod: int, *wanted: int):

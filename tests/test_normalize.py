@@ -116,3 +116,32 @@ def test_columns_that_nobody_reads_are_not_computed(spark):
     rows = normalize.normalize(spark.createDataFrame([("{}",)], "document STRING"))
     plan = normalize.without_noise(rows).select("ts", "level")._jdf.queryExecution().optimizedPlan().toString()
     assert "map_concat" not in plan and "to_json" not in plan and plan.count("from_json") == 1
+
+
+def test_a_document_is_made_without_parsing_again(spark):
+    documents = [{"event_id": 1, "message": "m", "own": {"a": [1, None]}}, {"message": "n"},
+                 {"host": {"name": "h", "os": "x"}, "log": "text", "http": {"request": {"method": "GET", "bytes": 7}}}]
+    rows = spark.createDataFrame([(json.dumps(d),) for d in documents], "document STRING").coalesce(1)
+    again = [json.loads(r.document) for r in normalize.to_document(normalize.normalize(rows)).collect()]
+    common = {"service": {"name": "unknown"}, "labels": {"schema_version": "1"}}
+    level = {"log": {"level": "Information"}}
+    assert again == [  # no empty objects, and what columns and the rest both name is joined
+        {"event_id": 1, "message": "m", "own": {"a": [1, None]}, **level, **common}, {"message": "n", **level, **common},
+        {**common, "log": "text", "host": {"name": "h", "os": "x"}, "http": {"request": {"method": "GET", "bytes": 7}}}]
+
+
+def test_objects_of_a_document_are_read_once(spark):
+    rest = normalize.rest_of("document", "fail_stage")
+    # the document, labels, http and one of its members' two objects, any other root
+    assert rest.count("'map<string,variant>'") == 6 and "array_contains" not in rest
+    plan = normalize.normalize(spark.createDataFrame([("{}",)], "document STRING"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapType(StringType,StringType,true), false") == 1 and "$.UserName" not in plan
+
+
+def test_flat_keys_and_dots_in_texts(spark):
+    rows = run(spark, {"message": "a.b\": . .. log.level", "log.level": "Warning", "http.response.status_code": 401},
+               {"message": "m", "labels.UserName": "u"},
+               {"message": "m", "labels": {"LogTags": 5, "UserName": None, "Username": 7}})
+    assert (rows[0].level, rows[0].status_code, rows[0].tags) == ("Warning", 401, ["request", "auth"])
+    assert (rows[1].tags, rows[1].user_name) == (None, "u")
+    assert (rows[2].tags, rows[2].user_name) == ([], "7")
